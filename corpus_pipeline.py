@@ -1,12 +1,77 @@
-"""Five stages from raw documents to a de-duplicated, mixed and tokenised corpus."""
+"""From raw documents to a clean, de-duplicated, mixed and tokenised corpus.
+
+``STAGES`` are applied in order; each takes ``(spark, docs, sf_dir)`` and its
+result is written to the shared folder and read again as the next one's
+``docs``.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluiceway.llm import bpe, exact_dedup, jaccard_join, mixture, toxicity
+from sluiceway.llm.common import materialise, read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the lexicon learnt from ``labels`` scores under 0.5; null and empty texts stay."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the row with the smallest id; rows without an id stay."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents tied by five-word shingles at 0.75 or more, the one with the smallest id; rows without an id stay."""
+    found = jaccard_join.near_duplicate_components(docs)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's rows: one for each epoch that takes of a document.
+
+    The document at which a source's budget ends is cut after its last word
+    taken, and ``n_chars`` follows; documents without words are in no mixture.
+    An id that occurs several times is taken as often as its fullest row.
+    """
+    plan = mixture.mix_sources(docs, mixture.word_count(F.col("text"))).filter("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    mixed = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    mixed = mixed.withColumn("_part", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), e -> least(_size, _taken - e * _size))")))
+    cut = F.expr(r"array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(_part as int)), '')")
+    whole = F.col("_part") == F.col("_size")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    chars = F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*[{"text": text, "n_chars": chars}.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its very text."""
+    import public_tokenizers
+
+    out = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact),
+    ("jaccard_join", drop_near),
+    ("mixture", mix),
+    ("byte_bpe", tokenise),
+]
 
-STAGES: list = []
+#: Learning, lexicon matching and byte-pair merges have no SQL form; tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +62,7 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, width: i
     weight = 0
     for row in rows:
         held.append(row)
-        weight += sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        weight += sum(len(x) for x in row if isinstance(x, (bytes, str))) + sum(x.nbytes for x in row if isinstance(x, np.ndarray))
         if len(held) >= size or weight >= width:
             yield pack(held, schema)
             held, weight = [], 0

@@ -46,11 +46,13 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
 
     Large- and small-star rounds run on the executors, each written to the shared
     folder, until nothing changes or the graph is small enough for one bounded
-    task.  An empty edge table gives no rows; loops and repeated edges do no harm.
+    task (never, with ``local_edges=-1``: DataFrame functions only).  An empty edge table gives no rows; loops and repeated edges do no harm.
     """
     e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct(), "edges")
     while True:
         count = e.count()
+        if not count:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         if count <= local_edges:
             return e.coalesce(1).mapInArrow(_finish, "node long, component long")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

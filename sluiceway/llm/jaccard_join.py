@@ -45,7 +45,7 @@ _CHUNKS = 8
 EXTRA = 0.05
 #: Sets in a block of a large group, and in a leaf of a tree.
 BLOCK = 1024
-LEAF = 16
+LEAF = 64
 #: Bits of the filter that keeps unneeded sets out of the shuffle; a fuller filter only lets more through.
 BLOOM_BITS = 1 << 24
 _MASK = np.uint64((1 << 48) - 1)
@@ -270,8 +270,8 @@ def _chain(threshold: int):
 class SignatureTree:
     """Sets of one bitmap width, ordered by size, under nodes of two children each."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
-        self.bits, self.sizes, self.comps = bits, sizes, comps
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray, cls: np.ndarray):
+        self.bits, self.sizes, self.comps, self.cls = bits, sizes, comps, cls
         self.surplus = sizes - np.bitwise_count(bits).sum(1)
         self.root = self._node(0, len(sizes))
 
@@ -288,7 +288,7 @@ class SignatureTree:
 
 
 def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: list) -> None:
-    """Put index pairs that may link, with their largest possible overlap over what is needed, into ``found``."""
+    """Put pairs that may link into ``found``: largest possible overlap over both sizes, classes, components."""
     words = min(x.bits.shape[1], y.bits.shape[1])
     fit = lambda b: folded(b[None, :], words)[0]
     stack = [(x.root, y.root)]
@@ -312,49 +312,59 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: li
         na, nb = x.sizes[a], y.sizes[b]
         room = common + np.minimum((na - np.bitwise_count(ab).sum(1))[:, None], (nb - np.bitwise_count(bb).sum(1))[None, :])
         ok = (room * (100 + threshold) >= threshold * (na[:, None] + nb[None, :])) & similar_sizes(na[:, None], nb[None, :], threshold) & (x.comps[a][:, None] != y.comps[b][None, :])
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            if x is not y or p["lo"] + i < q["lo"] + j:
-                found.append((float(room[i, j] / (na[i] + nb[j])), x, p["lo"] + int(i), y, q["lo"] + int(j)))
+        i, j = np.nonzero(ok)
+        if x is y:
+            i, j = (k[p["lo"] + i < q["lo"] + j] for k in (i, j))
+        if len(i):
+            found.append((room[i, j] / (na[i] + nb[j]), x.cls[a][i], y.cls[b][j], x.comps[a][i], y.comps[b][j]))
+
+
+def spanning(room: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the closest pairs that would join all components which any pair joins."""
+    names, index = np.unique(np.concatenate((left, right)), return_inverse=True)
+    left, right = index[: len(left)], index[len(left) :]
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    order = np.lexsort((-room, high, low))
+    first = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
+    best = order[first]
+    best = best[np.argsort(-room[best], kind="stable")]
+    parent, out = list(range(len(names))), []
+    for at, x, y in zip(best.tolist(), low[best].tolist(), high[best].tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            out.append(at)
+    return np.array(out, np.int64)
 
 
 def _trees(threshold: int, forest: bool):
     def work(key: tuple, table: pa.Table) -> pa.Table:
         cls, n, comp, side = (table.column(c).to_numpy() for c in ("cls", "n", "comp", "side"))
         sig = table.column("signature").to_pylist()
-        trees: dict[tuple[int, int], tuple[SignatureTree, np.ndarray]] = {}
+        trees: dict[tuple[int, int], SignatureTree] = {}
         widths = np.array([len(s) for s in sig])
         for s in np.unique(side):
             for w in np.unique(widths[side == s]):
                 at = np.flatnonzero((side == s) & (widths == w))
                 at = at[np.lexsort((cls[at], n[at]))]
                 bits = np.frombuffer(b"".join(sig[i] for i in at), np.uint64).reshape(len(at), -1)
-                trees[int(s), int(w)] = (SignatureTree(bits, n[at], comp[at]), cls[at])
+                trees[int(s), int(w)] = SignatureTree(bits, n[at], comp[at], cls[at])
         found: list = []
-        names = {id(t): c for t, c in trees.values()}
         keys = sorted(trees)
         two = len(np.unique(side)) == 2
         for i, (s, w) in enumerate(keys):
             for s2, w2 in keys[i:]:
                 if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
-                    dual_traversal(trees[s, w][0], trees[s2, w2][0], threshold, found)
-        pairs = []
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        # A forest takes the closest pairs that would join components; otherwise every pair is handed on.
-        for _, x, i, y, j in sorted(found, key=lambda f: -f[0]) if forest else found:
-            if forest:
-                ra, rb = root(int(x.comps[i])), root(int(y.comps[j]))
-                if ra == rb:
-                    continue
-                parent[ra] = rb
-            pairs.append(sorted((int(names[id(x)][i]), int(names[id(y)][j]))))
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
+        none = np.zeros(0, np.int64)
+        room, a, b, left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none,) * 5
+        if forest and len(a):
+            chosen = spanning(room, left, right)
+            a, b = a[chosen], b[chosen]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return work
 
@@ -430,7 +440,7 @@ class JaccardJoin:
         signatures = self.sets.filter("signature is not null").select("cls", "signature").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"))
         signatures = materialise(signatures, "signatures")
         parts = shuffle_partitions(self.spark)
-        chain = groups.repartitionByRange(parts, "gid", "n", "cls").sortWithinPartitions("gid", "n", "cls").mapInArrow(_chain(self.threshold), "a long, b long").distinct()
+        chain = groups.select("gid", "cls", "n").repartitionByRange(parts, "gid", "n", "cls").sortWithinPartitions("gid", "n", "cls").mapInArrow(_chain(self.threshold), "a long, b long").distinct()
         tried = self._plausible(chain, signatures)
         links = self.verified(tried)
         for forest in (True, True, False):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, gif, jaccard_join, language_id, licenses, mixture, secrets, toxicity
+from . import bpe, exact_dedup, gif, jaccard_join, language_id, licenses, line_dedup, mixture, secrets, toxicity
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_duplicate_lines(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,6 +99,24 @@ SELECT doc_id, source, size, source_size, target,
 FROM placed
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT line, count(*) AS n_rows, min(doc_id) AS first_id, length(line) AS n_chars, md5(line) AS line_id
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line),
+e AS (
+  SELECT a.line_id AS x, b.line_id AS y FROM l a JOIN l b
+  ON a.n_chars >= 32 AND b.n_chars BETWEEN a.n_chars - 2 AND a.n_chars + 2 AND b.n_chars >= 32 AND a.line_id <> b.line_id
+  AND (substr(a.line, 1, a.n_chars // 3) = substr(b.line, 1, a.n_chars // 3)
+       OR contains(b.line, substr(a.line, a.n_chars // 3 + 1, a.n_chars // 3))
+       OR contains(b.line, substr(a.line, 2 * (a.n_chars // 3) + 1)))
+  AND levenshtein(a.line, b.line) <= 2),
+r AS (SELECT line_id AS node, line_id AS seen FROM l UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen),
+c AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),
+d AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT l.line_id, n_chars, n_rows, first_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, class_id, class_id = l.line_id AS kept
+FROM l JOIN c ON c.node = l.line_id LEFT JOIN d ON d.x = l.line_id
+"""
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -125,8 +147,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_mix_sources, op3_secrets, op4_licenses, op6_bpe, op7_toxicity, op8_exact_dedup, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_gif, op2_mix_sources, op3_secrets, op4_licenses, op5_line_dedup, op6_bpe, op7_toxicity, op8_exact_dedup, op9_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
