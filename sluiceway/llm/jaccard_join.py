@@ -340,31 +340,97 @@ def spanning(room: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return np.array(out, np.int64)
 
 
-def _trees(threshold: int, forest: bool):
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        cls, n, comp, side = (table.column(c).to_numpy() for c in ("cls", "n", "comp", "side"))
+def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """All pairs of groups of a leaf's size or less that may link, a node pair a group."""
+    left, right = [], []
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    ok = (comp[left] != comp[right]) & similar_sizes(n[left], n[right], threshold)
+    left, right = left[ok], right[ok]
+    pairs = np.stack((np.minimum(cls[left], cls[right]), np.maximum(cls[left], cls[right])), 1)
+    pairs, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
+    left, right = left[first], right[first]
+    widths = np.array([len(x) for x in sig]) // 8
+    keep = np.zeros(len(pairs), bool)
+    for wl, wr in set(zip(widths[left].tolist(), widths[right].tolist(), strict=True)):
+        at = np.flatnonzero((widths[left] == wl) & (widths[right] == wr))
+        for lo in range(0, len(at), 4096):
+            part = at[lo : lo + 4096]
+            words = min(wl, wr)
+            x = folded(np.frombuffer(b"".join(sig[k] for k in left[part]), np.uint64).reshape(len(part), -1), words)
+            y = folded(np.frombuffer(b"".join(sig[k] for k in right[part]), np.uint64).reshape(len(part), -1), words)
+            nx, ny = n[left[part]], n[right[part]]
+            room = np.bitwise_count(x & y).sum(1).astype(np.int64) + np.minimum(nx - np.bitwise_count(x).sum(1), ny - np.bitwise_count(y).sum(1))
+            keep[part] = room * (100 + threshold) >= threshold * (nx + ny)
+    return pairs[keep]
+
+
+def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int, forest: bool) -> np.ndarray:
+    """Pairs of one large group, or of two of its blocks, that may link, by trees over each bitmap width."""
+    trees: dict[tuple[int, int], SignatureTree] = {}
+    widths = np.array([len(s) for s in sig])
+    for s in np.unique(side):
+        for w in np.unique(widths[side == s]):
+            at = np.flatnonzero((side == s) & (widths == w))
+            at = at[np.lexsort((cls[at], n[at]))]
+            bits = np.frombuffer(b"".join(sig[i] for i in at), np.uint64).reshape(len(at), -1)
+            trees[int(s), int(w)] = SignatureTree(bits, n[at], comp[at], cls[at])
+    found: list = []
+    keys = sorted(trees)
+    two = len(np.unique(side)) == 2
+    for i, (s, w) in enumerate(keys):
+        for s2, w2 in keys[i:]:
+            if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
+                dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    room, a, b, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    if forest:
+        chosen = spanning(room, left, right)
+        a, b = a[chosen], b[chosen]
+    return np.stack((np.minimum(a, b), np.maximum(a, b)), 1)
+
+
+def _between(threshold: int, forest: bool, rows: int = 50_000):
+    """Over rows sorted by (gid, i, j): class pairs of different components that may link."""
+
+    def pairs_of(table: pa.Table) -> np.ndarray:
+        gid, i, j, cls, n, comp, side = (table.column(c).to_numpy() for c in ("gid", "i", "j", "cls", "n", "comp", "side"))
         sig = table.column("signature").to_pylist()
-        trees: dict[tuple[int, int], SignatureTree] = {}
-        widths = np.array([len(s) for s in sig])
-        for s in np.unique(side):
-            for w in np.unique(widths[side == s]):
-                at = np.flatnonzero((side == s) & (widths == w))
-                at = at[np.lexsort((cls[at], n[at]))]
-                bits = np.frombuffer(b"".join(sig[i] for i in at), np.uint64).reshape(len(at), -1)
-                trees[int(s), int(w)] = SignatureTree(bits, n[at], comp[at], cls[at])
-        found: list = []
-        keys = sorted(trees)
-        two = len(np.unique(side)) == 2
-        for i, (s, w) in enumerate(keys):
-            for s2, w2 in keys[i:]:
-                if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
-                    dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
-        none = np.zeros(0, np.int64)
-        room, a, b, left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none,) * 5
-        if forest and len(a):
-            chosen = spanning(room, left, right)
-            a, b = a[chosen], b[chosen]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        cuts = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        out = []
+        for at, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+            part = slice(at, at + size)
+            out.append(_large(cls[part], n[part], comp[part], side[part], sig[part], threshold, forest))
+        few = (sizes >= 2) & (sizes <= LEAF)
+        if few.any():
+            out.append(_small(cls, n, comp, sig, starts[few], sizes[few], threshold))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def emit(table: pa.Table) -> pa.RecordBatch:
+            pairs = pairs_of(table)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+        for b in part:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows >= rows:
+                key = [held.column(c).to_numpy() for c in ("gid", "i", "j")]
+                same = (key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1])
+                cut = int(np.argmax(same))
+                if cut:
+                    yield emit(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield emit(held)
 
     return work
 
@@ -482,8 +548,8 @@ class JaccardJoin:
         named = named.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")))
         tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
         spread = named.withColumn("task", F.explode(tasks)).select("gid", "cls", "n", "comp", F.col("task.i").alias("i"), F.col("task.j").alias("j"), (F.col("block") == F.col("task.j")).cast("int").alias("side"))
-        spread = spread.join(signatures, "cls")
-        return spread.groupBy("gid", "i", "j").applyInArrow(_trees(self.threshold, forest), "a long, b long")
+        spread = spread.join(signatures, "cls").repartition(shuffle_partitions(self.spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+        return spread.mapInArrow(_between(self.threshold, forest), "a long, b long")
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
