@@ -11,8 +11,9 @@ to one *class* first; the join finds links between classes and their components.
    first ``n - ceil(t n) + l``.  These leading tokens meet in buckets of the hash
    range; sets with the same company are one group, whatever the token; sets with
    fewer than ``l`` shared leading tokens are done.
-4. *Chains.*  Neighbours by size within a group are compared first.  They join up
-   large families of near copies in work proportional to the rows.
+4. *Stars.*  Within a group each set is first compared with its neighbour and with
+   the set that meets most company.  That joins up large families of near copies
+   in work proportional to the rows.
 5. *Trees.*  Groups that still hold several components get signature trees: nodes
    carry OR-combined bitmaps, size ranges and the largest collision surplus.  A
    dual traversal drops node pairs whose largest possible overlap is too small
@@ -249,18 +250,26 @@ def similar_sizes(a, b, threshold: int):
     return (a * 100 >= b * threshold) & (b * 100 >= a * threshold)
 
 
-def _chain(threshold: int):
+def _linear(threshold: int):
+    """Over rows sorted by group: each set with its predecessor and with the group's first set."""
+
     def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = head = None
         for b in part:
             gid, cls, n = (b.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                gid, cls, n = (np.concatenate(([x], y)) for x, y in zip(last, (gid, cls, n), strict=True))
             if not len(gid):
                 continue
-            ok = (gid[1:] == gid[:-1]) & similar_sizes(n[1:], n[:-1], threshold)
-            x, y = cls[:-1][ok], cls[1:][ok]
+            carried = last is not None and last[0] == gid[0]
+            if carried:
+                gid, cls, n = (np.concatenate((x, y)) for x, y in zip(([head[0], last[0]], [head[1], last[1]], [head[2], last[2]]), (gid, cls, n), strict=True))
+            fresh = np.concatenate(([True], gid[1:] != gid[:-1]))
+            first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = np.flatnonzero(~fresh)
+            left, right = np.concatenate((at - 1, first[at])), np.concatenate((at, at))
+            ok = similar_sizes(n[left], n[right], threshold) & (cls[left] != cls[right])
+            x, y = cls[left[ok]], cls[right[ok]]
             pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+            head = (gid[first[-1]], cls[first[-1]], n[first[-1]])
             last = (gid[-1], cls[-1], n[-1])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -340,8 +349,8 @@ def spanning(room: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return np.array(out, np.int64)
 
 
-def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
-    """All pairs of groups of a leaf's size or less that may link, a node pair a group."""
+def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """Room, classes and components of all pairs that may link in groups of a leaf's size or less."""
     left, right = [], []
     for size in np.unique(sizes):
         i, j = np.triu_indices(size, 1)
@@ -355,7 +364,7 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
     pairs, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     left, right = left[first], right[first]
     widths = np.array([len(x) for x in sig]) // 8
-    keep = np.zeros(len(pairs), bool)
+    keep = np.full(len(pairs), -1.0)
     for wl, wr in set(zip(widths[left].tolist(), widths[right].tolist(), strict=True)):
         at = np.flatnonzero((widths[left] == wl) & (widths[right] == wr))
         for lo in range(0, len(at), 4096):
@@ -365,12 +374,13 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
             y = folded(np.frombuffer(b"".join(sig[k] for k in right[part]), np.uint64).reshape(len(part), -1), words)
             nx, ny = n[left[part]], n[right[part]]
             room = np.bitwise_count(x & y).sum(1).astype(np.int64) + np.minimum(nx - np.bitwise_count(x).sum(1), ny - np.bitwise_count(y).sum(1))
-            keep[part] = room * (100 + threshold) >= threshold * (nx + ny)
-    return pairs[keep]
+            keep[part] = np.where(room * (100 + threshold) >= threshold * (nx + ny), room / (nx + ny), -1.0)
+    ok = keep >= 0
+    return keep[ok], pairs[ok, 0], pairs[ok, 1], comp[left[ok]], comp[right[ok]]
 
 
-def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int, forest: bool) -> np.ndarray:
-    """Pairs of one large group, or of two of its blocks, that may link, by trees over each bitmap width."""
+def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int, forest: bool) -> tuple[np.ndarray, ...]:
+    """The same for one large group, or two of its blocks, by trees over each bitmap width."""
     trees: dict[tuple[int, int], SignatureTree] = {}
     widths = np.array([len(s) for s in sig])
     for s in np.unique(side):
@@ -387,12 +397,12 @@ def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, s
             if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
                 dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
     if not found:
-        return np.zeros((0, 2), np.int64)
-    room, a, b, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+        return (np.zeros(0), *(np.zeros(0, np.int64),) * 4)
+    out = tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if forest:
-        chosen = spanning(room, left, right)
-        a, b = a[chosen], b[chosen]
-    return np.stack((np.minimum(a, b), np.maximum(a, b)), 1)
+        chosen = spanning(out[0], out[3], out[4])
+        out = tuple(x[chosen] for x in out)
+    return out
 
 
 def _between(threshold: int, forest: bool, rows: int = 50_000):
@@ -410,7 +420,14 @@ def _between(threshold: int, forest: bool, rows: int = 50_000):
         few = (sizes >= 2) & (sizes <= LEAF)
         if few.any():
             out.append(_small(cls, n, comp, sig, starts[few], sizes[few], threshold))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        if not out:
+            return np.zeros((0, 2), np.int64)
+        room, a, b, left, right = (np.concatenate(x) for x in zip(*out, strict=True))
+        if forest and len(a):
+            # Groups overlap: one forest over all that this task has seen.
+            chosen = spanning(room, left, right)
+            a, b = a[chosen], b[chosen]
+        return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
 
     def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -463,8 +480,8 @@ class JaccardJoin:
         entries = self.sets.filter("tokens is not null").select("cls", "n", "tokens").mapInArrow(_entries(levels, buckets, self.threshold), "bucket int, blob binary")
         found = materialise(entries.groupBy("bucket").applyInArrow(_groups, "gid long, cls long, n long, w long"), "groups")
         need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * self.threshold / 100) * EXTRA)).cast("long")
-        alive = found.groupBy("cls").agg(F.sum("w").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= need).select("cls")
-        return materialise(found.select("gid", "cls", "n").distinct().join(alive, "cls", "left_semi"), "groups")
+        alive = found.groupBy("cls").agg(F.sum("w").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= need).select("cls", "met")
+        return materialise(found.select("gid", "cls", "n").distinct().join(alive, "cls"), "groups")
 
     def _bloom(self, ids: DataFrame):
         """A membership filter of fixed size for class names."""
@@ -506,10 +523,12 @@ class JaccardJoin:
         signatures = self.sets.filter("signature is not null").select("cls", "signature").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"))
         signatures = materialise(signatures, "signatures")
         parts = shuffle_partitions(self.spark)
-        chain = groups.select("gid", "cls", "n").repartitionByRange(parts, "gid", "n", "cls").sortWithinPartitions("gid", "n", "cls").mapInArrow(_chain(self.threshold), "a long, b long").distinct()
-        tried = self._plausible(chain, signatures)
+        # The set that meets most company is likeliest the one that the others were made from: it goes first.
+        order = ("gid", F.desc("met"), "n", "cls")
+        ordered = groups.select("gid", "cls", "n", "met").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        tried = self._plausible(ordered.mapInArrow(_linear(self.threshold), "a long, b long").distinct(), signatures)
         links = self.verified(tried)
-        for forest in (True, True, False):
+        for forest in (True, False):
             comps = materialise(connected_components(links), "components")
             pairs = materialise(self._between(groups, comps, signatures, forest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             if not pairs.isEmpty():
