@@ -17,9 +17,8 @@ to one *class* first; the join finds links between classes and their components.
 5. *Trees.*  Groups that still hold several components get signature trees: nodes
    carry OR-combined bitmaps, size ranges and the largest collision surplus.  A
    dual traversal drops node pairs whose largest possible overlap is too small
-   or that lie in one component already.  The closest pairs that would join
-   components are verified on the full sets first, then all that still lie
-   between different components: nothing that could link is left out.
+   or that lie in one component already.  All surviving pairs are verified on the
+   full sets: nothing that could link is left out.
 
 Large groups are cut into blocks whose pairs are separate tasks, so no group has
 to fit one task.
@@ -297,7 +296,7 @@ class SignatureTree:
 
 
 def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: list) -> None:
-    """Put pairs that may link into ``found``: largest possible overlap over both sizes, classes, components."""
+    """Put the pairs of classes that may link into ``found``."""
     words = min(x.bits.shape[1], y.bits.shape[1])
     fit = lambda b: folded(b[None, :], words)[0]
     stack = [(x.root, y.root)]
@@ -325,32 +324,12 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: li
         if x is y:
             i, j = (k[p["lo"] + i < q["lo"] + j] for k in (i, j))
         if len(i):
-            found.append((room[i, j] / (na[i] + nb[j]), x.cls[a][i], y.cls[b][j], x.comps[a][i], y.comps[b][j]))
-
-
-def spanning(room: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Places of the closest pairs that would join all components which any pair joins."""
-    names, index = np.unique(np.concatenate((left, right)), return_inverse=True)
-    left, right = index[: len(left)], index[len(left) :]
-    low, high = np.minimum(left, right), np.maximum(left, right)
-    order = np.lexsort((-room, high, low))
-    first = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
-    best = order[first]
-    best = best[np.argsort(-room[best], kind="stable")]
-    parent, out = list(range(len(names))), []
-    for at, x, y in zip(best.tolist(), low[best].tolist(), high[best].tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[x] = y
-            out.append(at)
-    return np.array(out, np.int64)
-
-
-def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
-    """Room, classes and components of all pairs that may link in groups of a leaf's size or less."""
+            one, two = x.cls[a][i], y.cls[b][j]
+            found.append(np.stack((np.minimum(one, two), np.maximum(one, two)), 1))
+
+
+def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """All pairs that may link in groups of a leaf's size or less."""
     left, right = [], []
     for size in np.unique(sizes):
         i, j = np.triu_indices(size, 1)
@@ -364,7 +343,7 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
     pairs, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     left, right = left[first], right[first]
     widths = np.array([len(x) for x in sig]) // 8
-    keep = np.full(len(pairs), -1.0)
+    keep = np.zeros(len(pairs), bool)
     for wl, wr in set(zip(widths[left].tolist(), widths[right].tolist(), strict=True)):
         at = np.flatnonzero((widths[left] == wl) & (widths[right] == wr))
         for lo in range(0, len(at), 4096):
@@ -374,12 +353,11 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
             y = folded(np.frombuffer(b"".join(sig[k] for k in right[part]), np.uint64).reshape(len(part), -1), words)
             nx, ny = n[left[part]], n[right[part]]
             room = np.bitwise_count(x & y).sum(1).astype(np.int64) + np.minimum(nx - np.bitwise_count(x).sum(1), ny - np.bitwise_count(y).sum(1))
-            keep[part] = np.where(room * (100 + threshold) >= threshold * (nx + ny), room / (nx + ny), -1.0)
-    ok = keep >= 0
-    return keep[ok], pairs[ok, 0], pairs[ok, 1], comp[left[ok]], comp[right[ok]]
+            keep[part] = room * (100 + threshold) >= threshold * (nx + ny)
+    return pairs[keep]
 
 
-def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int, forest: bool) -> tuple[np.ndarray, ...]:
+def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int) -> np.ndarray:
     """The same for one large group, or two of its blocks, by trees over each bitmap width."""
     trees: dict[tuple[int, int], SignatureTree] = {}
     widths = np.array([len(s) for s in sig])
@@ -396,16 +374,10 @@ def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, s
         for s2, w2 in keys[i:]:
             if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
                 dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
-    if not found:
-        return (np.zeros(0), *(np.zeros(0, np.int64),) * 4)
-    out = tuple(np.concatenate(x) for x in zip(*found, strict=True))
-    if forest:
-        chosen = spanning(out[0], out[3], out[4])
-        out = tuple(x[chosen] for x in out)
-    return out
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _between(threshold: int, forest: bool, rows: int = 50_000):
+def _between(threshold: int, rows: int = 50_000):
     """Over rows sorted by (gid, i, j): class pairs of different components that may link."""
 
     def pairs_of(table: pa.Table) -> np.ndarray:
@@ -416,18 +388,11 @@ def _between(threshold: int, forest: bool, rows: int = 50_000):
         out = []
         for at, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
             part = slice(at, at + size)
-            out.append(_large(cls[part], n[part], comp[part], side[part], sig[part], threshold, forest))
+            out.append(_large(cls[part], n[part], comp[part], side[part], sig[part], threshold))
         few = (sizes >= 2) & (sizes <= LEAF)
         if few.any():
             out.append(_small(cls, n, comp, sig, starts[few], sizes[few], threshold))
-        if not out:
-            return np.zeros((0, 2), np.int64)
-        room, a, b, left, right = (np.concatenate(x) for x in zip(*out, strict=True))
-        if forest and len(a):
-            # Groups overlap: one forest over all that this task has seen.
-            chosen = spanning(room, left, right)
-            a, b = a[chosen], b[chosen]
-        return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -528,12 +493,9 @@ class JaccardJoin:
         ordered = groups.select("gid", "cls", "n", "met").repartitionByRange(parts, *order).sortWithinPartitions(*order)
         tried = self._plausible(ordered.mapInArrow(_linear(self.threshold), "a long, b long").distinct(), signatures)
         links = self.verified(tried)
-        for forest in (True, False):
-            comps = materialise(connected_components(links), "components")
-            pairs = materialise(self._between(groups, comps, signatures, forest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                links = links.unionByName(self.verified(pairs))
-                tried = tried.unionByName(pairs)
+        comps = materialise(connected_components(links), "components")
+        rest = self._between(groups, comps, signatures).distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(self.verified(rest))
         return links, materialise(connected_components(links), "components")
 
     def _plausible(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -557,7 +519,7 @@ class JaccardJoin:
         full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         return materialise(full.mapInArrow(room, "a long, b long"), "plausible")
 
-    def _between(self, groups: DataFrame, comps: DataFrame, signatures: DataFrame, forest: bool) -> DataFrame:
+    def _between(self, groups: DataFrame, comps: DataFrame, signatures: DataFrame) -> DataFrame:
         """Plausible pairs of sets of different components in the groups that hold several."""
         named = groups.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         mixed = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("gid", "size")
@@ -568,7 +530,7 @@ class JaccardJoin:
         tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
         spread = named.withColumn("task", F.explode(tasks)).select("gid", "cls", "n", "comp", F.col("task.i").alias("i"), F.col("task.j").alias("j"), (F.col("block") == F.col("task.j")).cast("int").alias("side"))
         spread = spread.join(signatures, "cls").repartition(shuffle_partitions(self.spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-        return spread.mapInArrow(_between(self.threshold, forest), "a long, b long")
+        return spread.mapInArrow(_between(self.threshold), "a long, b long")
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
