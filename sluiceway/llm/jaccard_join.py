@@ -377,7 +377,7 @@ def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, s
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _between(threshold: int, rows: int = 50_000):
+def _between(threshold: int, rows: int = 20_000):
     """Over rows sorted by (gid, i, j): class pairs of different components that may link."""
 
     def pairs_of(table: pa.Table) -> np.ndarray:
