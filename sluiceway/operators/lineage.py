@@ -30,15 +30,24 @@ def pairs(edges: DataFrame, tenant_id: str | None = None) -> DataFrame:
 
 
 def _reach(start: DataFrame, steps: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
-    """Nodes (``keys``) with the depth at which rounds over ``steps(f_<key>, t_<key>)`` first reach them."""
-    seen = start.select(*keys).distinct().withColumn("depth", F.lit(0))
-    front = seen
+    """Nodes (``keys``) with the least depth at which rounds over ``steps(f_<key>, t_<key>)`` reach them.
+
+    Each round joins the distinct nodes of the last one, kept in memory or on
+    disk, so plans stay short; rounds end with an empty one or at ``max_depth``.
+    """
+    on = [F.col(k) == F.col(f"f_{k}") for k in keys]
+    front, levels = start.select(*keys).distinct(), []
     for depth in range(1, max_depth + 1):
-        on = [F.col(k) == F.col(f"f_{k}") for k in keys]
-        found = front.select(*keys).join(steps, on).select(*[F.col(f"t_{k}").alias(k) for k in keys]).distinct()
-        front = found.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+        front = front.join(steps, on).select(*[F.col(f"t_{k}").alias(k) for k in keys]).distinct().persist()
+        if front.isEmpty():
+            break
+        levels.append(front.withColumn("depth", F.lit(depth)))
+    if not levels:
+        return start.select(*keys).limit(0).withColumn("depth", F.lit(0))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.groupBy(*keys).agg(F.min("depth").alias("depth")).join(start.select(*keys), keys, "left_anti")
 
 
 def upstream(edges: DataFrame, uri: str, tenant_id: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
