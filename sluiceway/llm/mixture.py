@@ -55,7 +55,8 @@ def budgets(totals: DataFrame, weights: list[int], share: float, max_epochs: int
     before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
     cat = cat.withColumn("level", (F.col("asked") - before) / after)
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything)
+    # The first source that its share of the rest doesn't overfill has the level; later ones only have less.
+    level = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything)
     cat = cat.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))))
     return cat.select("source", "source_size", "source_rows", "target")
 

@@ -88,7 +88,7 @@ lev AS (
   FROM cat),
 plan AS (
   SELECT source, source_size,
-         least(cap, coalesce(min(CASE WHEN ratio >= level THEN level END) OVER () * weight, cap)) AS target
+         least(cap, coalesce(max(CASE WHEN ratio >= level THEN level END) OVER () * weight, cap)) AS target
   FROM lev),
 placed AS (
   SELECT s.doc_id, s.source, s.size, p.source_size, p.target, CAST(floor(p.target + 0.5) AS BIGINT) AS budget,
