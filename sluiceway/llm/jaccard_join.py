@@ -46,6 +46,8 @@ EXTRA = 0.05
 #: Sets in a block of a large group, and in a leaf of a tree.
 BLOCK = 1024
 LEAF = 64
+#: Least group names that a set carries along: a pair is left to the least group that both are known to share.
+NAMES = 8
 #: Bits of the filter that keeps unneeded sets out of the shuffle; a fuller filter only lets more through.
 BLOOM_BITS = 1 << 24
 _MASK = np.uint64((1 << 48) - 1)
@@ -275,11 +277,23 @@ def _linear(threshold: int):
     return work
 
 
+def met_before(x: np.ndarray, y: np.ndarray, gid: np.ndarray) -> np.ndarray:
+    """Whether two sets' lists of least groups share one before ``gid``, where the pair is looked at as well.
+
+    The least group that a pair shares never has one before it, so no pair is lost.
+    """
+    out = np.zeros(len(x), bool)
+    for lo in range(0, len(x), 50_000):
+        a, b, g = (v[lo : lo + 50_000] for v in (x, y, gid))
+        out[lo : lo + 50_000] = ((a[:, :, None] == b[:, None, :]) & (a < g[:, None])[:, :, None]).any((1, 2))
+    return out
+
+
 class SignatureTree:
     """Sets of one bitmap width, ordered by size, under nodes of two children each."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray, cls: np.ndarray):
-        self.bits, self.sizes, self.comps, self.cls = bits, sizes, comps, cls
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray, cls: np.ndarray, names: np.ndarray):
+        self.bits, self.sizes, self.comps, self.cls, self.names = bits, sizes, comps, cls, names
         self.surplus = sizes - np.bitwise_count(bits).sum(1)
         self.root = self._node(0, len(sizes))
 
@@ -295,7 +309,7 @@ class SignatureTree:
         return node
 
 
-def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: list) -> None:
+def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, gid: int, found: list) -> None:
     """Put the pairs of classes that may link into ``found``."""
     words = min(x.bits.shape[1], y.bits.shape[1])
     fit = lambda b: folded(b[None, :], words)[0]
@@ -324,11 +338,12 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, threshold: int, found: li
         if x is y:
             i, j = (k[p["lo"] + i < q["lo"] + j] for k in (i, j))
         if len(i):
-            one, two = x.cls[a][i], y.cls[b][j]
+            new = ~met_before(x.names[a][i], y.names[b][j], np.full(len(i), gid))
+            one, two = x.cls[a][i[new]], y.cls[b][j[new]]
             found.append(np.stack((np.minimum(one, two), np.maximum(one, two)), 1))
 
 
-def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+def _small(gid: np.ndarray, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, names: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
     """All pairs that may link in groups of a leaf's size or less."""
     left, right = [], []
     for size in np.unique(sizes):
@@ -339,6 +354,8 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
     left, right = np.concatenate(left), np.concatenate(right)
     ok = (comp[left] != comp[right]) & similar_sizes(n[left], n[right], threshold)
     left, right = left[ok], right[ok]
+    new = ~met_before(names[left], names[right], gid[left])
+    left, right = left[new], right[new]
     pairs = np.stack((np.minimum(cls[left], cls[right]), np.maximum(cls[left], cls[right])), 1)
     pairs, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     left, right = left[first], right[first]
@@ -357,7 +374,7 @@ def _small(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sig: list, starts:
     return pairs[keep]
 
 
-def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, threshold: int) -> np.ndarray:
+def _large(gid: int, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, names: np.ndarray, threshold: int) -> np.ndarray:
     """The same for one large group, or two of its blocks, by trees over each bitmap width."""
     trees: dict[tuple[int, int], SignatureTree] = {}
     widths = np.array([len(s) for s in sig])
@@ -366,14 +383,14 @@ def _large(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, s
             at = np.flatnonzero((side == s) & (widths == w))
             at = at[np.lexsort((cls[at], n[at]))]
             bits = np.frombuffer(b"".join(sig[i] for i in at), np.uint64).reshape(len(at), -1)
-            trees[int(s), int(w)] = SignatureTree(bits, n[at], comp[at], cls[at])
+            trees[int(s), int(w)] = SignatureTree(bits, n[at], comp[at], cls[at], names[at])
     found: list = []
     keys = sorted(trees)
     two = len(np.unique(side)) == 2
     for i, (s, w) in enumerate(keys):
         for s2, w2 in keys[i:]:
             if (not two or s != s2) and max(w, w2) <= 2 * min(w, w2):
-                dual_traversal(trees[s, w], trees[s2, w2], threshold, found)
+                dual_traversal(trees[s, w], trees[s2, w2], threshold, gid, found)
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
@@ -383,15 +400,18 @@ def _between(threshold: int, rows: int = 20_000):
     def pairs_of(table: pa.Table) -> np.ndarray:
         gid, i, j, cls, n, comp, side = (table.column(c).to_numpy() for c in ("gid", "i", "j", "cls", "n", "comp", "side"))
         sig = table.column("signature").to_pylist()
+        names = np.full((len(sig), NAMES), np.iinfo(np.int64).max)
+        for row, known in enumerate(table.column("names").to_pylist()):
+            names[row, : len(known)] = known
         cuts = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
         starts, sizes = cuts[:-1], np.diff(cuts)
         out = []
         for at, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
             part = slice(at, at + size)
-            out.append(_large(cls[part], n[part], comp[part], side[part], sig[part], threshold))
+            out.append(_large(int(gid[at]), cls[part], n[part], comp[part], side[part], sig[part], names[part], threshold))
         few = (sizes >= 2) & (sizes <= LEAF)
         if few.any():
-            out.append(_small(cls, n, comp, sig, starts[few], sizes[few], threshold))
+            out.append(_small(gid, cls, n, comp, sig, names, starts[few], sizes[few], threshold))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +506,8 @@ class JaccardJoin:
         """Verified links that span every component, and ``node, component`` of linked classes."""
         groups = self.groups()
         signatures = self.sets.filter("signature is not null").select("cls", "signature").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"))
-        signatures = materialise(signatures, "signatures")
+        names = groups.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, NAMES).alias("names"))
+        signatures = materialise(signatures.join(names, "cls"), "signatures")
         parts = shuffle_partitions(self.spark)
         # The set that meets most company is likeliest the one that the others were made from: it goes first.
         order = ("gid", F.desc("met"), "n", "cls")

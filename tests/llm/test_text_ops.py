@@ -380,7 +380,7 @@ def test_large_groups_go_through_trees(monkeypatch):
     rng = np.random.default_rng(3)
     root = rng.integers(0, 1 << 48, 60).astype(np.uint64)
     sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.3), rng.integers(0, 1 << 48, 60).astype(np.uint64), root)) for _ in range(300)]
-    table = pa.table({"gid": [1] * 300, "i": [0] * 300, "j": [0] * 300, "cls": list(range(300)), "n": [len(s) for s in sets], "comp": list(range(300)), "side": [1] * 300, "signature": [jaccard_join.bitmap(s, len(s)) for s in sets]})
+    table = pa.table({"gid": [1] * 300, "i": [0] * 300, "j": [0] * 300, "cls": list(range(300)), "n": [len(s) for s in sets], "comp": list(range(300)), "side": [1] * 300, "signature": [jaccard_join.bitmap(s, len(s)) for s in sets], "names": [[1]] * 300})
     (out,) = list(jaccard_join._between(75)(iter(table.to_batches())))
     found = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
     true = {(i, j) for i in range(300) for j in range(i + 1, 300) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
