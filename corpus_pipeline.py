@@ -14,21 +14,35 @@ from sluiceway.llm import bpe, exact_dedup, jaccard_join, mixture, toxicity
 from sluiceway.llm.common import materialise, read
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: a number for each row that no other has and that grows with doc_id, null ids last.
+
+    Ids that are set and different are their own numbers; otherwise rows are
+    sorted, counted off and written, so that the numbers hold when read again.
+    """
+    rows, ids, different = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows == ids == different:
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    return materialise(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the lexicon learnt from ``labels`` scores under 0.5; null and empty texts stay."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the row with the smallest id; rows without an id stay."""
-    return exact_dedup.drop_exact_copies(docs)
+    """Of texts equal but for white space, one row: that with the smallest id, or one without an id where none has any."""
+    return exact_dedup.drop_exact_copies(numbered(docs), "_row").drop("_row")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents tied by five-word shingles at 0.75 or more, the one with the smallest id; rows without an id stay."""
-    found = jaccard_join.near_duplicate_components(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of documents tied by five-word shingles at 0.75 or more, one row: that with the smallest id, or one without an id where none has any."""
+    rows = numbered(docs)
+    found = jaccard_join.near_duplicate_components(rows, "_row")
+    gone = found.filter(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("_gone"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +50,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The document at which a source's budget ends is cut after its last word
     taken, and ``n_chars`` follows; documents without words are in no mixture.
-    An id that occurs several times is taken as often as its fullest row.
+    Each row is taken for itself, also where ids are null or repeat.
     """
-    plan = mixture.mix_sources(docs, mixture.word_count(F.col("text"))).filter("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    mixed = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = numbered(docs)
+    plan = mixture.mix_sources(rows, mixture.word_count(F.col("text")), "_row").filter("taken > 0")
+    plan = plan.select(F.col("_row").alias("_id"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    mixed = rows.join(plan, F.col("_row") == F.col("_id"))
     mixed = mixed.withColumn("_part", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), e -> least(_size, _taken - e * _size))")))
     cut = F.expr(r"array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(_part as int)), '')")
     whole = F.col("_part") == F.col("_size")

@@ -129,6 +129,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group of equal texts; all columns stay."""
+    """The rows of ``docs`` whose id is the smallest of its group of equal texts; all columns stay.
+
+    Ids must name rows: rows whose id is null, or that repeat the id of a copy, go
+    with it.  Give rows numbers of their own where a table can't promise that.
+    """
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
