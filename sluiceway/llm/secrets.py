@@ -3,9 +3,9 @@
 Some secrets show themselves (an assignment to a password, an access key id, a
 long hexadecimal string).  Others are weak: forty base-64 characters or a host
 name mean little alone.  A *scope* is a stretch of lines without an empty line
-between them.  Inside a scope, every access identifier opens an interval of
-``REACH`` characters to both sides; weak parts that overlap such an interval are
-joined to it by a sweep over both sorted lists.  A weak secret is reported once
+between them.  Every access identifier opens an interval: its whole scope, or
+``reach`` characters to both sides in it where a reach is given; weak parts that
+overlap such an interval are joined to it by a sweep over both sorted lists.  A weak secret is reported once
 it is joined to an identifier, an endpoint once it is joined to an identifier
 that also has a secret.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import strings
 
-#: Characters around an access identifier in which its other parts are looked for.
+#: Characters around an access identifier that :func:`link` looks at unless told otherwise; queries look at whole scopes.
 REACH = 400
 #: In the order in which kinds stand where two spans begin together.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
@@ -61,29 +61,33 @@ def interval_join(lefts: list[tuple[int, int]], rights: list[tuple[int, int]]) -
         yield from ((i, j) for j in live if rights[j][0] < end)
 
 
-def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak parts that occur with their complements."""
+def link(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Weak parts that occur with their complements, in the whole scope where ``reach`` is None.
+
+    Spans are those of the whole text, whatever the reach: it cuts no span short.
+    """
     ids = [(s, e) for s, k, e in base if k == 1]
     if not ids:
         return []
     ends = [m.start() for m in _SCOPE_END.finditer(text)]
     bounds = [0, *ends, len(text)]
 
+    scopes = sorted({bisect.bisect_right(ends, begin) for begin, _ in ids})
+
     def around(span: tuple[int, int]) -> tuple[int, int]:
         at = bisect.bisect_right(ends, span[0])
+        if reach is None:
+            return bounds[at], bounds[at + 1]
         return max(bounds[at], span[0] - reach), min(bounds[at + 1], span[1] + reach)
 
-    # Matching windows only keeps the scan in proportion to the identifiers found.
     windows = [around(x) for x in ids]
-    merged: list[list[int]] = []
-    for begin, end in sorted(windows):
-        if merged and begin <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([begin, end])
-    weak = [m.span() for a, b in merged for m in _WEAK_SECRET.finditer(text, a, b)]
-    points = [m.span() for a, b in merged for m in _ENDPOINT.finditer(text, a, b)]
+    # Matching scopes with an identifier only; a scope ends before a line feed, which no weak part holds.
+    weak = [m.span() for at in scopes for m in _WEAK_SECRET.finditer(text, bounds[at], bounds[at + 1])]
+    points = [m.span() for at in scopes for m in _ENDPOINT.finditer(text, bounds[at], bounds[at + 1])]
     strong = [(s, e) for s, k, e in base if k != 1]
+    if reach is None:
+        # Identifiers of one scope have one interval: it stands once.
+        windows = sorted(set(windows))
     secret_hits = list(interval_join(windows, weak))
     backed = {i for i, _ in secret_hits} | {i for i, _ in interval_join(windows, strong)}
     linked = {weak[j] for _, j in secret_hits}
@@ -91,11 +95,11 @@ def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     return sorted([(s, 3, e) for s, e in linked] + [(s, 4, e) for s, e in ends_linked])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """id and ``spans``: an array of (kind, start, end) in code points, end exclusive, by start and kind.
 
     Base kinds are ``assign``, ``access`` and ``hex``; linking adds
-    ``linked_secret`` and ``linked_endpoint``.  Null and empty texts have no
+    ``linked_secret`` and ``linked_endpoint``, within whole scopes unless ``reach`` is given.  Null and empty texts have no
     spans.  Whole texts are read.  Ids may be null or repeat.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
