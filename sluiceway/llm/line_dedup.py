@@ -20,7 +20,7 @@ from .components import connected_components
 
 #: Edits at which two lines still link.
 TAU = 2
-#: Shorter lines link only where they are equal.
+#: Shorter lines link only where they are equal, unless told otherwise; the registered query has no floor.
 MIN_CHARS = 32
 
 
@@ -107,9 +107,8 @@ def edits_within(tau: int, shorter: str = "shorter", longer: str = "longer") ->
 
 def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``a, b``: keys of different lines of ``min_chars`` or more at most ``tau`` edits apart, once a pair."""
-    if min_chars < tau + 1:
-        raise ValueError("lines must have a character for each segment")
-    long_lines = lines.filter(F.col("n_chars") >= min_chars)
+    # A segment needs a character: lines of tau or fewer meet all of up to 2 tau, whose number the alphabet bounds.
+    long_lines = lines.filter(F.col("n_chars") >= max(min_chars, tau + 1))
     index = long_lines.select(F.explode(index_keys(tau)).alias("key"), F.col("line_key").alias("a"))
     probe = long_lines.select(F.explode(probe_keys(tau)).alias("probe_key"), F.col("line_key").alias("b"))
     met = index.join(probe, F.col("key") == F.col("probe_key")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -120,7 +119,12 @@ def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> D
     full = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.col("n_a") - F.col("n_b")) <= tau)
     shorter = F.col("n_a") <= F.col("n_b")
     ordered = full.select("a", "b", F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")).alias("shorter"), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")).alias("longer"))
-    return ordered.filter(edits_within(tau)).select("a", "b")
+    links = ordered.filter(edits_within(tau)).select("a", "b")
+    if min_chars > tau:
+        return links
+    tiny = lambda most, name: lines.filter(F.col("n_chars").between(min_chars, most)).select(F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"))
+    near = tiny(tau, "x").join(tiny(2 * tau, "y"), F.expr(f"x <> y and levenshtein(line_x, line_y) <= {tau}"))
+    return links.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -40,7 +40,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_duplicate_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.near_duplicate_lines(read(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
