@@ -503,7 +503,10 @@ class JaccardJoin:
         return materialise(full.mapInArrow(_verify(self.threshold), "a long, b long"), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """Verified links that span every component, and ``node, component`` of linked classes."""
+        """Verified links that span every component, and ``node, component`` of linked classes.
+
+        Pairs already in one component aren't compared: these are not all links of a class.
+        """
         groups = self.groups()
         signatures = self.sets.filter("signature is not null").select("cls", "signature").join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("signature").alias("signature"))
         names = groups.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, NAMES).alias("names"))
