@@ -58,7 +58,7 @@ def src_parquet_projection(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 LIMIT 1000000")
 def src_document_find(spark, sf_dir):
-    return readers.document_find(table(spark, sf_dir, "customer"), {"filter": "c_nationkey = 3", "projection": ["c_custkey", "c_name"], "limit": 1_000_000})
+    return readers.document_find(table(spark, sf_dir, "customer"), {"filter": "c_nationkey = 3", "projection": ["c_custkey", "c_name"]})
 
 
 @query("SELECT o_orderkey, o_totalprice, NULL AS extra FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, 'x' FROM orders WHERE o_orderkey % 2 = 1")
