@@ -373,18 +373,69 @@ def test_jaccard_components(spark, edge, empty):
     assert len(odd) == len(EDGE) and all(r["component_id"] == 5 for r in odd if r["doc_id"] in (None, 5))
 
 
-def test_large_groups_go_through_trees(monkeypatch):
-    """One group of many near copies, in blocks and trees, against all pairs."""
-    import pyarrow as pa
-
+def one_family(count: int) -> list[np.ndarray]:
     rng = np.random.default_rng(3)
     root = rng.integers(0, 1 << 48, 60).astype(np.uint64)
-    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.3), rng.integers(0, 1 << 48, 60).astype(np.uint64), root)) for _ in range(300)]
-    table = pa.table({"gid": [1] * 300, "i": [0] * 300, "j": [0] * 300, "cls": list(range(300)), "n": [len(s) for s in sets], "comp": list(range(300)), "side": [1] * 300, "signature": [jaccard_join.bitmap(s, len(s)) for s in sets], "names": [[1]] * 300})
-    (out,) = list(jaccard_join._between(75)(iter(table.to_batches())))
+    return [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.4), rng.integers(0, 1 << 48, 60).astype(np.uint64), root)) for _ in range(count)]
+
+
+def linked(sets: list[np.ndarray]) -> set[tuple[int, int]]:
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+
+
+def named_by_least(pairs, count: int) -> list[int]:
+    label = list(range(count))
+    for _ in range(count):
+        before = list(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+    return label
+
+
+def test_dual_traversal_visits_every_link():
+    sets = one_family(300)
+    n = np.array([len(s) for s in sets])
+    trees = [jaccard_join.SignatureTree(np.arange(at, 300, 2), n, sets) for at in (0, 1)]
+    met = set()
+
+    def visit(a, b, ok):
+        met.update((min(a[i], b[j]), max(a[i], b[j])) for i, j in zip(*np.nonzero(ok), strict=True))
+
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        jaccard_join.dual_traversal(trees[x], trees[y], 75, lambda a, b: False, visit)
+    true = linked(sets)
+    assert true and true <= met and len(met) < 300 * 299 // 2
+
+
+def test_a_task_ties_all_that_links():
+    """Links out of one task are few, true, and tie what all pairs tie."""
+    import pyarrow as pa
+
+    sets = one_family(300)
+    table = pa.table({"task": [1] * 300, "cls": list(range(300)), "n": [len(s) for s in sets], "comp": list(range(300)), "side": [0] * 300, "hub": [i == 7 for i in range(300)], "tokens": [jaccard_join.pack_tokens(s) for s in sets]})
+    (out,) = list(jaccard_join._join_tasks(75)(iter(table.to_batches())))
     found = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
-    true = {(i, j) for i in range(300) for j in range(i + 1, 300) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
-    assert true and true <= found and len(found) < 300 * 299 // 2
+    true = linked(sets)
+    assert found <= true and len(found) < 300 and named_by_least(found, 300) == named_by_least(true, 300)
+
+
+def test_blocks_of_one_large_family(spark, monkeypatch):
+    """A family cut into many blocks has the components that all pairs give, and makes no row for a pair."""
+    rng = random.Random(8)
+    root = [f"w{i}" for i in range(70)]
+    texts = [" ".join(w if rng.random() > share else f"x{rng.random()}" for w in root) for share in [rng.uniform(0, 0.06) for _ in range(400)]]
+    shingles = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    true = [(i, j) for i in range(400) for j in range(i + 1, 400) if 100 * (c := len(shingles[i] & shingles[j])) >= 75 * (len(shingles[i]) + len(shingles[j]) - c)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3_000)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = jaccard_join.JaccardJoin(table)
+    links, _ = join.links()
+    assert links.count() < 4 * 400 < len(true)
+    got = rows(jaccard_join.near_duplicate_components(table), "doc_id")
+    label = named_by_least(true, 400)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
 
 
 def test_components(spark):
