@@ -13,6 +13,7 @@ to one *class* first; the join finds links between classes and their components.
    fewer than ``l`` shared leading tokens are done.
 4. *Families.*  Groups are gathered under the set that meets most company: near
    copies of one text share it, so each set travels about once with its tokens.
+   It leaves families that hold too little of it to matter.
 5. *Trees.*  A task compares all its sets with that head and builds signature
    trees over the rest: nodes carry OR-combined bitmaps and size ranges, and a dual
    traversal drops node pairs whose largest possible overlap is too small or that
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialise, shared_dir, shuffle_partitions, utf8
@@ -492,24 +493,41 @@ class JaccardJoin:
         self.members = self.sets.select("doc_id", "cls", "n")
 
     def groups(self) -> DataFrame:
-        """``gid, cls, n, met`` of sets that share leading tokens often enough."""
+        """``gid, cls, n, w, met`` of sets that share leading tokens often enough: w of them in this group, met in all."""
         levels = self.spark.sparkContext.broadcast(_levels(self.sets))
         buckets = shuffle_partitions(self.spark)
         entries = self.sets.filter("tokens is not null").select("cls", "n", "tokens").mapInArrow(_entries(levels, buckets, self.threshold), "bucket int, blob binary")
-        found = materialise(entries.groupBy("bucket").applyInArrow(_groups(levels, buckets), "gid long, cls long, n long, w long"), "groups")
-        need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * self.threshold / 100) * EXTRA)).cast("long")
-        alive = found.groupBy("cls").agg(F.sum("w").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= need).select("cls", "met")
-        return materialise(found.select("gid", "cls", "n").distinct().join(alive, "cls"), "groups")
+        found = entries.groupBy("bucket").applyInArrow(_groups(levels, buckets), "gid long, cls long, n long, w long")
+        found = materialise(found, "groups")
+        alive = found.groupBy("cls").agg(F.sum("w").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= self._needed()).select("cls", "met")
+        return materialise(found.groupBy("gid", "cls", "n").agg(F.sum("w").alias("w")).join(alive, "cls"), "groups")
+
+    def _needed(self) -> Column:
+        """Leading tokens that a set of n shares with each set that links to it."""
+        return F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * self.threshold / 100) * EXTRA)).cast("long")
+
+    def _scale(self) -> Column:
+        """Sizes that may link are of the same scale or of one aside."""
+        return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.threshold)) + 1e-9)
 
     def families(self) -> DataFrame:
         """``fam, cls, n``: each group's sets under the set of the group that meets most company.
 
         Many groups of one family of copies have the same head, so a set comes up
-        about once for each family, not for each token.
+        about once for each family, not for each token.  A set leaves the families
+        in which it shares least, together under half of what a link needs: two
+        sets leave less than a link between them, so one family still holds both.
+        It also leaves those that have no other set of a size near its own.
         """
         groups = self.groups()
         heads = groups.groupBy("gid").agg(F.max_by("cls", F.struct("met", "cls")).alias("fam"), F.count("*").alias("size")).filter("size > 1").drop("size")
-        return materialise(groups.join(heads, "gid").select("fam", "cls", "n").distinct(), "families")
+        found = groups.join(heads, "gid").groupBy("fam", "cls", "n").agg(F.sum("w").alias("w"))
+        upto = F.sum("w").over(Window.partitionBy("cls").orderBy("w", "fam"))
+        kept = found.withColumn("upto", upto).filter(2 * F.col("upto") > self._needed() - 1).select("fam", "cls", "n", self._scale().alias("scale"))
+        kept = materialise(kept, "families")
+        near = kept.groupBy("fam", "scale").agg(F.count("*").alias("sets")).select("fam", F.explode(F.expr("array(scale - 1, scale, scale + 1)")).alias("scale"), "sets")
+        near = near.groupBy("fam", "scale").agg(F.sum("sets").alias("sets")).filter("sets > 1").select("fam", "scale")
+        return materialise(kept.join(near, ["fam", "scale"]).select("fam", "cls", "n"), "families")
 
     def _bloom(self, ids: DataFrame):
         """A membership filter of bounded size for class names."""
@@ -579,8 +597,7 @@ class JaccardJoin:
         named = families.join(comps, F.col("cls") == F.col("node"), "left").select("fam", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         shares = named.groupBy("fam", "comp").agg(F.sum("n").alias("share"))
         main = shares.groupBy("fam").agg(F.max_by("comp", F.struct("share", "comp")).alias("main"), F.count("*").alias("several")).filter("several > 1").drop("several")
-        scale = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.threshold)) + 1e-9)
-        named = materialise(named.join(main, "fam").select("fam", "cls", "n", "comp", scale.alias("scale"), (F.col("comp") == F.col("main")).alias("inside")), "unjoined")
+        named = materialise(named.join(main, "fam").select("fam", "cls", "n", "comp", self._scale().alias("scale"), (F.col("comp") == F.col("main")).alias("inside")), "unjoined")
         cells = named.groupBy("fam", "scale", "inside").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
         named = named.join(cells, ["fam", "scale", "inside"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit("across")), F.col("blocks")))
         units = cells.select("fam", "scale", "inside", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
