@@ -1,17 +1,28 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-Cut a line into ``tau + 1`` segments: at most ``tau`` edits leave one of them
-intact, and it stands in the other line at a place that its length and the other
-segments bound.  Every line indexes its own segments and probes, for each length
-``tau`` or less below its own, only the substrings at those places; equal keys
-make candidates, and a banded bit-parallel edit distance decides.
-
-Texts travel twice: once to fold equal lines, once to meet their candidates.
-Index and probe rows hold two 64-bit numbers.
+Cut a line into segments: at most ``tau`` edits lie in ``tau`` of them, and the
+others stand in the other line at places that its length bounds.  Every line
+indexes what is left of it without each choice of ``tau`` segments, and probes,
+for each length ``tau`` or less below its own, only the substrings at the places
+where the rest can stand.  Equal keys make candidates, and a banded bit-parallel
+edit distance decides.
+
+The first level cuts into ``tau + 1`` segments, of which one must be whole: few
+rows, and enough for most lines.  Keys that many lines index (a frequent opening, a
+family of variants) make no candidates there: their lines go on to a second level
+with ``2 tau + 1`` segments, of which all but ``tau`` must be whole.  Lines of a key that is
+still shared by many go on with only the part that the key leaves open, under half
+of the text, and so on: the pairs looked at stay near those that do link, not
+the square of a group.
+
+Lines of ``tau`` characters or fewer all link with each other; they are tied to one
+of them and their links counted.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,43 +31,136 @@ from .components import connected_components
 
 #: Edits at which two lines still link.
 TAU = 2
-#: Shorter lines link only where they are equal, unless told otherwise; the registered query has no floor.
-MIN_CHARS = 32
+#: A key that more lines index is looked at on the next level: on the first, and on those whose pairs are sifted.
+HOT = 10
+DEEP = 512
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``line_key, line, n_chars, n_rows, first_id`` of every line that isn't empty."""
+    """``line_key, line_id, line, n_chars, n_rows, first_id`` of every line that isn't empty.
+
+    ``line_key`` is a number that no other line has, once the table is written; ``line_id`` its MD5.
+    """
     lines = docs.select(F.col(id_col).cast("long").alias("row_id"), F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line")).filter("line <> ''")
     folded = lines.groupBy("line").agg(F.count("*").alias("n_rows"), F.min("row_id").alias("first_id"))
-    return folded.select(F.xxhash64("line").alias("line_key"), "line", F.length("line").cast("long").alias("n_chars"), "n_rows", "first_id")
+    return folded.select(F.monotonically_increasing_id().alias("line_key"), F.md5("line").alias("line_id"), "line", F.length("line").cast("long").alias("n_chars"), "n_rows", "first_id")
+
+
+def cuts(parts: int, tau: int, less: int) -> list[tuple[int, ...]]:
+    """Which segments of ``parts`` an edited line may lack: ``tau`` holes of first segment, end and the shift after it.
+
+    ``tau`` segments are chosen and neighbours make one hole; a hole of c segments
+    shifts what follows by c or less, and the last hole by ``less`` in all.  Holes
+    that aren't needed stand at the end.
+    """
+    found = []
+    for chosen in combinations(range(parts), tau):
+        holes: list[list[int]] = []
+        for i in chosen:
+            if holes and holes[-1][1] == i:
+                holes[-1][1] = i + 1
+            else:
+                holes.append([i, i + 1])
+        for moves in product(*[range(b - e, e - b + 1) for b, e in holes[:-1]]):
+            shifts = [sum(moves[: k + 1]) for k in range(len(moves))] + [less]
+            b, e = holes[-1]
+            if abs(less - sum(moves)) <= e - b:
+                row = [x for (b, e), t in zip(holes, shifts, strict=True) for x in (b, e, t)]
+                found.append(tuple(row + [parts, parts, less] * (tau - len(holes))))
+    return found
 
 
-def _segment(n: str, i: int, tau: int) -> tuple[str, str]:
-    """Start (from 1) and length of segment i (from 0) of a line of ``n`` characters: equal, the last takes the rest."""
-    size = f"({n} div {tau + 1})"
-    return f"({i} * {size} + 1)", size if i < tau else f"({n} - {tau} * {size})"
+def _moves(parts: int, tau: int, lesses: range) -> list[tuple[int, ...]]:
+    """Every cut for each difference in length: the difference, then the holes."""
+    return [(less, *c) for less in lesses for c in cuts(parts, tau, less)]
 
 
-def index_keys(tau: int) -> Column:
-    """Keys of a line's own segments."""
-    rows = []
-    for i in range(tau + 1):
-        start, size = _segment("n_chars", i, tau)
-        rows.append(f"xxhash64(n_chars, {i}, substring(line, cast({start} as int), cast({size} as int)))")
-    return F.expr(f"array({', '.join(rows)})")
+def _piece(s: str, a: str, b: str) -> str:
+    return f"substring({s}, cast({a} as int) + 1, cast(({b}) - ({a}) as int))"
 
 
-def probe_keys(tau: int) -> Column:
-    """Keys at which a line looks for lines of its own or a smaller length, within ``tau``."""
-    rows = []
-    for less in range(tau + 1):
-        n = f"(n_chars - {less})"
-        for i in range(tau + 1):
-            start, size = _segment(n, i, tau)
-            lowest, highest = max(-i, less - (tau - i)), min(i, less + (tau - i))
-            for move in range(lowest, highest + 1):
-                rows.append(f"xxhash64({n}, {i}, substring(line, cast({start} + {move} as int), cast({size} as int)))")
-    return F.array_distinct(F.expr(f"array({', '.join(rows)})"))
+def first_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
+    """``key, id, cut`` of the first level, where one of ``tau + 1`` segments is kept; cut counts through ``_moves``."""
+    keys = []
+    for less, *holes in _moves(tau + 1, tau, range(tau + 1) if probe else range(1)):
+        n, at, shift, kept = f"(n_chars - {less})", 0, 0, []
+        for b, e, t in [*zip(*[iter(holes)] * 3, strict=True), (tau + 1, tau + 1, 0)]:
+            if b > at:
+                kept.append((at, _piece("line", f"{at} * {n} div {tau + 1} + {shift}", f"{b} * {n} div {tau + 1} + {shift}")))
+            at, shift = e, t
+        ((segment, text),) = kept
+        keys.append(f"if({n} > {tau}, xxhash64({n}, {segment}, {text}), null)")
+    return lines.select(F.col("line_key").alias("id"), F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("cut", "key")).filter("key is not null")
+
+
+def _holes(rows: DataFrame, tau: int, parts: range, probe: bool) -> DataFrame:
+    """A fixed table of cuts: k, d (difference in length), cut, then b, e, t of each hole; k = 0 leaves all open."""
+    names = [f"{x}{i}" for i in range(1, tau + 1) for x in "bet"]
+    lesses = range(tau + 1) if probe else range(1)
+    table = [(k, less, cut, *holes) for k in parts for cut, (less, *holes) in enumerate(_moves(k, tau, lesses))] + [(0, d, -1, *(0, 0, d) * tau) for d in lesses]
+    return F.broadcast(rows.sparkSession.createDataFrame(table, ", ".join(f"{c} int" for c in ("k", "d", "cut", *names))))
+
+
+def _edge(i: str) -> str:
+    return f"if(k = 0, 0, {i} * n div k)"
+
+
+def _cut(rows: DataFrame, tau: int, probe: bool) -> DataFrame:
+    """Rows ``g, s, less, id, row, sign`` once for each of their cuts.
+
+    Texts of fewer than ``2 tau + 1`` characters are cut into single ones; of ``tau`` or fewer, all of one ``g`` meet.
+    """
+    n = F.length("s") - F.col("less")
+    cut = rows.withColumn("n", n).withColumn("parts", F.when(n > tau, F.least(n, F.lit(2 * tau + 1))).otherwise(0))
+    return cut.join(_holes(rows, tau, range(tau + 1, 2 * tau + 2), probe), (F.col("parts") == F.col("k")) & (F.col("less") == F.col("d")))
+
+
+def _open_pieces(tau: int) -> list[str]:
+    shifts = ["0", *[f"t{i}" for i in range(1, tau + 1)]]
+    return [_piece("s", f"{_edge(f'b{i}')} + {shifts[i - 1]}", f"{_edge(f'e{i}')} + {shifts[i]}") for i in range(1, tau + 1)]
+
+
+def deeper_keys(rows: DataFrame, tau: int, probe: bool) -> DataFrame:
+    """``key, row, id, cut, sign, open, h1, ...``: the name of what a cut keeps within ``g``, and of what stands in each of several holes."""
+    kept, at, shift = [], "0", "0"
+    for i in range(1, tau + 1):
+        kept.append(_piece("s", f"{at} + {shift}", f"{_edge(f'b{i}')} + {shift}"))
+        at, shift = _edge(f"e{i}"), f"t{i}"
+    kept.append(_piece("s", f"{at} + less", "if(k = 0, 0, n) + less"))
+    where = ", ".join(f"b{i}, e{i}" for i in range(1, tau + 1))
+    several = "b2 < e2 and " if tau > 1 else "false and "
+    holes = [F.expr(f"if({several}b{i} < e{i}, xxhash64({text}), null)").alias(f"h{i}") for i, text in enumerate(_open_pieces(tau), 1)]
+    key = F.expr(f"xxhash64(g, k, {where}, {', '.join(kept)})").alias("key")
+    return _cut(rows, tau, probe).select(key, "row", "id", "cut", "sign", (F.col("n") > 2 * tau + 1).alias("open"), *holes)
+
+
+def left_open(keys: DataFrame, rows: DataFrame, tau: int, probe: bool) -> DataFrame:
+    """Rows of the next level for ``keys``: of each text what its cut doesn't keep."""
+    rows = likely(rows, keys.select("row").distinct(), "row").filter("hit").drop("hit")
+    wanted = keys.select(F.col("key").alias("within"), F.col("row").alias("at"), F.col("cut").alias("way"))
+    full = _cut(rows.join(wanted, F.col("at") == F.col("row")), tau, probe).filter("way = cut")
+    return full.select(F.col("within").alias("g"), F.concat(*[F.expr(x) for x in _open_pieces(tau)]).alias("s"), "less", "id", "sign", F.monotonically_increasing_id().alias("row"))
+
+
+def odd_characters(text: str) -> Column:
+    """A bit for each of 64 classes of characters: whether a text holds an odd number. An edit changes two bits at most."""
+    return F.expr(f"aggregate(split({text}, ''), 0L, (bits, c) -> bits ^ shiftleft(1L, ascii(c) % 64))")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str = "line_key") -> DataFrame:
+    """``rows`` with ``hit``: false only where ``key`` isn't in ``wanted(key)``.
+
+    A bitmap of at most 2**19 words (a row of two numbers each) over hashes of the
+    wanted keys; a fuller one only lets more through.  It keeps most rows out of the
+    shuffles that follow.
+    """
+    words = min(1 << 19, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
+    spot = F.pmod(F.xxhash64(key), F.lit(words * 64))
+    marks = wanted.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("word"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit"))
+    table = F.broadcast(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    asked = rows.withColumn("spot", spot).withColumn("place", F.shiftright("spot", 6))
+    found = asked.join(table, F.col("place") == F.col("word"), "left")
+    return found.withColumn("hit", F.expr("coalesce(getbit(bits, cast(spot & 63 as int)) = 1, false)")).drop("spot", "place", "word", "bits")
 
 
 def _shared(x: str, y: str, most: str) -> str:
@@ -105,43 +209,89 @@ def edits_within(tau: int, shorter: str = "shorter", longer: str = "longer") ->
     return F.expr(_bound(f"'x', {shorter}, 'y', {longer}", "z", walk))
 
 
-def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b``: keys of different lines of ``min_chars`` or more at most ``tau`` edits apart, once a pair."""
-    # A segment needs a character: lines of tau or fewer meet all of up to 2 tau, whose number the alphabet bounds.
-    long_lines = lines.filter(F.col("n_chars") >= max(min_chars, tau + 1))
-    index = long_lines.select(F.explode(index_keys(tau)).alias("key"), F.col("line_key").alias("a"))
-    probe = long_lines.select(F.explode(probe_keys(tau)).alias("probe_key"), F.col("line_key").alias("b"))
-    met = index.join(probe, F.col("key") == F.col("probe_key")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialise(met.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = materialise(lines.join(wanted, F.col("line_key") == F.col("wanted"), "left_semi").select("line_key", "line", "n_chars"), "line-texts")
+def _whole(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines of ``wanted(id, less)`` as rows of the second level."""
+    texts = likely(lines, wanted.select(F.col("id").alias("line_key")).distinct()).filter("hit").select("line_key", "line", "n_chars")
+    rows = texts.join(wanted, F.col("line_key") == F.col("id")).select((F.col("n_chars") - F.col("less")).alias("g"), F.col("line").alias("s"), "less", "id", odd_characters("line").alias("sign"))
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows")
+
+
+def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``a, b``: keys of lines of more than ``tau`` characters that may link, once a pair."""
+    both = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    longer = lines.filter(F.col("n_chars") > tau)
+    own, sought = first_keys(longer, tau, False), first_keys(longer, tau, True)
+    many = materialise(own.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT).select("key"), "line-hot-keys")
+    few = own.join(many, "key", "left_anti").select("key", F.col("id").alias("a"))
+    met = both(few.join(sought.select("key", F.col("id").alias("b")), "key").filter("a <> b"))
+    if many.isEmpty():
+        return met.distinct()
+    # What a line indexes it also probes, at no difference in length and no shift.
+    moves = _moves(tau + 1, tau, range(tau + 1))
+    less = F.element_at(F.array(*[F.lit(m[0]) for m in moves]), F.col("cut") + 1)
+    still = F.col("cut").isin([i for i, (d, *holes) in enumerate(moves) if d == 0 and not any(holes[2::3])])
+    hot = materialise(sought.join(many, "key", "left_semi").select("id", less.alias("less"), still.alias("own")).distinct(), "line-wanted")
+    index, probe = _whole(longer, hot.filter("own").select("id", "less")), _whole(longer, hot.select("id", "less").distinct())
+    while True:
+        own, sought = deeper_keys(index, tau, False), deeper_keys(probe, tau, True)
+        # Texts that are cut into single characters differ in those left out at most: that's a link, or nearly.
+        many = own.filter("open").groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > DEEP).select("key")
+        many = materialise(many, "line-hot-keys")
+        holes = [f"h{i}" for i in range(1, tau + 1)]
+        few = own.join(many, "key", "left_anti").select("key", F.col("id").alias("a"), "sign", *holes)
+        other = sought.select("key", F.col("id").alias("b"), F.col("sign").alias("mark"), *[F.col(h).alias(f"o{h}") for h in holes])
+        # Where one of several holes holds the same in both, a cut with fewer holes has the pair too.
+        differ = " and ".join(f"coalesce({h} <> o{h}, true)" for h in holes)
+        pairs = few.join(other, "key").filter("a <> b").filter(F.bit_count(F.col("sign").bitwiseXOR(F.col("mark"))) <= 2 * tau).filter(differ)
+        met = met.unionByName(both(pairs))
+        if many.isEmpty():
+            return met.distinct()
+        on = lambda keys: materialise(keys.select("key", "row", "cut").join(many, "key", "left_semi"), "line-hot")
+        index = materialise(left_open(on(own), index, tau, False), "line-index")
+        probe = materialise(left_open(on(sought), probe, tau, True), "line-probes")
+
+
+def edit_join(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``a, b``: keys of different lines of more than ``tau`` characters, or of one such and a shorter one, at most ``tau`` edits apart, once a pair."""
+    pairs = materialise(candidates(lines, tau), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_key")).distinct()
+    texts = likely(lines, wanted).filter("hit").join(wanted, "line_key", "left_semi")
+    texts = materialise(texts.select("line_key", "line", "n_chars"), "line-texts")
     side = lambda name: texts.select(F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"), F.col("n_chars").alias(f"n_{name}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.col("n_a") - F.col("n_b")) <= tau)
     shorter = F.col("n_a") <= F.col("n_b")
     ordered = full.select("a", "b", F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")).alias("shorter"), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")).alias("longer"))
     links = ordered.filter(edits_within(tau)).select("a", "b")
-    if min_chars > tau:
-        return links
-    tiny = lambda most, name: lines.filter(F.col("n_chars").between(min_chars, most)).select(F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"))
-    near = tiny(tau, "x").join(tiny(2 * tau, "y"), F.expr(f"x <> y and levenshtein(line_x, line_y) <= {tau}"))
-    return links.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    # A line of tau characters or fewer shares a character with each longer one that it links with.
+    signs = lambda low, high, name: lines.filter(F.col("n_chars").between(low, high)).select(F.explode(F.array_distinct(F.split("line", ""))).alias("sign"), F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"))
+    tiny = signs(1, tau, "x").join(signs(tau + 1, 2 * tau, "y"), "sign").filter(F.levenshtein("line_x", "line_y") <= tau)
+    return links.unionByName(tiny.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """One row per distinct line: ``line_id`` (MD5), n_chars, n_rows, first_id, n_links, class_id, kept.
 
     Lines are what stands between line feeds; empty ones and null texts give
-    none.  Lines of ``min_chars`` or more link within ``tau`` edits; ``class_id`` is
-    the smallest line id reachable by links and its line is the one kept.  Null
-    ids only leave ``first_id`` null where a line has no other.
+    none, and so does an empty table.  Lines link within ``tau`` (1 or more)
+    edits, at any length; ``class_id`` is the smallest line id reachable by links
+    and its line is the one kept.  Repeated rows count in ``n_rows``; null ids only
+    leave ``first_id`` null where a line has no other.  Other columns aren't read,
+    whatever their names.
     """
     lines = materialise(distinct_lines(docs, id_col, text_col), "lines")
-    links = materialise(edit_join(lines, tau, min_chars), "line-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("line_key")).groupBy("line_key").agg(F.count("*").alias("n_links"))
-    named = connected_components(links, local_edges=-1).withColumnRenamed("node", "line_key")
-    linked = lines.select("line_key", F.md5("line").alias("line_id")).join(named.join(degree, "line_key"), "line_key")
+    links = materialise(edit_join(lines, tau), "line-links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("line_key")).groupBy("line_key").agg(F.count("*").alias("links"))
+    tiny = lines.filter(F.col("n_chars") <= tau)
+    first = tiny.agg(F.min("line_key").alias("b"), (F.count("*") - 1).alias("others"))
+    star = tiny.select(F.col("line_key").alias("a")).join(F.broadcast(first.select("b")), F.col("a") > F.col("b"))
+    named = materialise(connected_components(links.unionByName(star), local_edges=-1).withColumnRenamed("node", "line_key"), "line-components")
+    plain = likely(lines.select("line_key", "line_id", "n_chars", "n_rows", "first_id"), named.select("line_key"))
+    linked = plain.filter("hit").select("line_key", "line_id").join(named, "line_key")
     heads = linked.groupBy("component").agg(F.min("line_id").alias("class_id"))
-    classes = linked.join(heads, "component").select(F.col("line_key").alias("k"), "n_links", "class_id")
-    out = lines.join(classes, F.col("line_key") == F.col("k"), "left").withColumn("line_id", F.md5("line"))
+    classes = linked.join(heads, "component").join(degree, "line_key", "left").select(F.col("line_key").alias("k"), "links", "class_id")
+    out = plain.filter("hit").join(classes, F.col("line_key") == F.col("k"), "left")
+    out = out.unionByName(plain.filter("not hit"), allowMissingColumns=True)
+    out = out.join(F.broadcast(first.select("others")), F.col("n_chars") <= tau, "left")
     class_id = F.coalesce("class_id", "line_id")
-    return out.select("line_id", "n_chars", "n_rows", "first_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), class_id.alias("class_id"), (class_id == F.col("line_id")).alias("kept"))
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce("others", F.lit(0))
+    return out.select("line_id", "n_chars", "n_rows", "first_id", n_links.cast("long").alias("n_links"), class_id.alias("class_id"), (class_id == F.col("line_id")).alias("kept"))

@@ -40,7 +40,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_duplicate_lines(read(spark, sf_dir, "documents"), min_chars=1)
+    return line_dedup.near_duplicate_lines(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +103,20 @@ OP5_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT line, count(*) AS n_rows, min(doc_id) AS first_id, length(line) AS n_chars, md5(line) AS line_id
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line),
+signs AS (SELECT DISTINCT unnest(string_split(regexp_replace(line, '[\x00-\x7F]', '', 'g'), '')) AS sign FROM l),
+-- DuckDB's distance counts bytes: each sign beyond ASCII is put into one of 26 control characters.
+coded AS (
+  SELECT coalesce(string_agg(sign, '' ORDER BY sign), '') AS odd, coalesce(string_agg(chr(CASE WHEN k < 9 THEN k ELSE k + 5 END), '' ORDER BY sign), '') AS plain
+  FROM (SELECT sign, CAST(row_number() OVER (ORDER BY sign) AS INT) AS k FROM signs WHERE sign <> '')),
+p AS (SELECT line_id, line, n_chars, translate(line, odd, plain) AS code FROM l, coded),
 e AS (
-  SELECT a.line_id AS x, b.line_id AS y FROM l a JOIN l b
-  ON a.n_chars >= 32 AND b.n_chars BETWEEN a.n_chars - 2 AND a.n_chars + 2 AND b.n_chars >= 32 AND a.line_id <> b.line_id
-  AND (substr(a.line, 1, a.n_chars // 3) = substr(b.line, 1, a.n_chars // 3)
+  SELECT a.line_id AS x, b.line_id AS y FROM p a JOIN p b
+  ON b.n_chars BETWEEN a.n_chars - 2 AND a.n_chars + 2 AND a.line_id <> b.line_id
+  AND (a.n_chars < 3
+       OR substr(a.line, 1, a.n_chars // 3) = substr(b.line, 1, a.n_chars // 3)
        OR contains(b.line, substr(a.line, a.n_chars // 3 + 1, a.n_chars // 3))
        OR contains(b.line, substr(a.line, 2 * (a.n_chars // 3) + 1)))
-  AND levenshtein(a.line, b.line) <= 2),
+  AND levenshtein(a.code, b.code) <= 2),
 r AS (SELECT line_id AS node, line_id AS seen FROM l UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen),
 c AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),
 d AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)

@@ -1,23 +1,23 @@
-"""Short lines in the registered line join, against all pairs."""
+"""The registered line join against all pairs: lines of any length, and keys that many lines share."""
 
 from __future__ import annotations
 
 import hashlib
 import random
 
-from sluiceway.llm import registry
+import pytest
+
+from sluiceway.llm import line_dedup, registry
 
 from .test_text_ops import levenshtein
 
 
-def test_short_lines_link(spark, tmp_path):
-    rng = random.Random(3)
-    lines = {"Home", "Home.", "Contact us", "Contact us!", "é", "ab", "abéc", "xyz", "-"} | {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 14))) for _ in range(120)}
+def held_against_all_pairs(spark, tmp_path, lines) -> None:
     lines = sorted(lines)
     spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["line_id"]: r for r in registry.queries()["op5_line_dedup"](spark, str(tmp_path)).collect()}
     md5 = {x: hashlib.md5(x.encode()).hexdigest() for x in lines}
-    links = {x: {y for y in lines if x != y and levenshtein(x, y) <= 2} for x in lines}
+    links = {x: {y for y in lines if x != y and abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2} for x in lines}
     assert {i: r["n_links"] for i, r in got.items()} == {md5[x]: len(links[x]) for x in lines}
     for x in lines:
         seen, todo = {x}, [x]
@@ -26,3 +26,49 @@ def test_short_lines_link(spark, tmp_path):
             seen |= new
             todo += new
         assert got[md5[x]]["class_id"] == min(md5[y] for y in seen)
+
+
+def edited(rng: random.Random, line: str, signs: str) -> str:
+    copy = list(line)
+    for _ in range(rng.randint(1, 3)):
+        at = rng.randrange(len(copy)) if copy else 0
+        rng.choice([lambda: copy.insert(at, rng.choice(signs)), lambda: copy.pop(at) if copy else None, lambda: copy.__setitem__(at, rng.choice(signs)) if copy else None])()
+    return "".join(copy)
+
+
+def test_short_lines_link(spark, tmp_path):
+    rng = random.Random(3)
+    lines = {"Home", "Home.", "Contact us", "Contact us!", "é", "ab", "abéc", "xyz", "-"} | {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 14))) for _ in range(120)}
+    held_against_all_pairs(spark, tmp_path, lines)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_shared_keys_go_down_the_levels(spark, tmp_path, monkeypatch, hot):
+    """Variants of a few lines of 1 to 60 characters, where most keys are shared by more lines than one level takes."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "DEEP", 2 * hot)
+    rng = random.Random(hot)
+    lines = set()
+    for size in (1, 2, 3, 5, 8, 13, 21, 34, 60):
+        root = "".join(rng.choice("abé ") for _ in range(size))
+        lines |= {edited(rng, root, "abé ") for _ in range(14)}
+    lines |= {f"Order {rng.randint(100, 999)} of today is on its way to you" for _ in range(30)}
+    held_against_all_pairs(spark, tmp_path, lines - {""})
+
+
+def test_every_alignment_has_a_cut():
+    """Whatever two edits do to a text, some cut of it keeps equal pieces of both."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        y = "".join(rng.choice("ab") for _ in range(rng.randint(3, 15)))
+        x = edited(rng, y, "ab")
+        less = len(x) - len(y)
+        if not 0 <= less <= 2 or levenshtein(x, y) > 2:
+            continue
+        n = len(y)
+        for k in {3, min(6, n)}:
+            at = lambda i: i * n // k  # noqa: B023, E731
+            assert any(
+                all(y[at(a) : at(b)] == x[at(a) + t : at(b) + t] and at(b) + t <= len(x) for a, b, t in ((0, b1, 0), (e1, b2, t1), (e2, k, t2)))
+                for b1, e1, t1, b2, e2, t2 in line_dedup.cuts(k, 2, less)
+            ), (x, y, k)
