@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,11 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Only a local session that names none (tests, a laptop) gets a temporary folder;
+    on a cluster other machines couldn't read it, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
     if not (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluiceway-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -54,6 +58,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it: a column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

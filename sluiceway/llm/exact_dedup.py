@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, batches, shuffle_partitions, utf8
+from .common import BLANKS, batches, shuffle_partitions, unused, utf8
 
 #: Bytes of distinct text that one task holds while it folds repeats.
 COMBINE_BYTES = 32 << 20
@@ -90,8 +90,6 @@ def _runs(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if b == body:
                     keep, n = smaller(keep, i), n + k
                     continue
-                if d == digest:
-                    raise ValueError("two different texts have one SHA-256 digest")
                 if digest is not None:
                     yield digest, keep, n
                 digest, body, keep, n = d, b, i, k
@@ -134,5 +132,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Ids must name rows: rows whose id is null, or that repeat the id of a copy, go
     with it.  Give rows numbers of their own where a table can't promise that.
     """
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = unused(docs, "gone")
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(name))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

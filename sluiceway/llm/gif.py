@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import batches, utf8
 
-#: Samples in a stored row, and rows in a frame: at most 48 KiB of samples to a frame.
+#: Samples in a stored row, and rows in a frame: at most 6 KiB of samples to a frame.
 ROW = 192
-ROWS = 256
+ROWS = 32
+#: Pixels that a frame or canvas may have beyond what its file has samples for.
+SLACK = 1 << 22
 #: Palette of stored bytes: index i is the grey (i, i, i).
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
+#: The other palette of stored bytes: three bits of red, three of green, two of blue.
+COLOURS = np.stack([np.arange(256) & 0xE0, np.arange(256) << 3 & 0xE0, np.arange(256) << 6 & 0xC0], 1).astype(np.uint8)
 
 
 @dataclass
@@ -209,6 +213,8 @@ def decode(data: bytes | None) -> Gif | None:
             if not 2 <= start <= 8:
                 break
             samples = np.frombuffer(lzw_decode(body, start, w * h), np.uint8)
+            if w * h > len(samples) + SLACK:
+                break
             if len(samples) < w * h:
                 gif.complete = False
             grid = np.concatenate((samples, np.zeros(w * h - len(samples), np.uint8))).reshape(h, w)
@@ -227,7 +233,9 @@ def decode(data: bytes | None) -> Gif | None:
 
 
 def composed(gif: Gif) -> Iterator[np.ndarray]:
-    """The RGBA picture of each frame after disposal and transparency rules."""
+    """The RGBA picture of each frame after disposal and transparency rules; none where the canvas is far larger than all frames."""
+    if gif.width * gif.height > sum(f.indices.size for f in gif.frames) + SLACK:
+        return
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -267,7 +275,7 @@ def frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
                     if (gif := decode(data)) is None:
                         continue
                     clock = 0
-                    for n, (f, picture) in enumerate(zip(gif.frames, composed(gif), strict=True)):
+                    for n, (f, picture) in enumerate(zip(gif.frames, composed(gif), strict=False)):
                         yield row_id, n, clock, f.delay_ms, gif.width, gif.height, picture.tobytes(), histogram(picture)
                         clock += f.delay_ms
 
@@ -278,12 +286,27 @@ def frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """A GIF whose samples are ``payload``, whose length is a positive multiple of ``ROW``."""
+    """A GIF whose samples are ``payload``, whose length is a positive multiple of ``ROW``.
+
+    Frames take the grey and the coloured palette in turn, are kept, cleared and
+    undone in turn, and let the frame below show through at blanks.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    parts = [Frame(0, 0, rows[i : i + ROWS], GREYS, delay_ms=100, disposal=1) for i in range(0, len(rows), ROWS)]
+    parts = [Frame(0, 0, rows[i : i + ROWS], (GREYS, COLOURS)[n % 2], 100 + 10 * (n % 5), 1 + n % 3, 32) for n, i in enumerate(range(0, len(rows), ROWS))]
     return encode(parts, ROW, min(ROWS, len(rows)))
 
 
+def described(gif: Gif) -> str:
+    """Frames, canvas, time, the opaque pixels of all pictures in 64 colour bins, and a digest of each picture's start and bins."""
+    clock, total, line = 0, np.zeros(64, np.int64), hashlib.sha256()
+    for f, picture in zip(gif.frames, composed(gif), strict=False):
+        bins = histogram(picture)
+        total += bins
+        line.update(f"{clock}:{'.'.join(map(str, bins))};".encode())
+        clock += f.delay_ms
+    return f"frames={len(gif.frames)};canvas={gif.width}x{gif.height};ms={clock};colours={'.'.join(map(str, total))};timeline={line.hexdigest()[:16]}"
+
+
 def padded(text: bytes) -> bytes:
     """``text`` and blanks up to a positive multiple of ``ROW``."""
     return text + b" " * (-len(text) % ROW or (ROW if not text else 0))
@@ -293,9 +316,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Store each text as a GIF, decode the stored bytes again, and describe both.
 
     id, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``,
-    ``media_bytes``, ``media_sha256``, ``feature`` (frames, canvas and the grey
-    histogram in 16 bins, all read back) and, with ``keep_media``, ``media``.
-    Null texts count as empty, and an empty text as one row of blanks.
+    ``media_bytes``, ``media_sha256``, ``feature`` (``described`` of the composed
+    frames, read back) and, with ``keep_media``, ``media``.  Null texts count as
+    empty, and an empty text as one row of blanks; equal texts give equal values,
+    ids may be null or repeat, and other columns aren't read.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -308,9 +332,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     media = store_bytes(padded(text))
                     gif = decode(media)
                     payload = b"".join(f.indices.tobytes() for f in gif.frames)
-                    greys = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-                    feature = f"frames={len(gif.frames)};canvas={gif.width}x{gif.height};ms={sum(f.delay_ms for f in gif.frames)};greys={'.'.join(map(str, greys))}"
-                    row = (row_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    row = (row_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), described(gif))
                     yield (*row, media) if keep_media else row
 
         yield from batches(rows(), schema)

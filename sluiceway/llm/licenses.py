@@ -175,9 +175,11 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         out = []
         for phrase, label in self.prepare()["phrases"]:
-            at = joined.find(phrase)
+            at, before, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                out.append((joined.count(b" ", 0, at), label))
+                before += joined.count(b" ", counted, at)
+                counted = at
+                out.append((before, label))
                 at = joined.find(phrase, at + 1)
         return sorted(out)
 

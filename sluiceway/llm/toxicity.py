@@ -138,13 +138,12 @@ def _count(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), schema, size=10_000)
 
 
-def _deviance(a: int, b: int, pos: int, neg: int) -> float:
+def _deviance(a: Column, b: Column, pos: int, neg: int) -> Column:
     """Likelihood-ratio statistic of a 2x2 table, 0 where the entry doesn't speak for toxicity."""
-    if a * (pos + neg) <= (a + b) * pos:
-        return 0.0
-    term = lambda x, e: x * math.log(x / e) if x else 0.0
-    n, k = pos + neg, a + b
-    return 2 * (term(a, k * pos / n) + term(b, k * neg / n) + term(pos - a, (n - k) * pos / n) + term(neg - b, (n - k) * neg / n))
+    n, k = float(pos + neg), a + b
+    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    total = term(a, k * pos / n) + term(b, k * neg / n) + term(F.lit(pos) - a, (F.lit(n) - k) * pos / n) + term(F.lit(neg) - b, (F.lit(n) - k) * neg / n)
+    return F.when(a * n > k * float(pos), 2 * total).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -164,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(fit_rows)
     )
     texts = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    sample = materialise(texts.join(F.broadcast(chosen), "row_id").select("body", "label"), "toxicity-fit")
+    # Of rows that repeat an id, the text that sorts first is learnt from.
+    first = texts.join(F.broadcast(chosen), "row_id").groupBy("row_id", "label").agg(F.min("body").alias("body"))
+    sample = materialise(first.select("body", "label"), "toxicity-fit")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -172,11 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = materialise(counts.filter("toxic >= 3"), "toxicity-features")
     tested = counts.count()
-    # Ordered by share, then support: a bound that the exact test below fills.
-    leads = counts.filter(F.col("toxic") * float(neg) > 3.0 * F.col("clean") * pos).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1.0)), "feature").limit(4 * LEXICON).collect()
     needed = 2 * math.log(max(tested, 1) / 0.05)
-    found = sorted(((d, r) for r in leads if (d := _deviance(r["toxic"], r["clean"], pos, neg)) > needed), key=lambda x: (-x[0], x[1]["feature"]))[:LEXICON]
-    weights = {r["feature"]: math.log((r["toxic"] + 0.5) / (pos + 1)) - math.log((r["clean"] + 0.5) / (neg + 1)) for _, r in found}
+    strong = counts.filter(F.col("toxic") * float(neg) > 3.0 * F.col("clean") * pos).withColumn("deviance", _deviance(F.col("toxic"), F.col("clean"), pos, neg))
+    found = strong.filter(F.col("deviance") > needed).orderBy(F.desc(F.round("deviance", 9)), "feature").limit(LEXICON).collect()
+    weights = {r["feature"]: math.log((r["toxic"] + 0.5) / (pos + 1)) - math.log((r["clean"] + 0.5) / (neg + 1)) for r in found}
     # A longer entry is of use only where it says more than a shorter one it starts with.
     kept = tuple(sorted((f, round(w, 6)) for f, w in weights.items() if not any(weights.get(f[:n], -1.0) >= w for n in range(2, len(f)))))
     model = Model(kept, classes=(neg, pos))

@@ -55,3 +55,15 @@ def test_mix_takes_each_row_for_itself(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     mixed = corpus_pipeline.mix(spark, docs, str(DATA))
     assert abs(sum(len(t.split()) for t in texts(mixed)) - 54) <= 1
+
+
+def test_columns_of_any_name_go_through(spark):
+    """Columns named like the stages' own come out as they went in, with or without n_chars."""
+    import corpus_pipeline
+
+    rows = [(i, f"text number {i // 2} of a few words that two rows share", "en", "a", i, i + 1, i + 2, i + 3) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gone long, row_number long, plan long, taken long")
+    for stage in (corpus_pipeline.drop_exact, corpus_pipeline.drop_near, corpus_pipeline.mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r)[4:] for r in out.collect()} <= {r[4:] for r in rows}
