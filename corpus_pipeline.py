@@ -11,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import bpe, exact_dedup, jaccard_join, mixture, toxicity
-from sluiceway.llm.common import materialise, read
+from sluiceway.llm.common import materialise, read, unused
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: a number for each row that no other has and that grows with doc_id, null ids last.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row that no other has and that grows with doc_id, null ids last; and that column's name.
 
     Ids that are set and different are their own numbers; otherwise rows are
     sorted, counted off and written, so that the numbers hold when read again.
     """
+    name = unused(docs, "row_number")
     rows, ids, different = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if rows == ids == different:
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
     ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
-    return materialise(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return materialise(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,34 +35,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, one row: that with the smallest id, or one without an id where none has any."""
-    return exact_dedup.drop_exact_copies(numbered(docs), "_row").drop("_row")
+    rows, name = numbered(docs)
+    return exact_dedup.drop_exact_copies(rows, name).drop(name)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by five-word shingles at 0.75 or more, one row: that with the smallest id, or one without an id where none has any."""
-    rows = numbered(docs)
-    found = jaccard_join.near_duplicate_components(rows, "_row")
-    gone = found.filter(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("_gone"))
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    rows, name = numbered(docs)
+    found = jaccard_join.near_duplicate_components(rows, name)
+    gone = unused(rows, "gone")
+    dropped = found.filter(F.col(name) != F.col("component_id")).select(F.col(name).alias(gone))
+    return rows.join(dropped, F.col(name) == F.col(gone), "left_anti").drop(name)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's rows: one for each epoch that takes of a document.
 
     The document at which a source's budget ends is cut after its last word
-    taken, and ``n_chars`` follows; documents without words are in no mixture.
-    Each row is taken for itself, also where ids are null or repeat.
+    taken, and ``n_chars``, where there is one, follows; documents without words
+    are in no mixture.  Each row is taken for itself, also where ids are null or
+    repeat; other columns stay, whatever their names.
     """
-    rows = numbered(docs)
-    plan = mixture.mix_sources(rows, mixture.word_count(F.col("text")), "_row").filter("taken > 0")
-    plan = plan.select(F.col("_row").alias("_id"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    mixed = rows.join(plan, F.col("_row") == F.col("_id"))
-    mixed = mixed.withColumn("_part", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), e -> least(_size, _taken - e * _size))")))
-    cut = F.expr(r"array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(_part as int)), '')")
-    whole = F.col("_part") == F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    chars = F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*[{"text": text, "n_chars": chars}.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows, name = numbered(docs)
+    plan = mixture.mix_sources(rows, mixture.word_count(F.col("text")), name).filter("taken > 0")
+    # The plan and the part travel in one column, under a name that docs doesn't have.
+    held = unused(rows, "plan")
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))), lambda e: F.least("size", F.col("taken") - e * F.col("size")))
+    plan = plan.withColumn("part", F.explode(parts)).select(F.struct(F.col(name).alias("row"), "size", "part").alias(held))
+    mixed = rows.join(plan, F.col(name) == F.col(f"{held}.row"))
+    whole = F.col(f"{held}.part") == F.col(f"{held}.size")
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(f"{held}.part").cast("int")), "")
+    new = {"text": F.when(whole, F.col("text")).otherwise(cut)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
