@@ -70,9 +70,16 @@ def cuts(parts: int, tau: int, less: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _moves(parts: int, tau: int, lesses: range) -> list[tuple[int, ...]]:
-    """Every cut for each difference in length: the difference, then the holes."""
-    return [(less, *c) for less in lesses for c in cuts(parts, tau, less)]
+def _moves(parts: int, tau: int, probe: bool) -> list[tuple[int, ...]]:
+    """The cuts that a line is probed by, or indexed by: the difference in length, then the holes.
+
+    What is indexed stands at its own place, without shifts.  Of two lines of one
+    length each probes the other, and what is shifted back for one is shifted ahead
+    for the other: with two edits, which have one shift between them, those ahead are enough.
+    """
+    if not probe:
+        return [(0, *c) for c in cuts(parts, tau, 0) if not any(c[2::3])]
+    return [(less, *c) for less in range(tau + 1) for c in cuts(parts, tau, less) if less or tau > 2 or c[2] >= 0]
 
 
 def _piece(s: str, a: str, b: str) -> str:
@@ -82,7 +89,7 @@ def _piece(s: str, a: str, b: str) -> str:
 def first_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
     """``key, id, cut`` of the first level, where one of ``tau + 1`` segments is kept; cut counts through ``_moves``."""
     keys = []
-    for less, *holes in _moves(tau + 1, tau, range(tau + 1) if probe else range(1)):
+    for less, *holes in _moves(tau + 1, tau, probe):
         n, at, shift, kept = f"(n_chars - {less})", 0, 0, []
         for b, e, t in [*zip(*[iter(holes)] * 3, strict=True), (tau + 1, tau + 1, 0)]:
             if b > at:
@@ -96,8 +103,7 @@ def first_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
 def _holes(rows: DataFrame, tau: int, parts: range, probe: bool) -> DataFrame:
     """A fixed table of cuts: k, d (difference in length), cut, then b, e, t of each hole; k = 0 leaves all open."""
     names = [f"{x}{i}" for i in range(1, tau + 1) for x in "bet"]
-    lesses = range(tau + 1) if probe else range(1)
-    table = [(k, less, cut, *holes) for k in parts for cut, (less, *holes) in enumerate(_moves(k, tau, lesses))] + [(0, d, -1, *(0, 0, d) * tau) for d in lesses]
+    table = [(k, less, cut, *holes) for k in parts for cut, (less, *holes) in enumerate(_moves(k, tau, probe))] + [(0, d, -1, *(0, 0, d) * tau) for d in range(tau + 1 if probe else 1)]
     return F.broadcast(rows.sparkSession.createDataFrame(table, ", ".join(f"{c} int" for c in ("k", "d", "cut", *names))))
 
 
@@ -227,7 +233,7 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     if many.isEmpty():
         return met.distinct()
     # What a line indexes it also probes, at no difference in length and no shift.
-    moves = _moves(tau + 1, tau, range(tau + 1))
+    moves = _moves(tau + 1, tau, True)
     less = F.element_at(F.array(*[F.lit(m[0]) for m in moves]), F.col("cut") + 1)
     still = F.col("cut").isin([i for i, (d, *holes) in enumerate(moves) if d == 0 and not any(holes[2::3])])
     hot = materialise(sought.join(many, "key", "left_semi").select("id", less.alias("less"), still.alias("own")).distinct(), "line-wanted")
