@@ -1,8 +1,8 @@
 """Cleaning: drop, deduplicate, impute, treat outliers, encode, normalise - in this order.
 
-Each step is ``DataFrame -> DataFrame``.  Statistics come from one global
-aggregate whose single row is broadcast, so plans stay lazy; only one-hot
-encoding looks at the data while it is built.
+Each step is ``DataFrame -> DataFrame``.  Means and modes come from one row that
+is broadcast, so plans stay lazy; quartiles, medians and one-hot encoding look at
+the data while the plan is built.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import IQR_FACTOR, col, existing, is_numeric, is_orderless, numeric_columns, quantiles, with_stats
+from ..functions.columns import IQR_FACTOR, col, exact_quantiles, existing, is_numeric, is_orderless, modes, numeric_columns, with_stats
+from .sample import with_row_id
 
 #: Most values that one-hot encoding makes columns of; more is an error, not a truncation.
 ONE_HOT_WIDTH = 1000
@@ -54,25 +55,30 @@ def impute(df: DataFrame, strategy: str = "median") -> DataFrame:
         return df.na.drop("any")
     if strategy not in ("mean", "median", "mode"):
         warnings.warn(f"unknown imputation strategy {strategy!r}: mode is used", stacklevel=2)
-    stats, fill = [], {}
-    for i, f in enumerate(df.schema):
-        if is_orderless(f.dataType):
-            continue
-        c, stat = col(f.name), f"__fill{i}"
-        value: Column = F.mode(c, True)
-        if is_numeric(f.dataType):
-            value = {"mean": F.avg(c), "median": F.median(c)}.get(strategy, F.coalesce(value, F.lit(0).cast(f.dataType)))
-        stats.append(value.alias(stat))
-        fill[f.name] = F.coalesce(c, F.col(stat))
-    if not stats:
-        return df
-    filled = with_stats(df, df.agg(*stats))
+    kinds = {f.name: f.dataType for f in df.schema if not is_orderless(f.dataType)}
+    numeric = [n for n in kinds if is_numeric(kinds[n])] if strategy in ("mean", "median") else []
+    common = [n for n in kinds if n not in numeric]
+    fill: dict[str, Column] = {}
+    filled = df
+    if strategy == "median":
+        middles = exact_quantiles(df, numeric, (0.5,))
+        fill |= {n: F.coalesce(col(n).cast("double"), F.lit(middles[n][0]).cast("double")) for n in numeric}
+    elif numeric:
+        filled = with_stats(filled, df.agg(*[F.avg(col(n)).alias(f"__mean{i}") for i, n in enumerate(numeric)]))
+        fill |= {n: F.coalesce(col(n), F.col(f"__mean{i}")) for i, n in enumerate(numeric)}
+    if common:
+        aliases = [f"__fill{i}" for i in range(len(common))]
+        filled = with_stats(filled, modes(df, common, aliases))
+        for n, a in zip(common, aliases, strict=True):
+            zero = [F.lit(0).cast(kinds[n])] if is_numeric(kinds[n]) else []
+            fill[n] = F.coalesce(col(n), F.col(a), *zero)
     return filled.select(*[fill.get(n, col(n)).alias(n) for n in df.columns])
 
 
-def iqr_bounds(df: DataFrame, names: Sequence[str], approx: bool = False) -> DataFrame:
-    """One row: ``__q{i}`` with the quartiles of each column."""
-    return df.agg(*[quantiles(n, (0.25, 0.75), approx).alias(f"__q{i}") for i, n in enumerate(names)])
+def iqr_bounds(df: DataFrame, names: Sequence[str], approx: bool = False) -> dict[str, tuple[float, float] | None]:
+    """Ends of the usual range of each column, None for a column without values."""
+    found = exact_quantiles(df, names, (0.25, 0.75), approx=approx)
+    return {n: None if q1 is None else (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)) for n, (q1, q3) in found.items()}
 
 
 def treat_outliers(df: DataFrame, handling: str = "none", approx: bool = False) -> DataFrame:
@@ -84,22 +90,17 @@ def treat_outliers(df: DataFrame, handling: str = "none", approx: bool = False)
     names = numeric_columns(df)
     if handling not in ("clip", "remove") or not names:
         return df
-    joined = with_stats(df, iqr_bounds(df, names, approx))
-
-    def bounds(i: int) -> tuple[Column, Column]:
-        q1, q3 = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]
-        return q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
-
+    bounds = iqr_bounds(df, names, approx)
     if handling == "remove":
         inside = F.lit(True)
-        for i, n in enumerate(names):
-            inside &= col(n).between(*bounds(i))
-        return joined.filter(inside).select(*map(col, df.columns))
+        for n in names:
+            inside &= col(n).between(*map(F.lit, bounds[n])) if bounds[n] else F.lit(False)
+        return df.filter(inside)
     change = {}
-    for i, n in enumerate(names):
-        low, high = bounds(i)
-        change[n] = F.when(col(n).isNotNull(), F.greatest(F.least(col(n).cast("double"), high), low))
-    return joined.select(*[change.get(n, col(n)).alias(n) for n in df.columns])
+    for n in names:
+        low, high = map(F.lit, bounds[n] or (None, None))
+        change[n] = F.when(col(n).isNotNull(), F.greatest(F.least(col(n).cast("double"), high.cast("double")), low.cast("double")))
+    return df.select(*[change.get(n, col(n)).alias(n) for n in df.columns])
 
 
 def one_hot(df: DataFrame, name: str, width: int = ONE_HOT_WIDTH) -> DataFrame:
@@ -114,11 +115,11 @@ def one_hot(df: DataFrame, name: str, width: int = ONE_HOT_WIDTH) -> DataFrame:
 def label_encode(df: DataFrame, name: str) -> DataFrame:
     """Values become their place among the sorted distinct texts, from 0; null is the text ``None``.
 
-    Only the distinct texts are ranked; the map is joined back by equality.
+    Only the distinct texts are ranked, in ranges; the map is joined back by equality.
     """
     text = F.coalesce(col(name).cast("string"), F.lit("None"))
     values = df.select(text.alias("__value")).distinct()
-    places = values.select("__value", (F.row_number().over(Window.orderBy("__value")) - 1).cast("long").alias("__label"))
+    places = with_row_id(values, ["__value"], "__label")
     joined = df.withColumn("__text", text).join(places, F.col("__text") == F.col("__value"))
     return joined.select(*[(F.col("__label") if c == name else col(c)).alias(c) for c in df.columns])
 

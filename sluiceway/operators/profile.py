@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import IQR_FACTOR, col, is_numeric, is_orderless, numeric_columns, quantiles, with_stats
+from ..functions.columns import IQR_FACTOR, col, exact_quantiles, is_numeric, is_orderless, numeric_columns, with_stats
 
 TOP = 20
 BINS = 20
@@ -51,10 +51,10 @@ def numeric_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     stats = []
     for i, n in enumerate(names):
         c = col(n).cast("double")
-        stats += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), quantiles(n, approx=approx).alias(f"q{i}")]
+        stats += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
     wide = df.agg(*(stats or [F.count("*").alias("n")]))
-    for i in range(len(names)):
-        wide = wide.withColumns({f"x{i}": F.col(f"q{i}")[0], f"y{i}": F.col(f"q{i}")[1], f"z{i}": F.col(f"q{i}")[2]})
+    middles = exact_quantiles(df, names, (0.25, 0.5, 0.75), approx=approx)
+    wide = wide.select("*", *[F.lit(v).cast("double").alias(f"{p}{i}") for i, n in enumerate(names) for p, v in zip("xyz", middles[n], strict=True)])
     return _down(wide, names, [("count", "n", "bigint"), ("min", "a", "double"), ("max", "b", "double"), ("mean", "m", "double"), ("std", "s", "double"), ("q1", "x", "double"), ("median", "y", "double"), ("q3", "z", "double")])
 
 
@@ -114,26 +114,33 @@ def histograms(df: DataFrame, names: list[str] | None = None, bins: int = BINS)
 
 def outliers(df: DataFrame, approx: bool = False) -> DataFrame:
     """``column, status, low, high, outliers, outlier_pct`` by 1.5 interquartile ranges; under 4 values: insufficient data."""
-    stats = numeric_profile(df, approx).select("column", "count", "q1", "q3")
     names = numeric_columns(df)
-    spread = F.col("q3") - F.col("q1")
-    bounds = stats.withColumns({"low": F.col("q1") - IQR_FACTOR * spread, "high": F.col("q3") + IQR_FACTOR * spread})
-    pairs = [F.struct(F.lit(n).alias("column"), col(n).cast("double").alias("x")) for n in names]
-    if not pairs:
+    if not names:
         return df.sparkSession.createDataFrame([], "column string, status string, low double, high double, outliers bigint, outlier_pct double")
-    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x is not null")
-    beyond = values.join(F.broadcast(bounds), "column").groupBy("column").agg(F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("beyond"))
+    quartiles = exact_quantiles(df, names, (0.25, 0.75), approx=approx)
+    stats = []
+    for i, n in enumerate(names):
+        (q1, q3), c = quartiles[n], col(n).cast("double")
+        low, high = (None, None) if q1 is None else (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
+        stats += [F.count(c).alias(f"n{i}"), F.lit(low).cast("double").alias(f"a{i}"), F.lit(high).cast("double").alias(f"b{i}")]
+        stats += [F.count_if((c < F.lit(low).cast("double")) | (c > F.lit(high).cast("double"))).alias(f"o{i}")]
+    flat = _down(df.agg(*stats), names, [("count", "n", "bigint"), ("low", "a", "double"), ("high", "b", "double"), ("beyond", "o", "bigint")])
     enough = F.col("count") >= 4
-    return bounds.join(beyond, "column", "left").select(
+    return flat.select(
         "column",
         F.when(enough, "ok").otherwise("insufficient data").alias("status"),
         F.when(enough, F.round("low", 6)).alias("low"),
         F.when(enough, F.round("high", 6)).alias("high"),
-        F.when(enough, F.coalesce("beyond", F.lit(0))).cast("bigint").alias("outliers"),
-        F.when(enough, F.round(F.coalesce("beyond", F.lit(0)) / F.col("count") * 100, 2)).alias("outlier_pct"),
+        F.when(enough, F.col("beyond")).alias("outliers"),
+        F.when(enough, F.round(F.col("beyond") / F.col("count") * 100, 2)).alias("outlier_pct"),
     )
 
 
+def row_count(df: DataFrame) -> DataFrame:
+    """``rows, columns``: the table's size."""
+    return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
 def profile(df: DataFrame) -> dict[str, DataFrame]:
-    """All parts by name, each lazy."""
-    return {"types": semantic_types(df), "numeric": numeric_profile(df), "missing": missing_values(df), "datetime": datetime_profile(df), "frequencies": frequencies(df), "histograms": histograms(df), "outliers": outliers(df)}
+    """All parts by name."""
+    return {"size": row_count(df), "types": semantic_types(df), "numeric": numeric_profile(df), "missing": missing_values(df), "datetime": datetime_profile(df), "frequencies": frequencies(df), "histograms": histograms(df), "outliers": outliers(df)}

@@ -1,7 +1,9 @@
 """Reproducible sampling: order by a hash of seed and key, take the first rows.
 
-The hash is MD5 of ``seed|key``, so any engine can replay a draw.  Top-n by hash
-is a distributed top-k; no sample is made by collecting rows.
+The hash is MD5 of ``seed|key``, so any engine can replay a draw.  The first n by
+hash are found by counting rows in cells of equal hash ranges: whole cells before
+the cut are taken, and only the cell that holds the cut is ordered.  No sample
+ends in one task.
 """
 
 from __future__ import annotations
@@ -13,10 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, existing, is_orderless, numeric_columns, string_columns
+from ..functions.columns import col, existing, is_orderless, numeric_columns, order_statistics, string_columns, with_stats
 
 #: Smaller tables are returned whole.
 SMALLEST = 10
+#: Hexadecimal digits of a draw key that name its cell.
+CELL_DIGITS = 4
+#: Ranges of rows are found in two steps among this many.
+FAN = 32
 # Normal quantiles of the confidence levels.
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 DRIFT_LIMIT = 0.1
@@ -48,7 +54,20 @@ def _keys(df: DataFrame, keys: Sequence[str] | None) -> list[str]:
 def random_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement."""
     k = _keys(df, keys)
-    return df.withColumn("__draw", draw_key(k, seed)).orderBy("__draw", *map(col, k)).limit(n).drop("__draw")
+    rows = df.withColumn("__draw", draw_key(k, seed)).withColumn("__cell", F.substring("__draw", 1, CELL_DIGITS))
+    cells = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
+    # At most 16 ** CELL_DIGITS rows, whatever the table.
+    upto = cells.select("__cell", "__n", F.sum("__n").over(Window.orderBy("__cell")).alias("__upto"))
+    cut = upto.filter(F.col("__upto") >= n).agg(F.min(F.struct("__cell", (F.lit(n) - F.col("__upto") + F.col("__n")).alias("__rest"))).alias("__cut"))
+    return _before_cut(with_stats(rows, cut), [], k).select(*map(col, df.columns))
+
+
+def _before_cut(rows: DataFrame, by: list[str], keys: Sequence[str]) -> DataFrame:
+    """Rows of cells before ``__cut.__cell`` and the first ``__cut.__rest`` of that cell; all without a cut."""
+    cell, rest = F.col("__cut.__cell"), F.col("__cut.__rest")
+    near = rows.filter(F.col("__cut").isNull() | (F.col("__cell") <= cell))
+    place = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__draw", *map(col, keys)))
+    return near.withColumn("__place", place).filter(F.col("__cut").isNull() | (F.col("__cell") < cell) | (F.col("__place") <= rest))
 
 
 def reservoir_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
@@ -68,23 +87,34 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, keys: Sequence[str] |
     sizes = known.groupBy(col(stratum).alias("__s")).agg(F.count("*").alias("__size"))
     quotas = sizes.join(F.broadcast(df.agg(F.count("*").alias("__total"))))
     quotas = quotas.select("__s", F.least(F.col("__size"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("__size") / F.col("__total")).cast("long"))).alias("__quota"))
-    rows = known.withColumn("__draw", draw_key(k, seed)).join(quotas, col(stratum) == F.col("__s"))
-    place = F.row_number().over(Window.partitionBy("__s").orderBy("__draw", *map(col, k)))
-    return rows.withColumn("__place", place).filter("__place <= __quota").select(*map(col, df.columns))
+    rows = known.withColumn("__draw", draw_key(k, seed)).withColumn("__cell", F.substring("__draw", 1, CELL_DIGITS))
+    cells = rows.groupBy(col(stratum).alias("__s"), "__cell").agg(F.count("*").alias("__n"))
+    upto = cells.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__s").orderBy("__cell"))).join(quotas, "__s")
+    rest = F.col("__quota") - F.col("__upto") + F.col("__n")
+    cuts = upto.filter("__upto >= __quota").groupBy("__s").agg(F.min(F.struct("__cell", rest.alias("__rest"))).alias("__cut"))
+    return _before_cut(rows.join(cuts, col(stratum) == F.col("__s")), ["__s"], k).select(*map(col, df.columns))
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "_row_id") -> DataFrame:
     """Consecutive numbers from 0 in the order of columns, without one task for all rows.
 
-    Rows are range-partitioned; a row's number is its place in its partition and
-    the sizes of the partitions before.  The order must be total.
+    Rows are cut into ranges at up to ``FAN * FAN - 1`` rows chosen by hash, the
+    same in every run; a row's number is its place in its range and the sizes of
+    the ranges before.  The order must be total.
     """
-    ordered = df.repartitionByRange(*map(col, order_by)).sortWithinPartitions(*map(col, order_by))
-    placed = ordered.withColumns({"__id": F.monotonically_increasing_id()}).withColumns({"__part": F.shiftrightunsigned("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)})
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    joined = placed.join(F.broadcast(before), F.col("__part") == F.col("__p"))
-    return joined.select(*map(col, df.columns), (F.col("__before") + F.col("__at")).alias(name))
+    key = F.struct(*[col(c) for c in order_by])
+    chosen = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(FAN * FAN - 1)
+    splits = chosen.agg(F.sort_array(F.collect_list("__k")).alias("__splits"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda i: F.get("__splits", i * FAN - 1))
+    rows = with_stats(df, splits.withColumn("__coarse", F.filter(coarse, lambda s: s.isNotNull()))).withColumn("__k", key)
+    upto = lambda found: F.size(F.filter(found, lambda s: s <= F.col("__k")))
+    rows = rows.withColumn("__block", upto("__coarse"))
+    rows = rows.withColumn("__range", F.col("__block") * FAN + upto(F.slice("__splits", F.col("__block") * FAN + 1, F.lit(FAN - 1)))).drop("__splits", "__coarse", "__block")
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__k"))
+    joined = rows.withColumn("__place", place).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return joined.select(*map(col, df.columns), (F.col("__before") + F.col("__place") - 1).cast("long").alias(name))
 
 
 def systematic_sample(df: DataFrame, order_by: Sequence[str], n: int | None = None, step: int | None = None) -> DataFrame:
@@ -111,7 +141,11 @@ def importance_sample(df: DataFrame, n: int, weight: str | Column, keys: Sequenc
     if seen["positive"] < n:
         raise ValueError("fewer rows with a positive weight than rows to draw")
     rank = F.round(-F.ln(uniform(draw_key(k, seed))) / w, 9)
-    return df.filter(w > 0).withColumn("__rank", rank).orderBy("__rank", *map(col, k)).limit(n).drop("__rank")
+    rows = df.filter(w > 0).withColumn("__rank", rank)
+    last = order_statistics(rows, {"__rank": [n - 1]}, {"__rank": seen["positive"]})["__rank", n - 1]
+    rest = n - rows.filter(F.col("__rank") < last).count()
+    tied = rows.filter(F.col("__rank") == last).orderBy(*map(col, k)).limit(rest)
+    return rows.filter(F.col("__rank") < last).unionByName(tied).drop("__rank")
 
 
 def sample_size(population: int, confidence: float = 0.95, margin: float = 0.05, proportion: float = 0.5) -> dict:
