@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,14 +76,8 @@ class _Search:
     high: float | None = None
     value: float | None = None
 
-    def holds(self) -> Column:
-        c = col(self.column).cast("double")
-        held = c.isNotNull()
-        if self.low is not None:
-            held &= c > self.low
-        if self.high is not None:
-            held &= c < self.high
-        return held
+    def interval(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
 
     def narrow(self, low: float, high: float, under: int, to_low: int, to_high: int, within: int) -> None:
         """Take in how many rows inside are less than ``low``, at most ``low``, less than ``high`` and at most ``high``."""
@@ -110,35 +105,45 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[st
     """
     searches = [_Search(c, r, 0, counts[c]) for c, wanted in ranks.items() for r in sorted(set(wanted))]
     while open_ones := [s for s in searches if s.value is None]:
-        few, room = [], 4 * held
+        groups: dict[tuple, list[_Search]] = {}
         for s in open_ones:
-            if s.inside <= min(held, room):
-                few.append(s)
-                room -= s.inside
+            groups.setdefault(s.interval(), []).append(s)
+        few, room = [], 4 * held
+        for g in groups.values():
+            if g[0].inside <= min(held, room):
+                few.append(g)
+                room -= g[0].inside
         if few:
-            ends = [F.percentile(F.when(s.holds(), col(s.column).cast("double")), F.lit(0.0 if s.inside == 1 else (s.rank - s.below) / (s.inside - 1))).alias(f"v{i}") for i, s in enumerate(few)]
-            nearest = df.agg(*ends).first()
-            # A place between two ranks can only come from rounding; the nearest value that exists is asked for.
-            snapped = df.agg(*[F.min_by(col(s.column).cast("double"), F.when(s.holds(), F.abs(col(s.column).cast("double") - nearest[i]))).alias(f"v{i}") for i, s in enumerate(few)]).first()
-            for i, s in enumerate(few):
-                s.value = float(snapped[i])
+            found = df.agg(*[F.transform(F.array(*[F.lit(s.rank - s.below) for s in g]), partial(F.get, F.sort_array(F.collect_list(_inside(*g[0].interval()))))).alias(f"v{i}") for i, g in enumerate(few)]).first()
+            for values, g in zip(found, few, strict=True):
+                for value, s in zip(values, g, strict=True):
+                    s.value = value
             continue
-        sketches = []
-        for i, s in enumerate(open_ones):
-            at, slack = (s.rank - s.below) / s.inside, 3 / SKETCH
-            points = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-            sketches.append(F.percentile_approx(F.when(s.holds(), col(s.column).cast("double")), points, SKETCH).alias(f"b{i}"))
-        pairs = df.agg(*sketches).first()
-        sums = []
-        for i, s in enumerate(open_ones):
-            c, (low, high), inside = col(s.column).cast("double"), pairs[i], s.holds()
-            sums += [F.count_if(inside & x).alias(f"{n}{i}") for n, x in (("a", c < low), ("b", c <= low), ("c", c < high), ("d", c <= high))]
+        sketches, slack = [], 3 / SKETCH
+        for i, (interval, g) in enumerate(groups.items()):
+            places = [(s.rank - s.below) / s.inside for s in g]
+            points = F.array(*[F.lit(min(1.0, max(0.0, at + d))) for at in places for d in (-slack, slack)])
+            sketches.append(F.percentile_approx(_inside(*interval), points, SKETCH).alias(f"b{i}"))
+        proposed = dict(zip(groups, df.agg(*sketches).first(), strict=True))
+        asked = sorted({(interval, v) for interval, values in proposed.items() for v in values}, key=str)
+        sums = [F.count_if(x).alias(f"{n}{i}") for i, (interval, v) in enumerate(asked) for n, x in (("under", _inside(*interval) < v), ("upto", _inside(*interval) <= v))]
         seen = df.agg(*sums).first()
-        for i, s in enumerate(open_ones):
-            s.narrow(*pairs[i], *[seen[f"{n}{i}"] for n in "abcd"])
+        under, upto = ({key: seen[f"{n}{i}"] for i, key in enumerate(asked)} for n in ("under", "upto"))
+        for interval, g in groups.items():
+            for j, s in enumerate(g):
+                low, high = proposed[interval][2 * j : 2 * j + 2]
+                s.narrow(low, high, under[interval, low], upto[interval, low], under[interval, high], upto[interval, high])
     return {(s.column, s.rank): s.value for s in searches}
 
 
+def _inside(column: str, low: float | None, high: float | None) -> Column:
+    """The column's value where it lies in the open interval, else null."""
+    c = col(column).cast("double")
+    if low is None and high is None:
+        return c
+    return F.when((c > low if low is not None else F.lit(True)) & (c < high if high is not None else F.lit(True)), c)
+
+
 def exact_quantiles(df: DataFrame, names: Iterable[str], points: tuple[float, ...], held: int = HELD, approx: bool = False) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation of numeric columns, None for a column without values.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import IQR_FACTOR, col, exact_quantiles, existing, is_numeric, is_orderless, modes, numeric_columns, with_stats
+from ..functions.tables import settled
 from .sample import with_row_id
 
 #: Most values that one-hot encoding makes columns of; more is an error, not a truncation.
@@ -167,10 +168,16 @@ def normalise(df: DataFrame, methods: dict[str, str] | Sequence[str] | None) ->
 
 
 def clean(df: DataFrame, config: dict | None = None) -> DataFrame:
-    """All steps: ``drop_cols, dedup_subset, order_by, imputation_strategy, outlier_handling, encoding, normalize``."""
+    """All steps: ``drop_cols, dedup_subset, order_by, imputation_strategy, outlier_handling, encoding, normalize``.
+
+    Medians and quartiles take several passes, so the rows left by deduplication
+    are written once before them.
+    """
     c = config or {}
     df = drop_columns(df, c.get("drop_cols", ()))
     df = deduplicate(df, c.get("dedup_subset"), c.get("order_by"))
+    if c.get("imputation_strategy") == "median" or c.get("outlier_handling") in ("clip", "remove"):
+        df = settled(df)
     df = impute(df, c.get("imputation_strategy", "none"))
     df = treat_outliers(df, c.get("outlier_handling", "none"))
     return normalise(encode(df, c.get("encoding")), c.get("normalize"))

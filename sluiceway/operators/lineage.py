@@ -13,6 +13,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import settled
+
 EDGES = "edge_id string, step_name string, input_uris array<string>, output_uri string, field_mappings map<string,array<string>>, metadata map<string,string>, job_id string, tenant_id string, recorded_at string"
 MAX_DEPTH = 10
 
@@ -32,22 +34,21 @@ def pairs(edges: DataFrame, tenant_id: str | None = None) -> DataFrame:
 def _reach(start: DataFrame, steps: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
     """Nodes (``keys``) with the least depth at which rounds over ``steps(f_<key>, t_<key>)`` reach them.
 
-    Each round joins the distinct nodes of the last one, kept in memory or on
-    disk, so plans stay short; rounds end with an empty one or at ``max_depth``.
+    Each round joins the nodes that the last one found first, so a cycle ends
+    once it closes; rounds are written to the shared folder, so plans stay short
+    and nothing stays in memory.  They end with an empty one or at ``max_depth``.
     """
     on = [F.col(k) == F.col(f"f_{k}") for k in keys]
-    front, levels = start.select(*keys).distinct(), []
+    front = start.select(*keys).distinct()
+    seen, found = front, start.select(*keys).limit(0).withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        front = front.join(steps, on).select(*[F.col(f"t_{k}").alias(k) for k in keys]).distinct().persist()
+        reached = front.join(steps, on).select(*[F.col(f"t_{k}").alias(k) for k in keys]).distinct()
+        front = settled(reached.join(seen, keys, "left_anti"))
         if front.isEmpty():
             break
-        levels.append(front.withColumn("depth", F.lit(depth)))
-    if not levels:
-        return start.select(*keys).limit(0).withColumn("depth", F.lit(0))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    return found.groupBy(*keys).agg(F.min("depth").alias("depth")).join(start.select(*keys), keys, "left_anti")
+        seen = seen.unionByName(front)
+        found = found.unionByName(front.withColumn("depth", F.lit(depth)))
+    return found
 
 
 def upstream(edges: DataFrame, uri: str, tenant_id: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -107,6 +107,20 @@ def metric_key(tenant: str, dimension: str, column: str | None) -> str:
     return f"{tenant}__{dimension}__{column or '_row'}"
 
 
+HISTORY_ROWS = "key string, seq bigint, value double"
+ALERTS = "tenant_id string, uri string, rule string, dimension string, column string, metric double, operator string, threshold double, at string"
+
+
+def history_rows(results: list[dict], tenant: str, seq: int) -> list[dict]:
+    """The metrics of collected rule results as rows of a history table; one row a rule."""
+    return [{"key": metric_key(tenant, r["dimension"], r["column"]), "seq": seq, "value": r["metric"]} for r in results]
+
+
+def alert_rows(alerts: list[dict], tenant: str, uri: str, at: str) -> list[dict]:
+    """Failed rules that alert as rows of an alert table."""
+    return [{"tenant_id": tenant, "uri": uri, "at": at} | {n: a[n] for n in ("rule", "dimension", "column", "metric", "operator", "threshold")} for a in alerts]
+
+
 def recent(history: DataFrame, keep: int = HISTORY) -> DataFrame:
     """The last ``keep`` rows of each key of ``history(key, seq, value)``."""
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))

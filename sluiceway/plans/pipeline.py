@@ -6,22 +6,34 @@ runs the operator, writes Parquet where it has an output, and records the end.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import clean as cleaning
 from ..operators import deidentify as deid
 from ..operators import features, gate, lineage, monitor, profile
 from ..operators import sample as sampling
 from ..sources.readers import ConfigError, read_source
-from ..sources.sinks import append_event, staging_uri, write_parquet
+from ..sources.sinks import append_event, post_webhook, staging_uri, write_parquet
+from . import schedule as plan_times
 from . import watermarks
-from .jobs import Records
+from .jobs import Records, current
+from .plugins import PluginRegistry
 from .versions import commit_version
 
 
+def _post_events(endpoint: str, rows: Iterable) -> None:
+    for row in rows:
+        post_webhook(endpoint, json.loads(row["event"]))
+
+
 @dataclass
 class Outcome:
     job_id: str
@@ -103,16 +115,116 @@ class Services:
 
         return self._run("ingest", {"uri": source_uri}, work)
 
-    def check_quality(self, uri: str, rules: list[dict], as_of: str | None = None) -> Outcome:
-        """A failed rule makes the job failed, without an exception."""
+    def check_quality(self, uri: str, rules: list[dict], as_of: str | None = None, webhook: str | None = None) -> Outcome:
+        """A failed rule makes the job failed, without an exception.
+
+        Metrics join the tenant's history, failed rules that alert its alert table;
+        ``webhook`` is told of each of those too.
+        """
 
         def work(job: str) -> Outcome:
             df = self.spark.read.parquet(uri)
             v = monitor.run_rules(df, rules, as_of)
-            return Outcome(job, "completed" if v.passed else "failed", uri, df.count(), {"quality_score": v.quality_score, "results": v.rule_results, "alerts": v.alerts})
+            now = datetime.now(UTC)
+            if v.rule_results:
+                self.records.append("metric_history", monitor.history_rows(v.rule_results, self.tenant, int(now.timestamp() * 1_000_000)), monitor.HISTORY_ROWS)
+            sent = self._alert(v.alerts, uri, now.isoformat(), webhook)
+            return Outcome(job, "completed" if v.passed else "failed", uri, df.count(), {"quality_score": v.quality_score, "results": v.rule_results, "alerts": v.alerts, "webhook_calls": sent})
 
         return self._run("transform", {"uri": uri}, work)
 
+    def _alert(self, alerts: list[dict], uri: str, at: str, webhook: str | None) -> int:
+        """Store alerts and tell the webhook; how many calls it took well."""
+        if not alerts:
+            return 0
+        rows = monitor.alert_rows(alerts, self.tenant, uri, at)
+        self.records.append("alerts", rows, monitor.ALERTS)
+        self._event("quality.alert", {"uri": uri, "rules": [a["rule"] for a in alerts]})
+        return sum(post_webhook(webhook, r) for r in rows) if webhook else 0
+
+    def alerts(self) -> DataFrame:
+        return self.records.read("alerts", monitor.ALERTS).filter(F.col("tenant_id") == self.tenant)
+
+    def metric_history(self) -> DataFrame:
+        """``key, seq, value`` of this tenant's checks."""
+        return self.records.read("metric_history", monitor.HISTORY_ROWS).filter(F.col("key").startswith(f"{self.tenant}__"))
+
+    def monitoring(self) -> DataFrame:
+        """One row a metric: ``key, n, latest, mean, std, trend, z_score, is_anomaly`` of its newest value."""
+        last = monitor.anomalies(monitor.recent(self.metric_history())).groupBy("key").agg(F.max_by(F.struct("z_score", "is_anomaly"), "seq").alias("last"))
+        return last.join(monitor.trends(self.metric_history()), "key", "left").select("key", "n", "latest", "mean", "std", "trend", "last.z_score", "last.is_anomaly")
+
+    def export(self, registry: PluginRegistry, name: str, uri: str, config: dict | None = None) -> Outcome:
+        """A table through one of the tenant's exporter plugins."""
+
+        def work(job: str) -> Outcome:
+            df = self.spark.read.parquet(uri)
+            if registry.named(self.tenant, name).kind != "exporter":
+                raise ConfigError(f"plugin {name!r} is no exporter")
+            return Outcome(job, "completed", str(registry.execute(self.tenant, name, df, config)), df.count())
+
+        return self._run("transform", {"uri": uri, "exporter": name}, work)
+
+    def lineage(self, uri: str, field: str | None = None, max_depth: int = lineage.MAX_DEPTH) -> dict[str, DataFrame]:
+        """What a dataset came from, what came from it, what a change affects, and, with ``field``, that field's sources."""
+        edges = self.edges()
+        out = lineage.dataset_lineage(edges, uri, self.tenant, max_depth) | {"impact": lineage.impact(edges, uri, self.tenant, max_depth)}
+        return out | ({"field": lineage.trace_field(edges, uri, field, self.tenant, max_depth)} if field else {})
+
+    def publish_runs(self, endpoint: str | None = None) -> int:
+        """Store a run event for each edge that has none yet, and post those to ``endpoint``; how many there were.
+
+        Events are stored before they are posted; posting is best effort and runs in tasks.
+        """
+        known = self.records.read("run_events", "edge_id string, event string")
+        new = lineage.run_events(self.edges().filter(F.col("tenant_id") == self.tenant)).join(known.select("edge_id"), "edge_id", "left_anti")
+        batch = f"{self.root}/meta/run_batches/{uuid.uuid4().hex}"
+        new.write.parquet(batch)
+        stored = self.spark.read.schema("edge_id string, event string").parquet(batch)
+        stored.write.mode("append").parquet(f"{self.root}/meta/run_events")
+        if endpoint:
+            stored.foreachPartition(partial(_post_events, endpoint))
+        return stored.count()
+
+    def schedule(self, pipeline_id: str, cron: str, stages: list[str], dependencies: dict[str, list[str]] | None = None, active: bool = True) -> list[str]:
+        """Keep a pipeline's schedule, the newest one counting; its stages in order. Bad cron texts and cycles are errors."""
+        seen = plan_times.validate_cron(cron)
+        if not seen["valid"]:
+            raise ConfigError(seen["error"])
+        order = plan_times.stage_order(stages, dependencies or {})
+        row = {"tenant_id": self.tenant, "pipeline_id": pipeline_id, "cron": cron, "stages": json.dumps(order), "dependencies": json.dumps(dependencies or {}), "active": active, "updated_at": datetime.now(UTC).isoformat()}
+        self.records.append("schedules", [row], plan_times.SCHEDULES)
+        return order
+
+    def schedules(self) -> DataFrame:
+        mine = self.records.read("schedules", plan_times.SCHEDULES).filter(F.col("tenant_id") == self.tenant)
+        return current(mine, ["pipeline_id"], "updated_at").filter("active")
+
+    def upcoming(self, after: datetime | None = None) -> list[tuple[datetime, str]]:
+        """The next run of each scheduled pipeline, soonest first."""
+        return sorted((plan_times.next_runs(r["cron"], after, 1)[0], r["pipeline_id"]) for r in self.schedules().select("cron", "pipeline_id").toLocalIterator())
+
+    def run_pipeline(self, pipeline_id: str, work: dict[str, Callable[[], object]]) -> str:
+        """Run a scheduled pipeline's stages in order and track the run; a failing stage ends it and is raised."""
+        found = self.schedules().filter(F.col("pipeline_id") == pipeline_id).first()
+        if found is None:
+            raise ConfigError(f"no schedule for {pipeline_id!r}")
+        run, done = uuid.uuid4().hex, []
+        note = lambda status: plan_times.track_run(self.records, pipeline_id, run, status, {"done": done}, self.tenant)
+        note("running")
+        try:
+            for stage in json.loads(found["stages"]):
+                work[stage]()
+                done.append(stage)
+        except Exception:
+            note("failed")
+            raise
+        note("completed")
+        return run
+
+    def runs(self, pipeline_id: str, limit: int = 20) -> DataFrame:
+        return plan_times.run_history(self.records.read("pipeline_runs", plan_times.RUNS), pipeline_id, self.tenant, limit)
+
     def commit(self, uri: str, metadata: dict | None = None) -> str:
         return commit_version(self.spark, f"{self.root}/meta", uri, metadata, self.tenant)
 

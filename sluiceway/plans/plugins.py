@@ -1,4 +1,10 @@
-"""Plugins: connectors, transformers, quality checks and exporters by name."""
+"""Plugins: connectors, transformers, quality checks and exporters by name.
+
+A plugin's class has one method by its kind, which takes and gives frames, so its
+work stays in Spark: ``read(spark, config)``, ``transform(df, config)``,
+``check(df, config)`` with one row a check, ``export(df, config)`` with the place
+written to.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,9 @@ import importlib
 import uuid
 from dataclasses import dataclass, field
 
-KINDS = ("connector", "transformer", "quality_check", "exporter")
+#: The method that each kind of plugin has.
+METHODS = {"connector": "read", "transformer": "transform", "quality_check": "check", "exporter": "export"}
+KINDS = tuple(METHODS)
 
 
 @dataclass
@@ -52,6 +60,24 @@ class PluginRegistry:
             raise PermissionError(f"module {p.module_path!r} is not allowed")
         return getattr(importlib.import_module(p.module_path), p.class_name)()
 
+    def named(self, tenant_id: str, name: str) -> Plugin:
+        """A tenant's plugin by its name."""
+        found = [p for p in self.list(tenant_id) if p.name == name]
+        if not found:
+            raise KeyError(f"no plugin {name!r} of {tenant_id}")
+        return found[0]
+
+    def execute(self, tenant_id: str, name: str, data: object, config: dict | None = None) -> object:
+        """Run a tenant's plugin on a frame, or a connector on the session; keys its schema requires must be set."""
+        p, config = self.named(tenant_id, name), config or {}
+        missing = [k for k in p.config_schema.get("required", ()) if k not in config]
+        if missing:
+            raise ValueError(f"plugin {name!r} needs {', '.join(missing)}")
+        method = getattr(self.load(p.plugin_id), METHODS[p.kind], None)
+        if method is None:
+            raise TypeError(f"{p.class_name} has no method {METHODS[p.kind]!r}")
+        return method(data, config)
+
     def deregister(self, plugin_id: str, tenant_id: str) -> None:
         if self.get(plugin_id).tenant_id != tenant_id:
             raise PermissionError("only the owner may remove a plugin")

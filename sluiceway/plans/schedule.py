@@ -148,6 +148,8 @@ def temporal_workflow(config: dict, tenant_id: str) -> dict:
     }
 
 
+SCHEDULES = "tenant_id string, pipeline_id string, cron string, stages string, dependencies string, active boolean, updated_at string"
+
 RUNS = "tenant_id string, pipeline_id string, run_id string, status string, metadata string, updated_at string"
 
 

@@ -33,10 +33,16 @@ def records(body: object, data_key: str = "data") -> list:
 
 
 def pages(config: dict) -> Iterator[list]:
-    """Lists of records until the service has no more, at most ``MAX_PAGES``."""
+    """Lists of records until the service has no more.
+
+    Pages end with an empty one, as a service may cap the size asked for.  A
+    service that still has records after ``max_pages`` (``MAX_PAGES``) pages, or
+    that repeats a cursor, is an error, never a short result.
+    """
     style, size = config.get("pagination"), int(config.get("page_size", 10_000))
     key, offset, cursor = config.get("data_key", "data"), 0, None
-    for number in range(1, MAX_PAGES + 1):
+    most = int(config.get("max_pages", MAX_PAGES))
+    for number in range(1, most + 1):
         params: dict = {}
         if style == "page":
             params = {config.get("page_param", "page"): number, config.get("page_size_param", "page_size"): size}
@@ -49,9 +55,12 @@ def pages(config: dict) -> Iterator[list]:
         if rows:
             yield rows
         offset += len(rows)
-        cursor = body.get(config.get("cursor_key", "next_cursor")) if isinstance(body, dict) else None
-        if not style or (style == "cursor" and not cursor) or (style != "cursor" and len(rows) < size):
+        last, cursor = cursor, body.get(config.get("cursor_key", "next_cursor")) if isinstance(body, dict) else None
+        if style == "cursor" and cursor and cursor == last:
+            raise RuntimeError(f"{config['url']} repeats the cursor {cursor!r}")
+        if not style or (style == "cursor" and not cursor) or (style != "cursor" and not rows):
             return
+    raise RuntimeError(f"{config['url']} has more than {most} pages")
 
 
 class RestReader(DataSourceReader):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +48,13 @@ def decode_json(messages: DataFrame, schema: str, column: str = "value") -> Data
     return messages.select(*rest, *fields, F.when(~is_object, text).alias("scalar_value"), parsed.isNotNull().alias("is_valid"))
 
 
-def stage_stream(stream: DataFrame, path: str, checkpoint: str, timeout_seconds: int = 30, once: bool = True, partition_by: list[str] | None = None) -> dict:
+def stage_stream(stream: DataFrame, path: str, checkpoint: str, timeout_seconds: int = 30, once: bool = True, partition_by: list[str] | None = None, stop_after: int | None = None) -> dict:
     """Write what is available to Parquet and stop; a restart goes on where the checkpoint ends.
 
+    With ``stop_after`` no further batch begins once that many rows are written;
+    its source should cap what a batch reads.  ``finished`` means that nothing was
+    left or the limit was reached, not the time.
+
     Offsets are committed after the files, so a crash neither loses nor doubles rows.
     """
     if not 0 < timeout_seconds <= MAX_SECONDS:
@@ -57,7 +63,13 @@ def stage_stream(stream: DataFrame, path: str, checkpoint: str, timeout_seconds:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
-    finished = query.awaitTermination(timeout_seconds)
+    ends, finished = time.monotonic() + timeout_seconds, False
+    while not finished and time.monotonic() < ends:
+        if stop_after is not None and sum(int(p["numInputRows"]) for p in query.recentProgress) >= stop_after:
+            finished = True
+            query.stop()
+            break
+        finished = query.awaitTermination(min(0.2, max(0.0, ends - time.monotonic())) if stop_after is not None else timeout_seconds)
     if not finished:
         query.stop()
     if query.exception():
@@ -74,7 +86,7 @@ def ingest_stream_batch(spark: SparkSession, config: dict, stream: DataFrame | N
     rows = stream if stream is not None else read_kafka(spark, config)
     if config.get("schema"):
         rows = decode_json(rows, config["schema"])
-    return stage_stream(rows, config["output_path"], config["checkpoint"], int(config.get("timeout_seconds", 30))) | {"topic": config.get("topic")}
+    return stage_stream(rows, config["output_path"], config["checkpoint"], int(config.get("timeout_seconds", 30)), stop_after=size) | {"topic": config.get("topic")}
 
 
 def tumbling(events: DataFrame, time_col: str, size: str, keys: list[str], value_col: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -100,17 +112,18 @@ def deduplicated(events: DataFrame, time_col: str, keys: list[str], late: str) -
 
 
 def stream_reservoir(events: DataFrame, n: int, keys: list[str], path: str, checkpoint: str, seed: int = 42) -> None:
-    """A uniform sample of ``n`` rows of a stream so far, kept under ``path/current`` by bottom-n hashes of each batch."""
+    """A uniform sample of ``n`` rows of a stream so far: the first n by hash, under ``path/v<batch>``; the highest is current.
+
+    A batch read again after a failure writes the same folder anew.  A last
+    reservoir that can't be read stops the stream.
+    """
     from ..operators.sample import random_sample
 
     spark = events.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        try:
-            last = spark.read.parquet(f"{path}/v{number - 1}")
-            batch = batch.unionByName(last)
-        except Exception:  # noqa: BLE001 - the first batch has nothing before it
-            pass
+        if number > 0:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"))
         random_sample(batch, n, keys, seed).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
