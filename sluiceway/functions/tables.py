@@ -6,22 +6,31 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that several passes don't repeat what leads to it.
+def shared_path(spark: SparkSession, name: str) -> str | None:
+    """A new path in the folder that all machines see, None where there is none.
 
     The folder is the session's ``spark.checkpoint.dir``; a local session without
-    one takes a temporary folder, and a cluster without one gets ``df`` as it is,
-    as its machines share no other place.  Lost executors only read again.
+    one takes a temporary folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
-            return df
+            return None
         folder = tempfile.mkdtemp(prefix="spark-tables-")
-    path = os.path.join(folder, f"table-{uuid.uuid4().hex}")
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that several passes don't repeat what leads to it.
+
+    A cluster without a shared folder gets ``df`` as it is.  Lost executors only
+    read again.
+    """
+    path = shared_path(df.sparkSession, "table")
+    if path is None:
+        return df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

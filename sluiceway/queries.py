@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import col
+from .functions.tables import shared_path
 from .operators import clean, deidentify, features, gate, incremental, lineage, monitor, profile, sample
-from .plans import jobs, schedule
-from .sources import readers
+from .plans import jobs, schedule, versions
+from .plans.pipeline import Services
+from .sources import readers, sinks
 from .streaming import microbatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,6 +640,141 @@ def sch_next_runs(spark, sf_dir):
     return spark.createDataFrame([(r.strftime("%Y-%m-%d %H:%M"),) for r in runs], "run_at string")
 
 
+# --- written and read back: formats, services, streams ----------------------
+
+
+def _place(spark, name: str) -> str:
+    path = shared_path(spark, name)
+    if path is None:
+        raise readers.ConfigError("spark.checkpoint.dir must name a folder that all machines share")
+    return path
+
+
+PRICED = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+PRICED_SCHEMA = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
+
+
+def _priced(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(PRICED)
+def src_csv_auto(spark, sf_dir):
+    path = sinks.write_format(_priced(spark, sf_dir), _place(spark, "orders") + ".csv", "csv")
+    return readers.read_source(spark, "file", {"file_path": path, "schema": PRICED_SCHEMA})
+
+
+@query(PRICED)
+def src_csv_delimiter(spark, sf_dir):
+    path = sinks.write_format(_priced(spark, sf_dir), _place(spark, "orders"), "csv", sep="|")
+    return readers.read_source(spark, "csv", {"file_path": path, "format": "csv", "delimiter": "|", "schema": PRICED_SCHEMA})
+
+
+@query(PRICED)
+def src_object_prefix(spark, sf_dir):
+    folder = _place(spark, "bucket")
+    scheme, _, bucket = folder.rpartition("://")
+    o = _priced(spark, sf_dir)
+    for i in range(2):
+        sinks.write_parquet(o.filter(f"o_orderkey % 2 = {i}"), f"{folder}/in/part{i}.parquet")
+    return readers.read_source(spark, "object_store", {"scheme": scheme or "file", "bucket": bucket.removeprefix("file:"), "prefix": "in/part"})
+
+
+@query(PRICED)
+def snk_staging(spark, sf_dir):
+    return spark.read.parquet(sinks.write_parquet(_priced(spark, sf_dir), sinks.staging_uri(_place(spark, "root"), "t", "j"), "zstd"))
+
+
+@query(PRICED)
+def snk_arrow(spark, sf_dir):
+    return sinks.read_arrow(spark, sinks.write_arrow(_priced(spark, sf_dir), _place(spark, "arrow")), PRICED_SCHEMA)
+
+
+@query(PRICED)
+def snk_convert(spark, sf_dir):
+    folder = _place(spark, "converted")
+    sinks.write_format(_priced(spark, sf_dir), f"{folder}/a", "orc")
+    sinks.convert_format(spark, f"{folder}/a", "orc", f"{folder}/b", "json")
+    return readers.read_source(spark, "json", {"file_path": f"{folder}/b", "format": "json", "schema": PRICED_SCHEMA})
+
+
+@query("SELECT 'a' AS event_type, 1 AS n UNION ALL SELECT 'b', 2")
+def snk_events(spark, sf_dir):
+    path = _place(spark, "events")
+    for n, kind in ((1, "a"), (2, "b")):
+        sinks.append_event(spark, path, kind, {"n": n})
+    return spark.read.parquet(path).select("event_type", F.get_json_object("payload", "$.n").cast("int").alias("n"))
+
+
+@query("SELECT count(*) AS rows, 6 AS columns FROM orders")
+def prf_size(spark, sf_dir):
+    return profile.row_count(table(spark, sf_dir, "orders"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
+def dsh_newest_records(spark, sf_dir):
+    return jobs.current(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_linenumber")
+
+
+@query(f"""WITH h AS ({HOLEY}) SELECT 'completeness_price' AS rule, round(count(price) / count(*), 6) AS metric, CAST(0.9 AS DOUBLE) AS threshold FROM h
+UNION ALL SELECT 'spelling_price', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)""")
+def mon_alerts(spark, sf_dir):
+    rules = [{"column": "price", "threshold": 0.9}, {"column": "status", "threshold": 0.5}, {"dimension": "spelling", "column": "price"}, {"name": "quiet", "column": "price", "alert_on_failure": False}]
+    uri = sinks.write_parquet(holey(spark, sf_dir), _place(spark, "holey"))
+    services = Services(spark, _place(spark, "root"), "t")
+    services.check_quality(uri, rules)
+    return services.alerts().select("rule", "metric", "threshold")
+
+
+@query(f"WITH h AS ({HOLEY}) SELECT 't__completeness__price' AS key, round(count(price) / count(*), 6) AS value FROM h UNION ALL SELECT 't__completeness__status', round(count(status) / count(*), 6) FROM h")
+def mon_history(spark, sf_dir):
+    uri = sinks.write_parquet(holey(spark, sf_dir), _place(spark, "holey"))
+    services = Services(spark, _place(spark, "root"), "t")
+    services.check_quality(uri, [{"column": "price"}, {"column": "status"}])
+    return services.metric_history().select("key", "value")
+
+
+@query("SELECT c_custkey, c_nationkey AS nation, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS c_acctbal FROM customer")
+def svc_orchestrate(spark, sf_dir):
+    c = sinks.write_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), _place(spark, "customer"))
+    config = {"input_uri": c, "skip_profile": True, "cleaning": {"drop_cols": ["c_name"], "normalize": ["c_acctbal"]}, "transform": {"rename": {"c_nationkey": "nation"}}, "suite": {}}
+    return spark.read.parquet(Services(spark, _place(spark, "root"), "t").orchestrate(config).output_uri)
+
+
+@query("SELECT count(*) AS row_count FROM customer")
+def ver_commit(spark, sf_dir):
+    root = _place(spark, "root")
+    uri = sinks.write_parquet(table(spark, sf_dir, "customer"), f"{root}/customer")
+    version = versions.commit_version(spark, root, uri, {"by": "query"}, "t")
+    return spark.createDataFrame([(versions.get_version(spark, root, version, "t")["row_count"],)], "row_count bigint")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderstatus AS status FROM orders WHERE o_custkey % 10 = 3 ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20")
+def sch_run_history(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.lit("t").alias("tenant_id"), (F.col("o_custkey") % 10).cast("string").alias("pipeline_id"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
+    return schedule.run_history(o, "3", "t").select("run_id", "status")
+
+
+@query(f"WITH g AS ({GRAPH}), near AS (SELECT target AS uri FROM g WHERE source = 'nation/3' UNION SELECT source FROM g WHERE target = 'nation/3' UNION SELECT 'nation/3') SELECT source, target FROM g WHERE source IN (SELECT uri FROM near) AND target IN (SELECT uri FROM near)")
+def lin_dataset(spark, sf_dir):
+    return lineage.dataset_lineage(_edges(spark, sf_dir), "nation/3", "t")["graph"].select("source", "target")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def str_stage(spark, sf_dir):
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type", "value")
+    root = _place(spark, "stream")
+    microbatch.stage_stream(stream, f"{root}/out", f"{root}/mark", timeout_seconds=300)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 100")
+def str_reservoir(spark, sf_dir):
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type")
+    root = _place(spark, "reservoir")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/v{microbatch.stream_reservoir(stream, 100, ['event_id'], f'{root}/out', f'{root}/mark')}")
+
+
 # --- flagship --------------------------------------------------------------
 
 

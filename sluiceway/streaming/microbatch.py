@@ -111,8 +111,8 @@ def deduplicated(events: DataFrame, time_col: str, keys: list[str], late: str) -
     return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_reservoir(events: DataFrame, n: int, keys: list[str], path: str, checkpoint: str, seed: int = 42) -> None:
-    """A uniform sample of ``n`` rows of a stream so far: the first n by hash, under ``path/v<batch>``; the highest is current.
+def stream_reservoir(events: DataFrame, n: int, keys: list[str], path: str, checkpoint: str, seed: int = 42) -> int:
+    """A uniform sample of ``n`` rows of a stream so far: the first n by hash, under ``path/v<batch>``; the current batch's number (-1 before any).
 
     A batch read again after a failure writes the same folder anew.  A last
     reservoir that can't be read stops the stream.
@@ -126,4 +126,6 @@ def stream_reservoir(events: DataFrame, n: int, keys: list[str], path: str, chec
             batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"))
         random_sample(batch, n, keys, seed).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    run = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return max((int(p["batchId"]) for p in run.recentProgress if p["numInputRows"]), default=-1)
