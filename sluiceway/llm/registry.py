@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, gif, jaccard_join, language_id, licenses, line_dedup, mixture, secrets, toxicity
+from . import bpe, exact_dedup, fill_middle, filter_audit, gif, jaccard_join, language_id, licenses, line_dedup, mixture, secrets, toxicity, url_filter
 from .common import read
 
 
@@ -69,6 +69,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(read(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+#: Rules of the registered query: verdict, host, path.
+URL_RULES = tuple(url_filter.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -152,10 +170,106 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) k ON k.node = d.doc_id
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+k AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS UBIGINT) % (len(u) + 1) AS k1, CAST('0x' || h[9:16] AS UBIGINT) % (len(u) + 1) AS k2,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR CAST('0x' || h[17:24] AS UBIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS UBIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (
+  SELECT *, coalesce(array_to_string(u[1:least(k1, k2)], ''), '') AS p, coalesce(array_to_string(u[least(k1, k2) + 1:greatest(k1, k2)], ''), '') AS m,
+         coalesce(array_to_string(u[greatest(k1, k2) + 1:], ''), '') AS s
+  FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM c
+"""
+
+
+def _strength_sql(children: str) -> str:
+    """Of the strengths tried the likeliest for a table of children, as ``fit_strength`` takes it."""
+    total = f"""SELECT m, sum(lgamma(bad + mean * m) - lgamma(mean * m) + lgamma(n - bad + (1 - mean) * m) - lgamma((1 - mean) * m) + lgamma(m) - lgamma(n + m)) AS t
+    FROM {children}, (SELECT pow(2, i / 2.0) AS m FROM range(-2, 25) AS r(i)) WHERE n > 1 GROUP BY m"""
+    return f"(SELECT coalesce(max(m), 4096.0) FROM (SELECT m, t, max(t) OVER () AS best FROM ({total})) WHERE t >= best - 1e-6)"
+
+
+# The posterior probability comes from a power series here, from a continued fraction in the operator.
+OP12_SQL = rf"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+marked AS (
+  SELECT doc_id, max(CAST(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 AS BIGINT)) AS bad
+  FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+keyed AS (SELECT host, try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})(?:[/.]|$)', 1), '') AS BIGINT) AS doc_id FROM parts),
+hosts AS (
+  SELECT host, name, CASE WHEN regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$|\]$') OR dom = '' THEN name ELSE dom END AS domain, n, bad
+  FROM (SELECT *, regexp_extract(name, '(?:^|\.)([^.]+\.(?:{"|".join(s.replace(".", chr(92) + ".") for s in url_filter.SUFFIXES)}|[^.]+))$', 1) AS dom
+        FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.*(:[0-9]*)?$', '') AS name, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad
+              FROM keyed LEFT JOIN marked USING (doc_id) GROUP BY host))),
+named AS (SELECT host, domain, CASE WHEN regexp_matches(domain, '^[0-9]+(\.[0-9]+){{3}}$|\]$') THEN '' ELSE regexp_extract(domain, '^[^.]*\.(.*)$', 1) END AS suffix, n, bad FROM hosts),
+whole AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean, coalesce(sum(n), 0) AS labelled FROM named),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(whole.mean) AS mean FROM d0, whole GROUP BY suffix),
+s1 AS (SELECT suffix, (bad + g * mean) / (n + g) AS mean FROM s0, (SELECT {_strength_sql("s0")} AS g)),
+d1 AS (SELECT domain, suffix, n, bad, s1.mean FROM d0 JOIN s1 USING (suffix)),
+d2 AS (SELECT domain, (bad + g * mean) / (n + g) AS mean FROM d1, (SELECT {_strength_sql("d1")} AS g)),
+h1 AS (SELECT host, domain, suffix, n, bad, d2.mean FROM named JOIN d2 USING (domain)),
+h2 AS (SELECT host, domain, suffix, n, bad, bad + g * mean AS a, n - bad + g * (1 - mean) AS b FROM h1, (SELECT {_strength_sql("h1")} AS g)),
+h3 AS (
+  SELECT h2.*, a / (a + b) AS rate,
+         CASE WHEN labelled = 0 THEN 0.0 ELSE 1 - exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a
+           * list_reduce(list_transform(range(1, 4000), lambda i: [CAST(i AS DOUBLE), 0.0]), lambda acc, i: [acc[1] + acc[2] * x * (a + b + i[1] - 1) / (a + i[1]), acc[2] * x * (a + b + i[1] - 1) / (a + i[1])], [CAST(1 AS DOUBLE), 1.0])[1] END AS above
+  FROM h2, (SELECT mean AS x, labelled FROM whole)),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN above >= 0.95 THEN 'block' ELSE 'allow' END AS verdict,
+       domain, suffix, n AS n_labelled, bad AS n_bad, round(rate, 6) AS rate, round(above, 6) AS above
+FROM ruled JOIN h3 USING (host)
+"""
+
+# Applies the filters row by row in each order, without any inversion.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+f AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails
+  FROM d),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.c <> b.c AND a.c <> c.c AND a.c <> d.c AND a.c <> e.c AND b.c <> c.c AND b.c <> d.c AND b.c <> e.c AND c.c <> d.c AND c.c <> e.c AND d.c <> e.c),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step:step] AS own, filter_order[1:step - 1] AS before FROM o, range(1, 6) AS r(step)),
+t AS (SELECT s.*, g.*, contains(fails, own) AS hit, translate(fails, before, '') <> fails AS gone FROM s, g),
+r AS (
+  SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n_good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM t GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_mix_sources, op3_secrets, op4_licenses, op5_line_dedup, op6_bpe, op7_toxicity, op8_exact_dedup, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_gif, op2_mix_sources, op3_secrets, op4_licenses, op5_line_dedup, op6_bpe, op7_toxicity, op8_exact_dedup, op9_jaccard_join, op10_language_id, op11_fill_middle, op12_url_filter, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_fill_middle": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -91,7 +91,7 @@ def test_stored_texts(spark, edge, empty):
         assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and row["tail_crc32"] == zlib.crc32(payload[-16:])
     media = gif.store_texts(edge, keep_media=True)
     shown = gif.frames(media, "doc_id", "media")
-    assert shown.filter("doc_id = 6").count() == -(-(-(-300_000 // 192)) // 256)
+    assert shown.filter("doc_id = 6").count() == -(-(-(-300_000 // gif.ROW)) // gif.ROWS)
     assert gif.frames(spark.createDataFrame([(1, None), (2, bytearray(b"no"))], "i long, m binary"), "i", "m").count() == 0
 
 
