@@ -28,6 +28,14 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it: one that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def existing(df: DataFrame, names: Iterable[str] | None) -> list[str]:
     """Those of ``names`` that ``df`` has, in the order given."""
     have = set(df.columns)

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str | None:
-    """A new path in the folder that all machines see, None where there is none.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines see: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local session without
-    one takes a temporary folder.
+    A local session without one takes a temporary folder; on a cluster that is an
+    error, as other machines couldn't read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            return None
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-tables-")
     return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
@@ -26,11 +27,8 @@ def shared_path(spark: SparkSession, name: str) -> str | None:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that several passes don't repeat what leads to it.
 
-    A cluster without a shared folder gets ``df`` as it is.  Lost executors only
-    read again.
+    Lost executors only read again.
     """
     path = shared_path(df.sparkSession, "table")
-    if path is None:
-        return df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import IQR_FACTOR, col, exact_quantiles, existing, is_numeric, is_orderless, modes, numeric_columns, with_stats
+from ..functions.columns import IQR_FACTOR, col, exact_quantiles, existing, is_numeric, is_orderless, modes, numeric_columns, unused, with_stats
 from ..functions.tables import settled
 from .sample import with_row_id
 
@@ -39,7 +39,8 @@ def deduplicate(df: DataFrame, subset: Sequence[str] | None = None, order_by: Se
     kinds = {f.name: f.dataType for f in df.schema}
     rest += [c for c in df.columns if c not in keys and c not in rest and not is_orderless(kinds[c])]
     first = Window.partitionBy(*map(col, keys)).orderBy(*map(col, rest or keys))
-    return df.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+    place = unused(df, "place")
+    return df.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
 
 
 def impute(df: DataFrame, strategy: str = "median") -> DataFrame:
@@ -65,14 +66,15 @@ def impute(df: DataFrame, strategy: str = "median") -> DataFrame:
         middles = exact_quantiles(df, numeric, (0.5,))
         fill |= {n: F.coalesce(col(n).cast("double"), F.lit(middles[n][0]).cast("double")) for n in numeric}
     elif numeric:
-        filled = with_stats(filled, df.agg(*[F.avg(col(n)).alias(f"__mean{i}") for i, n in enumerate(numeric)]))
-        fill |= {n: F.coalesce(col(n), F.col(f"__mean{i}")) for i, n in enumerate(numeric)}
+        means = unused(df, "means")
+        filled = with_stats(filled, df.agg(F.struct(*[F.avg(col(n)).alias(f"m{i}") for i, n in enumerate(numeric)]).alias(means)))
+        fill |= {n: F.coalesce(col(n), F.col(means)[f"m{i}"]) for i, n in enumerate(numeric)}
     if common:
-        aliases = [f"__fill{i}" for i in range(len(common))]
-        filled = with_stats(filled, modes(df, common, aliases))
+        best, aliases = unused(df, "best"), [f"v{i}" for i in range(len(common))]
+        filled = with_stats(filled, modes(df, common, aliases).select(F.struct(*aliases).alias(best)))
         for n, a in zip(common, aliases, strict=True):
             zero = [F.lit(0).cast(kinds[n])] if is_numeric(kinds[n]) else []
-            fill[n] = F.coalesce(col(n), F.col(a), *zero)
+            fill[n] = F.coalesce(col(n), F.col(best)[a], *zero)
     return filled.select(*[fill.get(n, col(n)).alias(n) for n in df.columns])
 
 
@@ -119,10 +121,10 @@ def label_encode(df: DataFrame, name: str) -> DataFrame:
     Only the distinct texts are ranked, in ranges; the map is joined back by equality.
     """
     text = F.coalesce(col(name).cast("string"), F.lit("None"))
-    values = df.select(text.alias("__value")).distinct()
-    places = with_row_id(values, ["__value"], "__label")
-    joined = df.withColumn("__text", text).join(places, F.col("__text") == F.col("__value"))
-    return joined.select(*[(F.col("__label") if c == name else col(c)).alias(c) for c in df.columns])
+    value, label, mine = (unused(df, n) for n in ("value", "label", "text"))
+    places = with_row_id(df.select(text.alias(value)).distinct(), [value], label)
+    joined = df.withColumn(mine, text).join(places, F.col(mine) == F.col(value))
+    return joined.select(*[(F.col(label) if c == name else col(c)).alias(c) for c in df.columns])
 
 
 def encode(df: DataFrame, encoding: dict[str, str] | None) -> DataFrame:
@@ -153,17 +155,17 @@ def normalise(df: DataFrame, methods: dict[str, str] | Sequence[str] | None) ->
             wanted[name] = method
     if not wanted:
         return df
-    stats, change = [], {}
+    stats, change, held = [], {}, unused(df, "stats")
     for i, (name, method) in enumerate(wanted.items()):
-        c, a, b = col(name).cast("double"), F.col(f"__a{i}"), F.col(f"__b{i}")
+        c, a, b = col(name).cast("double"), F.col(held)[f"a{i}"], F.col(held)[f"b{i}"]
         if method == "minmax":
-            stats += [F.min(c).alias(f"__a{i}"), F.max(c).alias(f"__b{i}")]
+            stats += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
             value = F.when(a == b, F.lit(0.0)).otherwise((c - a) / (b - a))
         else:
-            stats += [F.avg(c).alias(f"__a{i}"), F.stddev_pop(c).alias(f"__b{i}")]
+            stats += [F.avg(c).alias(f"a{i}"), F.stddev_pop(c).alias(f"b{i}")]
             value = F.when(b == 0, F.lit(0.0)).otherwise((c - a) / b)
         change[name] = F.when(c.isNotNull(), value)
-    joined = with_stats(df, df.agg(*stats))
+    joined = with_stats(df, df.agg(F.struct(*stats).alias(held)))
     return joined.select(*[change.get(n, col(n)).alias(n) for n in df.columns])
 
 

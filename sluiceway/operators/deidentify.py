@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, existing, string_columns
+from ..functions.columns import col, existing, string_columns, unused
 
 # The patterns of the entity types, applied in this order.  (?U) keeps \b and \d
 # on Unicode word rules whatever the JVM.
@@ -26,6 +26,8 @@ STRATEGIES = ("redact", "hash", "pseudonymize", "generalize")
 #: Share of values with a match above which a column counts as personal.
 DETECTION_RATE = 0.05
 DETECTION_ROWS = 200
+#: Re-identification risk above which a table needs a second look.
+RISK_THRESHOLD = 0.3
 
 
 def pattern(entity: str) -> str:
@@ -88,22 +90,28 @@ def mask_entity(text: Column, entity: str, strategy: str, key: bytes) -> Column:
     return F.when(text.rlike(rx), F.array_join(pieces, "")).otherwise(text)
 
 
+def flag_names(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
+    """The name of each masked column's flag: one that ``df`` doesn't use."""
+    return {n: unused(df, f"__masked_{n}") for n in existing(df, columns)}
+
+
 def mask_columns(df: DataFrame, columns: dict[str, dict], job_id: str, salt: str = "") -> DataFrame:
-    """Masked columns beside boolean ``__masked_<name>``: whether any step matched its current text.
+    """Masked columns beside a boolean flag each (``flag_names``): whether any step changed its text.
 
     Entities are applied one after the other to the text as the earlier ones left
-    it.  Each step is its own projection, so expressions stay small.
+    it.  Each step is its own projection, so expressions stay small, and looks for
+    its pattern once: what it changed tells the flag.
     """
     key = pseudonym_key(job_id, salt)
-    texts = set(string_columns(df))
-    for name in existing(df, columns):
-        flag = f"__masked_{name}"
+    texts, flags, new = set(string_columns(df)), flag_names(df, columns), unused(df, "masked_text")
+    for name, flag in flags.items():
         df = df.withColumn(flag, F.lit(False))
         if name not in texts:
             continue
         for entity in columns[name].get("entity_types") or PATTERNS:
             if entity in PATTERNS:
-                df = df.withColumns({flag: col(flag) | F.coalesce(col(name).rlike(pattern(entity)), F.lit(False)), name: mask_entity(col(name), entity, columns[name].get("strategy", "redact"), key)})
+                df = df.withColumn(new, mask_entity(col(name), entity, columns[name].get("strategy", "redact"), key))
+                df = df.withColumns({flag: col(flag) | F.coalesce(col(new) != col(name), F.lit(False)), name: col(new)}).drop(new)
     return df
 
 
@@ -128,17 +136,18 @@ def detect_pii(df: DataFrame, names: Sequence[str] | None = None, order_by: Sequ
     return found.filter(F.col("rate") > DETECTION_RATE)
 
 
-def reidentification_risk(df: DataFrame, masked: Sequence[str]) -> DataFrame:
-    """One row ``risk_score``: half the distinct share of masked columns and 0.3 for other nearly unique texts, averaged."""
+def reidentification_risk(df: DataFrame, masked: Sequence[str], threshold: float = RISK_THRESHOLD) -> DataFrame:
+    """One row ``risk_score, above_threshold``: half the distinct share of masked columns and 0.3 for other nearly unique texts, averaged."""
     texts = string_columns(df)
     if not texts:
-        return df.sparkSession.range(1).select(F.lit(0.0).alias("risk_score"))
+        return df.sparkSession.range(1).select(F.lit(0.0).alias("risk_score"), F.lit(threshold < 0).alias("above_threshold"))
     wide = df.agg(F.count("*").alias("n"), *[F.count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(texts)])
     share = lambda i: F.least(F.col(f"c{i}") / F.greatest(F.col("n"), F.lit(1)), F.lit(1.0))
     parts = [share(i) * 0.5 if c in masked else F.when(share(i) > 0.8, F.lit(0.3)) for i, c in enumerate(texts)]
     known = F.filter(F.array(*parts), lambda x: x.isNotNull())
     mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.0)
-    return wide.select(F.round(mean, 4).alias("risk_score"))
+    # The limit is held against the score itself, not its rounded form.
+    return wide.select(F.round(mean, 4).alias("risk_score"), (mean > threshold).alias("above_threshold"))
 
 
 @dataclass
@@ -149,18 +158,25 @@ class Deidentified:
     risk: DataFrame
 
 
-def audit(masked: DataFrame, columns: dict[str, dict], job_id: str, tenant_id: str) -> DataFrame:
-    """``column, strategy, entity_types, masked_values, job_id, tenant_id`` from the flags of :func:`mask_columns`."""
-    names = [n for n in columns if f"__masked_{n}" in masked.columns]
+def audit(masked: DataFrame, columns: dict[str, dict], job_id: str, tenant_id: str, flags: dict[str, str] | None = None) -> DataFrame:
+    """``column, strategy, entity_types, masked_values, job_id, tenant_id`` from the flags of :func:`mask_columns`.
+
+    ``flags`` are the flags' names where they aren't the usual ones.
+    """
+    flags = flags or {n: f"__masked_{n}" for n in columns}
+    names = [n for n in columns if flags.get(n) in masked.columns]
     if not names:
         return masked.sparkSession.createDataFrame([], "column string, strategy string, entity_types array<string>, masked_values bigint, job_id string, tenant_id string")
-    wide = masked.agg(*[F.count_if(col(f"__masked_{n}")).alias(f"n{i}") for i, n in enumerate(names)])
+    wide = masked.agg(*[F.count_if(col(flags[n])).alias(f"n{i}") for i, n in enumerate(names)])
     rows = [F.struct(F.lit(n).alias("column"), F.lit(columns[n].get("strategy", "redact")).alias("strategy"), F.array(*[F.lit(e) for e in columns[n].get("entity_types") or PATTERNS]).alias("entity_types"), F.col(f"n{i}").alias("masked_values"), F.lit(job_id).alias("job_id"), F.lit(tenant_id).alias("tenant_id")) for i, n in enumerate(names)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def deidentify(df: DataFrame, config: dict, job_id: str, tenant_id: str = "default") -> Deidentified:
-    """Mask ``columns`` (and, with ``auto_detect``, columns found personal, by redaction); the config isn't changed."""
+    """Mask ``columns`` (and, with ``auto_detect``, columns found personal, by redaction); the config isn't changed.
+
+    ``risk_threshold`` is the risk above which the result says so.
+    """
     columns = {k: dict(v) for k, v in config.get("columns", {}).items() if k in df.columns}
     found: dict[str, list[str]] = {}
     if config.get("auto_detect"):
@@ -169,4 +185,4 @@ def deidentify(df: DataFrame, config: dict, job_id: str, tenant_id: str = "defau
         columns |= {k: {"entity_types": v, "strategy": "redact"} for k, v in found.items() if k not in columns}
     flagged = mask_columns(df, columns, job_id, config.get("salt", ""))
     out = flagged.select(*map(col, df.columns))
-    return Deidentified(out, audit(flagged, columns, job_id, tenant_id), found, reidentification_risk(out, list(columns)))
+    return Deidentified(out, audit(flagged, columns, job_id, tenant_id, flag_names(df, columns)), found, reidentification_risk(out, list(columns), config.get("risk_threshold", RISK_THRESHOLD)))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, existing, numeric_columns
+from ..functions.columns import col, existing, numeric_columns, unused
 from .clean import drop_columns, encode, normalise
 
 
@@ -41,14 +41,16 @@ def pca(df: DataFrame, names: Sequence[str], n_components: int = 2) -> DataFrame
     good = [n for n in existing(df, names) if n in set(numeric_columns(df))]
     if len(good) < n_components or n_components < 1:
         return df
-    filled = df.withColumns({f"__x{i}": F.coalesce(col(n).cast("double"), F.lit(0.0)) for i, n in enumerate(good)})
-    rows = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(good))], outputCol="__raw").transform(filled)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__mid").fit(rows).transform(rows)
-    model = PCA(k=n_components, inputCol="__mid", outputCol="__out").fit(centred)
+    raw, mid, out, scores = (unused(df, n) for n in ("raw_vector", "mid_vector", "out_vector", "scores"))
+    parts = [unused(df, f"part_{i}") for i in range(len(good))]
+    filled = df.withColumns({p: F.coalesce(col(n).cast("double"), F.lit(0.0)) for p, n in zip(parts, good, strict=True)})
+    rows = VectorAssembler(inputCols=parts, outputCol=raw).transform(filled)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol=raw, outputCol=mid).fit(rows).transform(rows)
+    model = PCA(k=n_components, inputCol=mid, outputCol=out).fit(centred)
     signs = [1.0 if max(column, key=abs) >= 0 else -1.0 for column in model.pc.toArray().T]
-    scored = model.transform(centred).withColumn("__scores", vector_to_array("__out"))
+    scored = model.transform(centred).withColumn(scores, vector_to_array(out))
     kept = [col(c) for c in df.columns if c not in good]
-    return scored.select(*kept, *[(F.col("__scores")[i] * s).alias(f"pca_{i + 1}") for i, s in enumerate(signs)])
+    return scored.select(*kept, *[(F.col(scores)[i] * s).alias(f"pca_{i + 1}") for i, s in enumerate(signs)])
 
 
 def transform(df: DataFrame, config: dict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, existing, is_orderless
+from ..functions.columns import col, existing, is_orderless, unused
 
 EPOCH = "1970-01-01T00:00:00+00:00"
 MODES = ("timestamp", "sequence", "soft_delete")
@@ -60,7 +60,8 @@ def latest(rows: DataFrame, keys: Sequence[str], column: str, mode: str = "times
     rest = [col(c) for c in rows.columns if c not in keys and not is_orderless(kinds[c])]
     newest = [watermark_value(rows, column, mode).desc_nulls_last()] if column in rows.columns else []
     place = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*(newest + rest or [F.lit(1)])))
-    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+    at = unused(rows, "place")
+    return rows.withColumn(at, place).filter(F.col(at) == 1).drop(at)
 
 
 def deleted_flag(rows: DataFrame, column: str | None) -> Column:
@@ -77,8 +78,9 @@ def upsert(staged: DataFrame, rows: DataFrame, keys: Sequence[str], overwrite_nu
     only in ``rows`` are added, with the columns only they have.
     """
     extra = [c for c in rows.columns if c not in staged.columns]
-    s = staged.withColumn("__s", F.lit(True)).alias("s")
-    d = rows.withColumn("__d", F.lit(True)).alias("d")
+    in_s, in_d = unused(staged, "in_s"), unused(rows, "in_d")
+    s = staged.withColumn(in_s, F.lit(True)).alias("s")
+    d = rows.withColumn(in_d, F.lit(True)).alias("d")
     same = F.lit(True)
     for k in keys:
         same &= F.col(f"s.`{k}`").eqNullSafe(F.col(f"d.`{k}`"))
@@ -89,18 +91,18 @@ def upsert(staged: DataFrame, rows: DataFrame, keys: Sequence[str], overwrite_nu
         if c not in rows.columns:
             value = mine(c)
         elif overwrite_nulls:
-            value = F.when(F.col("d.__d"), theirs(c)).otherwise(mine(c))
+            value = F.when(theirs(in_d), theirs(c)).otherwise(mine(c))
         else:
             value = F.coalesce(theirs(c), mine(c))
         out.append(value.alias(c))
     # Columns only the delta has are filled for inserted rows only.
-    out += [F.when(F.col("s.__s").isNull(), theirs(c)).alias(c) for c in extra]
+    out += [F.when(mine(in_s).isNull(), theirs(c)).alias(c) for c in extra]
     return joined.select(*out)
 
 
 def remove_keys(staged: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``staged`` without the rows whose key occurs in ``gone``."""
-    names = {k: f"__gone_{i}" for i, k in enumerate(keys)}
+    names = {k: unused(staged, f"gone_{i}") for i, k in enumerate(keys)}
     g = gone.select(*[col(k).alias(n) for k, n in names.items()]).distinct()
     same = F.lit(True)
     for k, n in names.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, unused
 
 HISTORY = 100
 ANOMALY_Z = 3.0
@@ -107,13 +107,18 @@ def metric_key(tenant: str, dimension: str, column: str | None) -> str:
     return f"{tenant}__{dimension}__{column or '_row'}"
 
 
-HISTORY_ROWS = "key string, seq bigint, value double"
+HISTORY_ROWS = "tenant_id string, key string, seq bigint, value double"
 ALERTS = "tenant_id string, uri string, rule string, dimension string, column string, metric double, operator string, threshold double, at string"
 
 
 def history_rows(results: list[dict], tenant: str, seq: int) -> list[dict]:
-    """The metrics of collected rule results as rows of a history table; one row a rule."""
-    return [{"key": metric_key(tenant, r["dimension"], r["column"]), "seq": seq, "value": r["metric"]} for r in results]
+    """The metrics of collected rule results as rows of a history table.
+
+    Rules on the same dimension and column measure the same thing: one row for
+    them all, so that a key has one value a check.
+    """
+    values = {metric_key(tenant, r["dimension"], r["column"]): r["metric"] for r in results}
+    return [{"tenant_id": tenant, "key": key, "seq": seq, "value": value} for key, value in values.items()]
 
 
 def alert_rows(alerts: list[dict], tenant: str, uri: str, at: str) -> list[dict]:
@@ -123,8 +128,8 @@ def alert_rows(alerts: list[dict], tenant: str, uri: str, at: str) -> list[dict]
 
 def recent(history: DataFrame, keep: int = HISTORY) -> DataFrame:
     """The last ``keep`` rows of each key of ``history(key, seq, value)``."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    return history.withColumn("__place", place).filter(F.col("__place") <= keep).drop("__place")
+    place, at = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))), unused(history, "place")
+    return history.withColumn(at, place).filter(F.col(at) <= keep).drop(at)
 
 
 def anomalies(history: DataFrame) -> DataFrame:

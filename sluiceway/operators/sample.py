@@ -15,14 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, existing, is_orderless, numeric_columns, order_statistics, string_columns, with_stats
+from ..functions.columns import HELD, col, existing, is_orderless, numeric_columns, string_columns, unused, with_stats
+from ..functions.tables import settled
 
 #: Smaller tables are returned whole.
 SMALLEST = 10
 #: Hexadecimal digits of a draw key that name its cell.
 CELL_DIGITS = 4
-#: Ranges of rows are found in two steps among this many.
-FAN = 32
+#: Cells of an importance sample in one unit of its ranks, which are logarithms: a few hundred thousand in all.
+RANK_CELLS = 4096
 # Normal quantiles of the confidence levels.
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 DRIFT_LIMIT = 0.1
@@ -54,20 +55,27 @@ def _keys(df: DataFrame, keys: Sequence[str] | None) -> list[str]:
 def random_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement."""
     k = _keys(df, keys)
-    rows = df.withColumn("__draw", draw_key(k, seed)).withColumn("__cell", F.substring("__draw", 1, CELL_DIGITS))
-    cells = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
-    # At most 16 ** CELL_DIGITS rows, whatever the table.
-    upto = cells.select("__cell", "__n", F.sum("__n").over(Window.orderBy("__cell")).alias("__upto"))
-    cut = upto.filter(F.col("__upto") >= n).agg(F.min(F.struct("__cell", (F.lit(n) - F.col("__upto") + F.col("__n")).alias("__rest"))).alias("__cut"))
-    return _before_cut(with_stats(rows, cut), [], k).select(*map(col, df.columns))
+    draw = draw_key(k, seed)
+    # At most 16 ** CELL_DIGITS cells, whatever the table.
+    return _first(df, n, draw, F.substring(draw, 1, CELL_DIGITS), k)
 
 
-def _before_cut(rows: DataFrame, by: list[str], keys: Sequence[str]) -> DataFrame:
-    """Rows of cells before ``__cut.__cell`` and the first ``__cut.__rest`` of that cell; all without a cut."""
-    cell, rest = F.col("__cut.__cell"), F.col("__cut.__rest")
-    near = rows.filter(F.col("__cut").isNull() | (F.col("__cell") <= cell))
-    place = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__draw", *map(col, keys)))
-    return near.withColumn("__place", place).filter(F.col("__cut").isNull() | (F.col("__cell") < cell) | (F.col("__place") <= rest))
+def _first(df: DataFrame, n: int, draw: Column, cell: Column, keys: Sequence[str]) -> DataFrame:
+    """The ``n`` rows least by ``draw`` and ``keys``; ``cell`` must not fall where ``draw`` grows, and has few values."""
+    t = unused(df, "draw")
+    rows = df.withColumn(t, F.struct(draw.alias("key"), cell.alias("cell")))
+    cells = rows.groupBy(F.col(f"{t}.cell").alias("cell")).agg(F.count("*").alias("n"))
+    upto = cells.select("cell", "n", F.sum("n").over(Window.orderBy("cell")).alias("upto"))
+    cut = upto.filter(F.col("upto") >= n).agg(F.min(F.struct("cell", (F.lit(n) - F.col("upto") + F.col("n")).alias("rest"))).alias(f"{t}_cut"))
+    return _before_cut(with_stats(rows, cut), t, [], keys).select(*map(col, df.columns))
+
+
+def _before_cut(rows: DataFrame, t: str, by: list[Column], keys: Sequence[str]) -> DataFrame:
+    """Rows of cells before ``<t>_cut.cell`` and the first ``<t>_cut.rest`` of that cell; all without a cut."""
+    mine, cut, place = F.col(f"{t}.cell"), F.col(f"{t}_cut"), f"{t}_place"
+    near = rows.filter(cut.isNull() | (mine <= cut["cell"]))
+    number = F.row_number().over(Window.partitionBy(*by, mine).orderBy(f"{t}.key", *map(col, keys)))
+    return near.withColumn(place, number).filter(cut.isNull() | (mine < cut["cell"]) | (F.col(place) <= cut["rest"]))
 
 
 def reservoir_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
@@ -82,46 +90,48 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, keys: Sequence[str] |
     """
     if stratum not in df.columns:
         return random_sample(df, n, keys, seed)
-    k = _keys(df, keys)
+    k, t = _keys(df, keys), unused(df, "draw")
     known = df.filter(col(stratum).isNotNull())
-    sizes = known.groupBy(col(stratum).alias("__s")).agg(F.count("*").alias("__size"))
-    quotas = sizes.join(F.broadcast(df.agg(F.count("*").alias("__total"))))
-    quotas = quotas.select("__s", F.least(F.col("__size"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("__size") / F.col("__total")).cast("long"))).alias("__quota"))
-    rows = known.withColumn("__draw", draw_key(k, seed)).withColumn("__cell", F.substring("__draw", 1, CELL_DIGITS))
-    cells = rows.groupBy(col(stratum).alias("__s"), "__cell").agg(F.count("*").alias("__n"))
-    upto = cells.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__s").orderBy("__cell"))).join(quotas, "__s")
-    rest = F.col("__quota") - F.col("__upto") + F.col("__n")
-    cuts = upto.filter("__upto >= __quota").groupBy("__s").agg(F.min(F.struct("__cell", rest.alias("__rest"))).alias("__cut"))
-    return _before_cut(rows.join(cuts, col(stratum) == F.col("__s")), ["__s"], k).select(*map(col, df.columns))
+    draw = draw_key(k, seed)
+    rows = known.withColumn(t, F.struct(draw.alias("key"), F.substring(draw, 1, CELL_DIGITS).alias("cell")))
+    # One row per stratum and cell at most: sizes and places come from these, not from the rows.
+    cells = rows.groupBy(col(stratum).alias("s"), F.col(f"{t}.cell").alias("cell")).agg(F.count("*").alias("n"))
+    sizes = cells.groupBy("s").agg(F.sum("n").alias("size"))
+    quota = F.least(F.col("size"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("size") / F.col("total")).cast("long")))
+    quotas = with_stats(sizes, df.agg(F.count("*").alias("total"))).select("s", quota.alias("quota"))
+    upto = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("cell"))).join(quotas, "s")
+    cuts = upto.filter("upto >= quota").groupBy("s").agg(F.min(F.struct("cell", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))).alias(f"{t}_cut"))
+    cuts = cuts.withColumnRenamed("s", f"{t}_s")
+    return _before_cut(rows.join(cuts, col(stratum) == F.col(f"{t}_s")), t, [F.col(f"{t}_s")], k).select(*map(col, df.columns))
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "_row_id") -> DataFrame:
     """Consecutive numbers from 0 in the order of columns, without one task for all rows.
 
-    Rows are cut into ranges at up to ``FAN * FAN - 1`` rows chosen by hash, the
-    same in every run; a row's number is its place in its range and the sizes of
-    the ranges before.  The order must be total.
+    Over ``HELD`` rows are dealt out by range, sorted and written once with the
+    number of their range and their place in it; a row's number is that place and
+    the sizes of the ranges before.  There are as many ranges as the session has
+    shuffle partitions.  The order must be total.
     """
-    key = F.struct(*[col(c) for c in order_by])
-    chosen = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(FAN * FAN - 1)
-    splits = chosen.agg(F.sort_array(F.collect_list("__k")).alias("__splits"))
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda i: F.get("__splits", i * FAN - 1))
-    rows = with_stats(df, splits.withColumn("__coarse", F.filter(coarse, lambda s: s.isNotNull()))).withColumn("__k", key)
-    upto = lambda found: F.size(F.filter(found, lambda s: s <= F.col("__k")))
-    rows = rows.withColumn("__block", upto("__coarse"))
-    rows = rows.withColumn("__range", F.col("__block") * FAN + upto(F.slice("__splits", F.col("__block") * FAN + 1, F.lit(FAN - 1)))).drop("__splits", "__coarse", "__block")
-    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy("__k"))
-    joined = rows.withColumn("__place", place).join(F.broadcast(before), F.col("__range") == F.col("__r"))
-    return joined.select(*map(col, df.columns), (F.col("__before") + F.col("__place") - 1).cast("long").alias(name))
+    at = unused(df, "place")
+    keys = [col(c) for c in order_by]
+    if df.count() <= HELD:
+        return df.withColumn(at, F.row_number().over(Window.orderBy(*keys))).select(*map(col, df.columns), (F.col(at) - 1).cast("long").alias(name))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    rows, part = settled(ranged), F.shiftright(at, 33)  # the range is above the place's 33 bits
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    starts = before.select(F.struct("part", "before").alias(f"{at}_start"))
+    joined = rows.join(F.broadcast(starts), part == F.col(f"{at}_start.part"))
+    return joined.select(*map(col, df.columns), (F.col(f"{at}_start.before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def systematic_sample(df: DataFrame, order_by: Sequence[str], n: int | None = None, step: int | None = None) -> DataFrame:
     """Rows 0, step, 2 step ... in the given order; the step is ``rows // n`` unless given."""
     if step is None:
         step = max(1, df.count() // max(1, n or 1))
-    return with_row_id(df, order_by).filter(F.col("_row_id") % step == 0).drop("_row_id")
+    number = unused(df, "row_id")
+    return with_row_id(df, order_by, number).filter(F.col(number) % step == 0).drop(number)
 
 
 def importance_sample(df: DataFrame, n: int, weight: str | Column, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
@@ -140,12 +150,9 @@ def importance_sample(df: DataFrame, n: int, weight: str | Column, keys: Sequenc
     n = min(n, seen["rows"])
     if seen["positive"] < n:
         raise ValueError("fewer rows with a positive weight than rows to draw")
-    rank = F.round(-F.ln(uniform(draw_key(k, seed))) / w, 9)
-    rows = df.filter(w > 0).withColumn("__rank", rank)
-    last = order_statistics(rows, {"__rank": [n - 1]}, {"__rank": seen["positive"]})["__rank", n - 1]
-    rest = n - rows.filter(F.col("__rank") < last).count()
-    tied = rows.filter(F.col("__rank") == last).orderBy(*map(col, k)).limit(rest)
-    return rows.filter(F.col("__rank") < last).unionByName(tied).drop("__rank")
+    # The logarithm of -ln(u) / w: it keeps its digits for weights of any size.
+    rank = F.ln(-F.ln(uniform(draw_key(k, seed)))) - F.ln(w)
+    return _first(df.filter(w > 0), n, rank, F.floor(rank * RANK_CELLS), k)
 
 
 def sample_size(population: int, confidence: float = 0.95, margin: float = 0.05, proportion: float = 0.5) -> dict:

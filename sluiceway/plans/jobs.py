@@ -9,6 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
+
 JOBS = "job_id string, tenant_id string, job_type string, status string, source_config string, destination_config string, row_count bigint, column_count bigint, quality_score decimal(5,4), data_version string, output_uri string, error_message string, created_at string, updated_at string"
 STATUSES = ("pending", "running", "completed", "failed", "cancelled")
 TYPES = ("ingest", "profile", "clean", "transform", "orchestrate")
@@ -58,7 +60,8 @@ class Records:
 def current(table: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The newest row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))
-    return table.withColumn("__place", place).filter("__place = 1").drop("__place")
+    n = unused(table, "place")
+    return table.withColumn(n, place).filter(F.col(n) == 1).drop(n)
 
 
 def dashboard(jobs: DataFrame, limit: int = 10) -> DataFrame:
@@ -69,6 +72,7 @@ def dashboard(jobs: DataFrame, limit: int = 10) -> DataFrame:
     return recent.agg(F.count("*").alias("jobs"), *counts, F.round(F.avg(F.col("quality_score").cast("double")), 4).alias("avg_quality"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"), F.slice(failing, 1, 5).alias("failing_sources"))
 
 
-def versions(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """Versions among the newest ``limit`` jobs."""
-    return jobs.orderBy(F.desc("created_at")).limit(limit).filter("data_version is not null").select("data_version", "job_id", "output_uri", "row_count", "created_at")
+def versions(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Versions of all jobs, or of those among the newest ``limit`` jobs."""
+    seen = jobs.orderBy(F.desc("created_at"), "job_id").limit(limit) if limit is not None else jobs
+    return seen.filter("data_version is not null").select("data_version", "job_id", "output_uri", "row_count", "created_at")

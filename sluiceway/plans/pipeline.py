@@ -92,7 +92,9 @@ class Services:
         def work(job: str) -> Outcome:
             found = deid.deidentify(self.spark.read.parquet(uri), config, job, self.tenant)
             out = self._store(found.dataframe, job, "deidentified")
-            out.details |= {"audit_log": [r.asDict() for r in found.audit_log.collect()], "pii_columns": found.pii_columns, "risk_score": found.risk.first()["risk_score"]}
+            out.details |= {"audit_log": [r.asDict() for r in found.audit_log.collect()], "pii_columns": found.pii_columns} | (risk := found.risk.first().asDict())
+            if risk["above_threshold"]:
+                self._event("deidentify.risk", {"uri": out.output_uri, "risk_score": risk["risk_score"]})
             return out
 
         return self._run("transform", {"uri": uri}, work)
@@ -147,7 +149,7 @@ class Services:
 
     def metric_history(self) -> DataFrame:
         """``key, seq, value`` of this tenant's checks."""
-        return self.records.read("metric_history", monitor.HISTORY_ROWS).filter(F.col("key").startswith(f"{self.tenant}__"))
+        return self.records.read("metric_history", monitor.HISTORY_ROWS).filter(F.col("tenant_id") == self.tenant).select("key", "seq", "value")
 
     def monitoring(self) -> DataFrame:
         """One row a metric: ``key, n, latest, mean, std, trend, z_score, is_anomaly`` of its newest value."""

@@ -123,12 +123,17 @@ def read_bigquery(spark: SparkSession, config: dict) -> DataFrame:
 
 @reader("databricks", "sql")
 def read_catalog_sql(spark: SparkSession, config: dict) -> DataFrame:
-    """A query on the session's own catalogue, after ``catalog`` and ``schema`` are chosen."""
-    if config.get("catalog"):
-        spark.catalog.setCurrentCatalog(config["catalog"])
-    if config.get("schema"):
-        spark.catalog.setCurrentDatabase(config["schema"])
-    return spark.sql(config["query"])
+    """A query in the catalogue ``catalog`` and its ``schema``; the session's own choice of both is put back."""
+    catalog, schema = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    try:
+        if config.get("catalog"):
+            spark.catalog.setCurrentCatalog(config["catalog"])
+        if config.get("schema"):
+            spark.catalog.setCurrentDatabase(config["schema"])
+        return spark.sql(config["query"])
+    finally:
+        spark.catalog.setCurrentCatalog(catalog)
+        spark.catalog.setCurrentDatabase(schema)
 
 
 @reader("mongodb")

@@ -42,7 +42,8 @@ def pages(config: dict) -> Iterator[list]:
     style, size = config.get("pagination"), int(config.get("page_size", 10_000))
     key, offset, cursor = config.get("data_key", "data"), 0, None
     most = int(config.get("max_pages", MAX_PAGES))
-    for number in range(1, most + 1):
+    # One request more than the pages allowed: the last full page may be followed by an empty one.
+    for number in range(1, most + 2):
         params: dict = {}
         if style == "page":
             params = {config.get("page_param", "page"): number, config.get("page_size_param", "page_size"): size}
@@ -52,6 +53,8 @@ def pages(config: dict) -> Iterator[list]:
             params = {"cursor": cursor}
         body = fetch(config, params)
         rows = records(body, key)
+        if rows and number > most:
+            break
         if rows:
             yield rows
         offset += len(rows)
