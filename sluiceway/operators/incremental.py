@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, existing, is_orderless, unused
+from ..functions.tables import settled
 
 EPOCH = "1970-01-01T00:00:00+00:00"
 MODES = ("timestamp", "sequence", "soft_delete")
@@ -44,14 +45,14 @@ def delta(source: DataFrame, column: str, watermark: str | int | None, mode: str
     return source.filter(watermark_value(source, column, mode) > low)
 
 
-def new_watermark(rows: DataFrame, column: str, mode: str = "timestamp") -> DataFrame:
-    """One row ``watermark`` (text): the largest value, the epoch or 0 where there is none."""
+def new_watermark(rows: DataFrame, column: str, mode: str = "timestamp", *more: Column) -> DataFrame:
+    """One row ``watermark`` (text): the largest value, the epoch or 0 where there is none; beside it ``more`` aggregates."""
     if column not in rows.columns:
-        return rows.sparkSession.range(1).select(F.lit(EPOCH).alias("watermark"))
+        return rows.agg(F.max(F.lit(EPOCH)).alias("watermark"), *more).fillna(EPOCH, ["watermark"])
     top = F.max(watermark_value(rows, column, mode))
     if mode in ("timestamp", "soft_delete"):
-        return rows.agg(F.coalesce(F.date_format(top, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit(EPOCH)).alias("watermark"))
-    return rows.agg(F.coalesce(top, F.lit(0)).cast("string").alias("watermark"))
+        return rows.agg(F.coalesce(F.date_format(top, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit(EPOCH)).alias("watermark"), *more)
+    return rows.agg(F.coalesce(top, F.lit(0)).cast("string").alias("watermark"), *more)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], column: str, mode: str = "timestamp") -> DataFrame:
@@ -110,6 +111,16 @@ def remove_keys(staged: DataFrame, gone: DataFrame, keys: Sequence[str]) -> Data
     return staged.join(g, same, "left_anti")
 
 
+def count_matches(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> int:
+    """How many of ``rows`` have a key that occurs in ``known``; only key columns are read."""
+    names = {k: unused(rows, f"known_{i}") for i, k in enumerate(keys)}
+    there = known.select(*[col(k).alias(n) for k, n in names.items()])
+    same = F.lit(True)
+    for k, n in names.items():
+        same &= col(k).eqNullSafe(F.col(n))
+    return rows.select(*map(col, keys)).join(there, same, "left_semi").count()
+
+
 @dataclass
 class Load:
     dataframe: DataFrame
@@ -131,20 +142,20 @@ def load_delta(source: DataFrame, staged: DataFrame | None, config: dict, waterm
     column = config.get("watermark_column", "updated_at")
     keys = config.get("primary_key", "id")
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = delta(source, column, watermark, mode, config.get("allowed_lateness"))
-    if rows.isEmpty():
-        return Load(staged if staged is not None else rows, 0, 0, 0, str(watermark or (0 if mode == "sequence" else EPOCH)))
+    # The delta is written once: it is looked at for its size, its watermark, its keys and its rows.
+    rows = settled(delta(source, column, watermark, mode, config.get("allowed_lateness")))
     flag = deleted_flag(rows, config.get("soft_delete_column", "is_deleted") if mode == "soft_delete" else None)
-    reached = new_watermark(rows, column, mode).first()["watermark"]
+    seen = new_watermark(rows, column, mode, F.count("*").alias("rows"), F.count_if(flag).alias("flagged")).first()
+    if not seen["rows"]:
+        return Load(staged if staged is not None else rows, 0, 0, 0, str(watermark or (0 if mode == "sequence" else EPOCH)))
     usable = [k for k in existing(rows, keys) if staged is None or k in staged.columns]
     if staged is None or staged.isEmpty():
         alive = latest(rows, usable, column, mode).filter(~flag) if usable else rows.filter(~flag)
-        return Load(alive, alive.count(), 0, 0, reached)
+        return Load(alive, alive.count(), 0, 0, seen["watermark"])
     if not usable:
-        return Load(staged.unionByName(rows, allowMissingColumns=True), rows.count(), 0, 0, reached)
-    newest = latest(rows, usable, column, mode)
+        return Load(staged.unionByName(rows, allowMissingColumns=True), seen["rows"], 0, 0, seen["watermark"])
+    newest = settled(latest(rows, usable, column, mode))
     gone, alive = newest.filter(flag), newest.filter(~flag)
     left = remove_keys(staged, gone, usable) if mode == "soft_delete" else staged
-    total = alive.count()
-    inserted = remove_keys(alive, left, usable).count()
-    return Load(upsert(left, alive, usable, config.get("overwrite_nulls", False)), inserted, total - inserted, rows.filter(flag).count(), reached)
+    total, updated = alive.count(), count_matches(alive, staged, usable)
+    return Load(upsert(left, alive, usable, config.get("overwrite_nulls", False)), total - updated, updated, seen["flagged"], seen["watermark"])

@@ -33,14 +33,15 @@ def read_kafka(spark: SparkSession, config: dict) -> DataFrame:
     return spark.readStream.format("kafka").options(**kafka_options(config)).load().select(F.col("value").cast("string").alias("value"))
 
 
-def decode_json(messages: DataFrame, schema: str, column: str = "value") -> DataFrame:
+def decode_json(messages: DataFrame, schema: str, column: str = "value", options: dict[str, str] | None = None) -> DataFrame:
     """Fields of JSON objects; other JSON values as ``value``; ``is_valid`` false for what is no JSON.
 
-    Works on batch and streaming frames alike.
+    Works on batch and streaming frames alike.  ``options`` are those of Spark's
+    JSON reader: its own format of times keeps milliseconds only.
     """
     text = F.trim(F.col(column))
     parsed = F.try_parse_json(text)
-    record = F.from_json(text, schema)
+    record = F.from_json(text, schema, options or {})
     is_object = text.startswith("{")
     names = [c.split()[0] for c in schema.split(",")]
     fields = [F.when(is_object, record[n]).alias(n) for n in names]
@@ -85,7 +86,7 @@ def ingest_stream_batch(spark: SparkSession, config: dict, stream: DataFrame | N
         raise ValueError(f"batch_size must be between 1 and {MAX_MESSAGES}")
     rows = stream if stream is not None else read_kafka(spark, config)
     if config.get("schema"):
-        rows = decode_json(rows, config["schema"])
+        rows = decode_json(rows, config["schema"], options=config.get("json_options"))
     return stage_stream(rows, config["output_path"], config["checkpoint"], int(config.get("timeout_seconds", 30)), stop_after=size) | {"topic": config.get("topic")}
 
 
