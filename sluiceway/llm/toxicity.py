@@ -4,9 +4,10 @@
 and sign substitutions to Latin letters, and turns everything that is no letter
 into single blanks.  *Learning* compares in how many toxic and clean labelled
 rows a word, or the beginning of a word, occurs, and keeps what a likelihood-
-ratio test holds after correcting for the number of candidates.  *Scoring* adds
-the weights of the matches (the heaviest per word, none inside an exception
-phrase) and maps the sum and its share of the text's length to 0..1 by a
+ratio test holds after correcting for the number of candidates.  Of the words that
+match, the pairs with the word before or after are compared in the same way: a pair
+that makes rows clean is an *exception phrase*.  *Scoring* adds the weights of the
+matches (the heaviest per word, none inside an exception phrase) and maps the sum and its share of the text's length to 0..1 by a
 logistic curve fitted on the same rows.
 """
 
@@ -29,8 +30,6 @@ from .common import batches, materialise, strings
 
 #: At most so many labelled rows, those with the smallest hashes, are learnt from.
 FIT_ROWS = 20_000
-#: At most so many entries, the most significant, are kept.
-LEXICON = 5_000
 #: Beginnings of words that may become entries.
 STEMS = range(4, 9)
 _HELD = 400_000
@@ -42,7 +41,7 @@ LOOKALIKES = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ɴ": "n", "ʀ": "r", "ꜱ": "s",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-#: Phrases in which an entry is harmless.
+#: Phrases in which an entry is harmless, whatever the labelled rows say; more are learnt from those.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "not stupid", "the idiot by dostoevsky")
 
 _FOLD = str.maketrans(LOOKALIKES | SUBSTITUTES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
@@ -138,12 +137,12 @@ def _count(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), schema, size=10_000)
 
 
-def _deviance(a: Column, b: Column, pos: int, neg: int) -> Column:
-    """Likelihood-ratio statistic of a 2x2 table, 0 where the entry doesn't speak for toxicity."""
-    n, k = float(pos + neg), a + b
+def _deviance(a: Column, b: Column, pos: Column, neg: Column) -> Column:
+    """Likelihood-ratio statistic of a 2x2 table (a of pos, b of neg), 0 where a doesn't exceed its share."""
+    n, k = (pos + neg).cast("double"), a + b
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    total = term(a, k * pos / n) + term(b, k * neg / n) + term(F.lit(pos) - a, (F.lit(n) - k) * pos / n) + term(F.lit(neg) - b, (F.lit(n) - k) * neg / n)
-    return F.when(a * n > k * float(pos), 2 * total).otherwise(0.0)
+    total = term(a, k * pos / n) + term(b, k * neg / n) + term(pos - a, (n - k) * pos / n) + term(neg - b, (n - k) * neg / n)
+    return F.when(a * n > k * pos, 2 * total).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -174,14 +173,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = materialise(counts.filter("toxic >= 3"), "toxicity-features")
     tested = counts.count()
     needed = 2 * math.log(max(tested, 1) / 0.05)
-    strong = counts.filter(F.col("toxic") * float(neg) > 3.0 * F.col("clean") * pos).withColumn("deviance", _deviance(F.col("toxic"), F.col("clean"), pos, neg))
-    found = strong.filter(F.col("deviance") > needed).orderBy(F.desc(F.round("deviance", 9)), "feature").limit(LEXICON).collect()
+    strong = counts.filter(F.col("toxic") * float(neg) > 3.0 * F.col("clean") * pos).withColumn("deviance", _deviance(F.col("toxic"), F.col("clean"), F.lit(pos), F.lit(neg)))
+    found = strong.filter(F.col("deviance") > needed).collect()
     weights = {r["feature"]: math.log((r["toxic"] + 0.5) / (pos + 1)) - math.log((r["clean"] + 0.5) / (neg + 1)) for r in found}
+    # The entries' number is bounded by the rows learnt from: each is in several toxic ones.
     # A longer entry is of use only where it says more than a shorter one it starts with.
     kept = tuple(sorted((f, round(w, 6)) for f, w in weights.items() if not any(weights.get(f[:n], -1.0) >= w for n in range(2, len(f)))))
     model = Model(kept, classes=(neg, pos))
+    model = Model(kept, tuple(dict.fromkeys((*EXCEPTIONS, *_exceptions(sample, model)))), classes=(neg, pos))
     points = [(r["total"], r["words"], r["label"]) for r in _weighed(sample, model).collect()]
-    return Model(kept, curve=_logistic(points), classes=(neg, pos))
+    return Model(kept, model.exceptions, _logistic(points), (neg, pos))
+
+
+def phrases_of(model: Model, text: str) -> set[tuple[str, str]]:
+    """Each matching word of a text, alone and in its pairs with the word before and the word after."""
+    folded = fold(text)
+    machine = _automaton(model)
+    out: set[tuple[str, str]] = set()
+    for end, (length, weight) in machine.iter(folded) if machine else ():
+        if weight is None:
+            continue
+        begin = end - length + 1  # the blank before the word
+        stop = folded.index(" ", begin + 1)
+        word = folded[begin + 1 : stop]
+        out.add((word, ""))
+        if begin:
+            out.add((word, folded[folded.rindex(" ", 0, begin) + 1 : stop]))
+        if stop + 1 < len(folded):
+            out.add((word, folded[begin + 1 : folded.index(" ", stop + 1)]))
+    return out
+
+
+def _exceptions(sample: DataFrame, model: Model) -> list[str]:
+    """Pairs of words that are found in clean rows clearly more than their matching word is, and lean to clean rows at all."""
+    schema = pa.schema([("word", pa.string()), ("phrase", pa.string()), ("label", pa.int32())])
+
+    def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((w, p, y) for b in part for t, y in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True) for w, p in phrases_of(model, t)), schema, size=10_000)
+
+    neg, pos = model.classes
+    counts = sample.mapInArrow(work, "word string, phrase string, label int").groupBy("word", "phrase").agg(F.sum("label").alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
+    counts = materialise(counts, "toxicity-phrases")
+    words = counts.filter("phrase = ''").select("word", F.col("toxic").alias("word_toxic"), F.col("clean").alias("word_clean"))
+    pairs = counts.filter("phrase <> ''")
+    needed = 2 * math.log(max(pairs.count(), 1) / 0.05)
+    lean = F.col("toxic") * float(neg) < F.col("clean") * float(pos)
+    strong = pairs.filter(lean).join(words, "word").filter(_deviance(F.col("clean"), F.col("toxic"), F.col("word_clean"), F.col("word_toxic")) > needed)
+    return sorted({r["phrase"] for r in strong.select("phrase").collect()})
 
 
 def _weighed(sample: DataFrame, model: Model) -> DataFrame:
