@@ -33,9 +33,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(one_blank, " "), lambda w: w != "")).cast("long")
 
 
-def hash_key(row_id: Column, salt: str = "mix") -> Column:
-    """Hash-random key of a row, the same in every run; null ids share one key."""
-    digits = F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(row_id.cast("string"), F.lit("")))), 1, 15)
+def hash_key(row_id: Column, salt: str = "mix", content: Column | None = None) -> Column:
+    """Hash-random key of a row, the same in every run; with a digest of its ``content``, rows that share an id get keys of their own."""
+    parts = [F.lit(salt + ":"), F.coalesce(row_id.cast("string"), F.lit(""))]
+    if content is not None:
+        parts += [F.lit(":"), F.coalesce(content.cast("string"), F.lit(""))]
+    digits = F.substring(F.md5(F.concat(*parts)), 1, 15)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -69,6 +72,7 @@ def mix_sources(
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     max_epochs: int = 2,
+    content: Column | None = None,
 ) -> DataFrame:
     """How many units of each row the mixture takes: id, source, size, source_size, target, taken.
 
@@ -76,13 +80,15 @@ def mix_sources(
     gives only the units still missing, so each source's sum is its target
     rounded to a whole unit.  Null sources form one source that sorts last; null
     or negative sizes count 0; sources of size 0 get target 0; rows that repeat
-    an id share its key and are ordered by size.  An empty table gives no rows.
+    an id share its key and are ordered by size, but for those that ``content`` (a
+    digest) tells apart.  Other columns aren't read.  An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("row_id"),
         F.col(source_col).cast("string").alias("source"),
         F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"),
-    ).withColumn("key", hash_key(F.col("row_id")))
+        hash_key(F.col(id_col), content=content).alias("key"),
+    )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = budgets(totals, list(weights), share, max_epochs).withColumn("cells", F.ceil(F.col("source_rows") / CELL_ROWS))
     plan = plan.withColumnRenamed("source", "plan_source")

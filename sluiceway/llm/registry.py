@@ -17,7 +17,7 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return mixture.mix_sources(docs, mixture.word_count(F.col("text")))
+    return mixture.mix_sources(docs, mixture.word_count(F.col("text")), content=F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS k
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))[1:15] AS k
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 cat AS (
