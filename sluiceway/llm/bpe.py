@@ -82,36 +82,26 @@ class BytePairTable:
         return known
 
     def _undo(self, left: int, right: int) -> bool:
-        limit = _BIG
+        """Replay the merges beside the boundary backwards.
+
+        Merges run in order of rank, equal ranks from the left, and a token's id is
+        the rank that made it.  So the piece before the boundary lasts from its own
+        rank until that of the token it goes into, and so does the piece behind it.
+        Undoing the later of the two each time gives all pairs that ever faced each
+        other; one that joins before either is used up crosses the boundary.
+        """
+        left_until = right_until = _BIG
         while True:
-            if (made := self.joined.get((left, right))) is not None and made < limit:
+            made = self.joined.get((left, right), _BIG)
+            if made < left_until and made <= right_until and made < _BIG:
                 return False
-            if left > right:
-                limit = left
-                if (half := self.halves.get(left)) is not None:
-                    left = half[1]
-                    if left == limit:
-                        return True
-                else:
-                    limit = right + 1
-                    if (half := self.halves.get(right)) is None or right + 1 != limit:
-                        return True
-                    right = half[0]
-                    if right + 1 == limit:
-                        return True
+            left_parts, right_parts = self.halves.get(left), self.halves.get(right)
+            if left_parts is not None and (right_parts is None or left > right):
+                left_until, left = left, left_parts[1]
+            elif right_parts is not None:
+                right_until, right = right, right_parts[0]
             else:
-                limit = right + 1
-                if (half := self.halves.get(right)) is not None:
-                    right = half[0]
-                    if right + 1 == limit:
-                        return True
-                else:
-                    limit = left
-                    if (half := self.halves.get(left)) is None:
-                        return True
-                    left = half[1]
-                    if left == limit:
-                        return True
+                return True
 
 
 class PrefixEncoder:
@@ -148,11 +138,38 @@ class PrefixEncoder:
         del self.data[size:]
         del self.last[size:]
 
-    def replace(self, begin: int, end: int, new: bytes) -> None:
-        """Put ``new`` for ``data[begin:end]``; only what follows ``begin`` is worked out again."""
-        tail = bytes(self.data[end:])
-        self.truncate(begin)
-        self.append(new + tail)
+    def replace(self, begin: int, end: int, new: bytes) -> int:
+        """Put ``new`` for ``data[begin:end]``; how many entries were worked out.
+
+        An entry hangs only on the bytes and entries of one longest token before it.
+        So once that many entries behind the edit are what they were, all that
+        follow are too, and stay.
+        """
+        last, fits, longest = self.last, self.table.compatible, self.table.longest
+        self.data[begin:end] = new
+        moved = len(new) - (end - begin)
+        fresh: list[int] = []
+        size, same, total = begin, 0, len(self.data)
+        stop = min(total, begin + len(new) + 2 * longest)
+        while size < total and same < longest:
+            low = max(0, size - longest)
+            for at, (length, token) in self.table.found.iter(self.data[low:stop].decode("latin-1")):
+                if low + at != size:
+                    continue
+                before = size + 1 - length
+                if before < 0 or (before and not fits(last[before - 1] if before <= begin else fresh[before - 1 - begin], token)):
+                    continue
+                fresh.append(token)
+                size += 1
+                if size > begin + len(new):
+                    same = same + 1 if last[size - 1 - moved] == token else 0
+                    if same >= longest:
+                        break
+            if size < stop and same < longest:
+                raise ValueError("a byte has no token")
+            stop = min(total, stop + 4 * longest)
+        last[begin : size - moved] = fresh
+        return len(fresh)
 
     def tokens(self, size: int | None = None) -> list[int]:
         """The encoding of the first ``size`` bytes (all by default)."""
