@@ -24,6 +24,7 @@ PROFILE = 300
 #: Rows of each language, by hash of their id, that profiles are learnt from (in expectation).
 FIT_ROWS = 4_000
 _SALTS = 16
+_HELD = 1_000_000
 
 
 def _letters() -> np.ndarray:
@@ -97,15 +98,25 @@ def held_out(row_id: Column, folds: int = 4, fold_no: int = 2) -> Column:
 
 
 def _count(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams counted by language, over texts of at most ``_HELD`` characters (or one longer text) at a time."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
-    for batch in part:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            by.setdefault(lang, []).append(ngrams(text))
+    by: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def flush(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for lang, found in by.items():
             codes, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], schema=schema)
 
+    for batch in part:
+        for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            by.setdefault(lang, []).append(ngrams(text))
+            held += len(text)
+            if held > _HELD:
+                yield from flush(by)
+                by, held = {}, 0
+    yield from flush(by)
+
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, fit_rows: int = FIT_ROWS) -> Profiles:
     """Learn a profile for each language named outside the held-out fold.
