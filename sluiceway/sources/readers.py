@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, null_for_nan
 
@@ -88,23 +89,44 @@ def read_object_store(spark: SparkSession, config: dict) -> DataFrame:
 
 @reader("postgres", "jdbc")
 def read_jdbc(spark: SparkSession, config: dict) -> DataFrame:
-    """``connection_string`` with ``query``, or ``schema`` and ``table`` (and ``partition_column`` for parallel reads)."""
+    """``connection_string`` with ``query``, or ``schema`` and ``table``.
+
+    A numeric ``partition_column`` splits a table over ``num_partitions`` tasks:
+    evenly by the database's own counts (:mod:`sluiceway.sources.jdbc_splits`), or
+    in equal widths where ``lower_bound`` and ``upper_bound`` are given.
+    """
     source = spark.read.format("jdbc").option("url", config["connection_string"]).option("fetchsize", str(config.get("chunk_size", 10_000)))
-    for key in ("driver", "user", "password"):
-        if config.get(key):
-            source = source.option(key, config[key])
+    login = {key: config[key] for key in ("driver", "user", "password") if config.get(key)}
+    source = source.options(**login)
     if config.get("query"):
         return _select(source.option("query", config["query"]).load(), None)
     if not config.get("table"):
         raise ConfigError("query or table is missing")
     schema = config.get("schema", "public")
-    source = source.option("dbtable", f'"{schema}"."{config["table"]}"' if schema else config["table"])
+    table = f'"{schema}"."{config["table"]}"' if schema else config["table"]
+    if config.get("partition_column") and "lower_bound" not in config:
+        return _select(_read_splits(spark, config, table, login), config.get("columns"))
+    source = source.option("dbtable", table)
     if config.get("partition_column"):
         for key, option in (("partition_column", "partitionColumn"), ("lower_bound", "lowerBound"), ("upper_bound", "upperBound"), ("num_partitions", "numPartitions")):
             source = source.option(option, str(config[key]))
     return _select(source.load(), config.get("columns"))
 
 
+def _read_splits(spark: SparkSession, config: dict, table: str, login: dict[str, str]) -> DataFrame:
+    from .jdbc_splits import conditions
+
+    url, name = config["connection_string"], config["partition_column"]
+    whole = spark.read.format("jdbc").option("url", url).options(**login).option("dbtable", table).load()
+    kind = whole.schema[name].dataType
+    if not isinstance(kind, T.NumericType):
+        raise ConfigError(f"{name} has no numbers to split by")
+    ask = lambda query: [tuple(r) for r in spark.read.format("jdbc").option("url", url).options(**login).option("query", query).load().collect()]
+    column = '"' + name.replace('"', '""') + '"'
+    splits = conditions(ask, table, column, int(config.get("num_partitions", spark.sparkContext.defaultParallelism)), isinstance(kind, T.IntegralType))
+    return spark.read.jdbc(url, table, predicates=splits, properties=login | {"fetchsize": str(config.get("chunk_size", 10_000))})
+
+
 def warehouse_options(kind: str, config: dict) -> dict[str, str]:
     """Options of the public Spark connectors of warehouses and document stores."""
     fixed = {"snowflake": {"account": "sfURL", "user": "sfUser", "password": "sfPassword", "database": "sfDatabase", "schema": "sfSchema", "warehouse": "sfWarehouse", "query": "query"}, "bigquery": {"project": "parentProject", "credentials": "credentials", "query": "query", "dataset": "materializationDataset"}, "mongodb": {"connection_string": "connection.uri", "database": "database", "collection": "collection"}}
