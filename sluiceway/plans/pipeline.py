@@ -20,6 +20,7 @@ from ..operators import clean as cleaning
 from ..operators import deidentify as deid
 from ..operators import features, gate, lineage, monitor, profile
 from ..operators import sample as sampling
+from ..operators.plan_lineage import field_mappings
 from ..sources.readers import ConfigError, read_source
 from ..sources.sinks import append_event, post_webhook, staging_uri, write_parquet
 from . import schedule as plan_times
@@ -257,7 +258,7 @@ class Services:
             if config.get("transform") is not None:
                 df = features.transform(df, config["transform"])
             out = self._store(df, job, "result")
-            self.record_stage("orchestrate", [uri], out.output_uri, {c: [c] for c in df.columns}, job)
+            self.record_stage("orchestrate", [uri], out.output_uri, field_mappings(df), job)
             if config.get("suite") is not None:
                 suite = config["suite"] if isinstance(config["suite"], dict) else gate.load_suite(self.spark, config["suite"])
                 threshold = config.get("quality_threshold", gate.PASS_MARK)
