@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from functools import partial
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as cleaning
 from ..operators import deidentify as deid
-from ..operators import features, gate, lineage, monitor, profile
+from ..operators import features, gate, lineage, monitor, profile, sketch_profile
 from ..operators import sample as sampling
 from ..operators.plan_lineage import field_mappings
 from ..sources.readers import ConfigError, read_source
@@ -26,10 +26,16 @@ from ..sources.sinks import append_event, post_webhook, staging_uri, write_parqu
 from . import schedule as plan_times
 from . import watermarks
 from .jobs import Records, current
+from .keyed_files import KeyedFiles
 from .plugins import PluginRegistry
+from .version_store import VersionStore
 from .versions import commit_version
 
 
+PROFILES = "profile_id string, tenant_id string, job_id string, uri string, row_count bigint, column_count bigint, parts string, created_at string"
+REPORTS = "report_id string, tenant_id string, job_id string, uri string, status string, quality_score double, results string, created_at string"
+
+
 def _post_events(endpoint: str, rows: Iterable) -> None:
     for row in rows:
         post_webhook(endpoint, json.loads(row["event"]))
@@ -76,13 +82,51 @@ class Services:
         return self._run("ingest", {"type": source_type} | config, lambda job: self._store(read_source(self.spark, source_type, config), job, "data"))
 
     def profile(self, uri: str) -> Outcome:
+        """The exact profile of a table, kept as a record that can be looked up by its id or its job's."""
+
         def work(job: str) -> Outcome:
             df = self.spark.read.parquet(uri)
             parts = {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in profile.profile(df).items()}
-            return Outcome(job, "completed", None, df.count(), parts)
+            rows, found = df.count(), uuid.uuid4().hex
+            row = {"profile_id": found, "tenant_id": self.tenant, "job_id": job, "uri": uri, "row_count": rows, "column_count": len(df.columns), "parts": json.dumps(parts, default=str), "created_at": datetime.now(UTC).isoformat()}
+            self.records.append("profiles", [row], PROFILES)
+            return Outcome(job, "completed", None, rows, parts | {"profile_id": found})
 
         return self._run("profile", {"uri": uri}, work)
 
+    def find_profile(self, profile_id: str | None = None, job_id: str | None = None) -> dict:
+        """The record of a profile; an unknown one is an error."""
+        return self._find("profiles", PROFILES, "profile_id", profile_id, job_id, "parts")
+
+    def find_report(self, report_id: str | None = None, job_id: str | None = None) -> dict:
+        """The record of a quality check with the results of all its rules; an unknown one is an error."""
+        return self._find("quality_reports", REPORTS, "report_id", report_id, job_id, "results")
+
+    def _find(self, table: str, schema: str, key: str, value: str | None, job_id: str | None, parsed: str) -> dict:
+        wanted = F.col(key) == value if value is not None else F.col("job_id") == job_id
+        row = self.records.read(table, schema).filter((F.col("tenant_id") == self.tenant) & wanted).orderBy(F.desc("created_at")).first()
+        if row is None:
+            raise KeyError(f"no {key} {value or job_id}")
+        return row.asDict() | {parsed: json.loads(row[parsed])}
+
+    def profile_batch(self, dataset: str, batch: str, uri: str) -> Outcome:
+        """Keep the states of one batch of a dataset; a batch profiled again counts once, as it was last."""
+
+        def work(job: str) -> Outcome:
+            states = sketch_profile.profile_states(self.spark.read.parquet(uri))
+            named = states.withColumns({"tenant_id": F.lit(self.tenant), "dataset": F.lit(dataset), "batch": F.lit(batch), "created_at": F.lit(datetime.now(UTC).isoformat())})
+            named.coalesce(1).write.mode("append").parquet(f"{self.root}/meta/profile_states")
+            rows = named.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+            return Outcome(job, "completed", uri, rows, {"dataset": dataset, "batch": batch})
+
+        return self._run("profile", {"uri": uri, "batch": batch}, work)
+
+    def dataset_profile(self, dataset: str) -> DataFrame:
+        """The merged profile of a dataset's batches, with the sketches' error bounds; no rows are read."""
+        schema = sketch_profile.STATE + ", tenant_id string, dataset string, batch string, created_at string"
+        mine = self.records.read("profile_states", schema).filter((F.col("tenant_id") == self.tenant) & (F.col("dataset") == dataset))
+        return sketch_profile.estimates(sketch_profile.merged(current(mine, ["batch", "column"], "created_at")))
+
     def clean(self, uri: str, config: dict) -> Outcome:
         return self._run("clean", {"uri": uri}, lambda job: self._store(cleaning.clean(self.spark.read.parquet(uri), config), job, "cleaned"))
 
@@ -132,7 +176,9 @@ class Services:
             if v.rule_results:
                 self.records.append("metric_history", monitor.history_rows(v.rule_results, self.tenant, int(now.timestamp() * 1_000_000)), monitor.HISTORY_ROWS)
             sent = self._alert(v.alerts, uri, now.isoformat(), webhook)
-            return Outcome(job, "completed" if v.passed else "failed", uri, df.count(), {"quality_score": v.quality_score, "results": v.rule_results, "alerts": v.alerts, "webhook_calls": sent})
+            status, found = "completed" if v.passed else "failed", uuid.uuid4().hex
+            self.records.append("quality_reports", [{"report_id": found, "tenant_id": self.tenant, "job_id": job, "uri": uri, "status": status, "quality_score": v.quality_score, "results": json.dumps(v.rule_results, default=str), "created_at": now.isoformat()}], REPORTS)
+            return Outcome(job, status, uri, df.count(), {"quality_score": v.quality_score, "results": v.rule_results, "alerts": v.alerts, "webhook_calls": sent, "report_id": found})
 
         return self._run("transform", {"uri": uri}, work)
 
@@ -228,6 +274,22 @@ class Services:
     def runs(self, pipeline_id: str, limit: int = 20) -> DataFrame:
         return plan_times.run_history(self.records.read("pipeline_runs", plan_times.RUNS), pipeline_id, self.tenant, limit)
 
+    def snapshot(self, uri: str, keys: list[str], metadata: dict | None = None) -> str:
+        """Store a table as a version, sharing what earlier ones have."""
+        return self.store().commit(self.spark.read.parquet(uri), keys, metadata)
+
+    def store(self) -> VersionStore:
+        return VersionStore(self.spark, f"{self.root}/versions", self.tenant)
+
+    def merge_files(self, source_uri: str, table_uri: str, config: dict) -> Outcome:
+        """Merge a delta into a table of files, rewriting only those it touches; then move the watermark."""
+
+        def work(job: str) -> Outcome:
+            done, mark = watermarks.merge_load(self.spark, f"{self.root}/meta", self.spark.read.parquet(source_uri), KeyedFiles(self.spark, table_uri), config, self.tenant)
+            return Outcome(job, "completed", table_uri, done.inserted_rows + done.updated_rows, asdict(done) | {"watermark": mark})
+
+        return self._run("ingest", {"uri": source_uri}, work)
+
     def commit(self, uri: str, metadata: dict | None = None) -> str:
         return commit_version(self.spark, f"{self.root}/meta", uri, metadata, self.tenant)
 
