@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import HELD, col
+from ..functions.tables import settled
 
 PASS_MARK = 0.8
 # An expectation gives the aggregates it needs and a test of their values.
@@ -176,6 +178,128 @@ def compound_columns_to_be_unique(df, column_list) -> Parts:
     return [F.count_distinct(key), F.count("*")], lambda v: v[0] == v[1]
 
 
+def order_breaks(df: DataFrame, column: str, order_by: Sequence[str], good: Callable[[Column, Column], Column], held: int = HELD) -> tuple[int, int]:
+    """How many of a column's values, in the order given, don't stand right behind the value before; and how many have one before.
+
+    Nulls are passed over.  Over ``held`` rows are dealt out by range and written;
+    inside a range each value is held against the one before, and only the first
+    and last value of each range come together for the comparisons between ranges.
+    The order must be total.
+    """
+    rows = df.filter(col(column).isNotNull()).select(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)], col(column).alias("value"))
+    keys = [f"o{i}" for i in range(len(order_by))]
+    before = lambda window: F.lag("value").over(window)
+    bad = lambda last: F.count_if(last.isNotNull() & ~good(last, F.col("value")))
+    if rows.count() <= held:
+        seen = rows.withColumn("last", before(Window.orderBy(*keys))).agg(bad(F.col("last")), F.count("last")).first()
+        return seen[0], seen[1]
+    ranged = settled(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("part", F.shiftright("at", 33))
+    inside = ranged.withColumn("last", before(Window.partitionBy("part").orderBy("at"))).agg(bad(F.col("last")), F.count("last")).first()
+    ends = ranged.groupBy("part").agg(F.min_by("value", "at").alias("value"), F.max_by("value", "at").alias("end"))
+    between = ends.withColumn("last", F.lag("end").over(Window.orderBy("part"))).agg(bad(F.col("last")), F.count("last")).first()
+    return inside[0] + between[0], inside[1] + between[1]
+
+
+def _ordered(df: DataFrame, column: str, order_by: Sequence[str] | str, good: Callable[[Column, Column], Column], mostly: float) -> Parts:
+    wrong, pairs = order_breaks(df, column, [order_by] if isinstance(order_by, str) else order_by, good)
+    return [F.lit(pairs - wrong), F.lit(pairs)], lambda v: v[1] == 0 or v[0] / v[1] >= mostly
+
+
+@expectation
+def column_values_to_be_increasing(df, column, order_by, strictly=False, mostly=1.0) -> Parts:
+    return _ordered(df, column, order_by, (lambda a, b: a < b) if strictly else (lambda a, b: a <= b), mostly)
+
+
+@expectation
+def column_values_to_be_decreasing(df, column, order_by, strictly=False, mostly=1.0) -> Parts:
+    return _ordered(df, column, order_by, (lambda a, b: a > b) if strictly else (lambda a, b: a >= b), mostly)
+
+
+def _cells(column: str, partition_object: dict) -> tuple[list[Column], list[float]]:
+    """Counts of the values or bins of a described distribution, then of all values; and its weights.
+
+    Bins are half open but for the last.  All cells are counted in the suite's one
+    aggregate.
+    """
+    weights = [float(w) for w in partition_object["weights"]]
+    if "values" in partition_object:
+        tests = [col(column) == F.lit(v) for v in partition_object["values"]]
+    else:
+        edges = list(partition_object["bins"])
+        pairs = list(zip(edges, edges[1:], strict=False))
+        tests = [(col(column) >= a) & (col(column) <= b if i == len(pairs) - 1 else col(column) < b) for i, (a, b) in enumerate(pairs)]
+    if len(tests) != len(weights) or any(w < 0 for w in weights) or abs(sum(weights) - 1) > 1e-6:
+        raise ValueError("a distribution needs a weight for each value or bin, which add up to 1")
+    return [*[F.count_if(t) for t in tests], F.count(col(column))], weights
+
+
+def divergence(counts: list[int], total: int, weights: list[float]) -> float:
+    """Kullback-Leibler divergence of what was counted from the weights; infinite where something has no weight."""
+    if total > sum(counts):
+        return math.inf
+    return sum(math.inf if not w else n / total * math.log(n / total / w) for n, w in zip(counts, weights, strict=True) if n)
+
+
+def kolmogorov(counts: list[int], total: int, weights: list[float]) -> tuple[float, float]:
+    """Largest distance of the two distribution functions at the bins' ends, and the share of samples that come further off by chance."""
+    distance, here, there = 0.0, 0.0, 0.0
+    for n, w in zip(counts, weights, strict=True):
+        here, there = here + n / total, there + w
+        distance = max(distance, abs(here - there))
+    distance = max(distance, 1 - sum(counts) / total)
+    x = math.sqrt(total) * distance
+    chance = 1.0 if x < 0.2 else 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))
+    return distance, min(1.0, max(0.0, chance))
+
+
+def upper_gamma(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function: the share of a chi-square of 2a degrees beyond 2x."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for n in range(1, 10_000):
+            term *= x / (a + n)
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, 1 - front * total)
+    value = 0.0
+    for n in range(int(200 + 10 * math.sqrt(x)), 0, -1):
+        value = n * (a - n) / (x + 2 * n + 1 - a + value)
+    return front / (x + 1 - a + value)
+
+
+@expectation
+def column_kl_divergence_to_be_less_than(df, column, partition_object, threshold) -> Parts:
+    counted, weights = _cells(column, partition_object)
+    return counted, lambda v: v[-1] == 0 or divergence(v[:-1], v[-1], weights) < threshold
+
+
+@expectation
+def column_ks_test_p_value_to_be_greater_than(df, column, partition_object, p_value=0.05) -> Parts:
+    """Against a distribution described by bins: distances are taken at their ends."""
+    counted, weights = _cells(column, partition_object)
+    return counted, lambda v: v[-1] == 0 or kolmogorov(v[:-1], v[-1], weights)[1] > p_value
+
+
+@expectation
+def column_chisquare_test_p_value_to_be_greater_than(df, column, partition_object, p_value=0.05) -> Parts:
+    counted, weights = _cells(column, partition_object)
+
+    def test(v: list) -> bool:
+        if not v[-1]:
+            return True
+        if v[-1] > sum(v[:-1]) or any(n and not w for n, w in zip(v, weights, strict=False)):
+            return False
+        known = [(n, w * v[-1]) for n, w in zip(v, weights, strict=False) if w]
+        return upper_gamma((len(known) - 1) / 2, sum((n - e) ** 2 / e for n, e in known) / 2) > p_value if len(known) > 1 else True
+
+    return counted, test
+
+
 @dataclass
 class Outcome:
     passed: bool
