@@ -251,7 +251,8 @@ class Services:
 
     def upcoming(self, after: datetime | None = None) -> list[tuple[datetime, str]]:
         """The next run of each scheduled pipeline, soonest first."""
-        return sorted((plan_times.next_runs(r["cron"], after, 1)[0], r["pipeline_id"]) for r in self.schedules().select("cron", "pipeline_id").toLocalIterator())
+        found = plan_times.upcoming(self.schedules(), after).filter("run_at IS NOT NULL").orderBy("run_at", "pipeline_id")
+        return [(r["run_at"], r["pipeline_id"]) for r in found.toLocalIterator()]
 
     def run_pipeline(self, pipeline_id: str, work: dict[str, Callable[[], object]]) -> str:
         """Run a scheduled pipeline's stages in order and track the run; a failing stage ends it and is raised."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,18 @@ def next_runs(expression: str, after: datetime | None = None, count: int = 5, da
     return out
 
 
+def upcoming(schedules: DataFrame, after: datetime | None = None) -> DataFrame:
+    """``pipeline_id, run_at``: the next run of each row's cron expression, worked out by the tasks that have the rows."""
+    moment = after or datetime.now(UTC).replace(tzinfo=None)
+
+    def work(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in part:
+            runs = [next_runs(cron, moment, 1) for cron in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] if r else None for r in runs], pa.timestamp("us"))], names=["pipeline_id", "run_at"])
+
+    return schedules.select("pipeline_id", "cron").mapInArrow(work, "pipeline_id string, run_at timestamp_ntz")
+
+
 def describe_cron(expression: str) -> str:
     minute, hour, dom, month, dow = ALIASES.get(expression.strip(), expression).split()
     if (minute, hour, dom, month, dow) == ("*",) * 5:

@@ -7,6 +7,7 @@ the DuckDB statement for the same rows.  Floats are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,7 +279,11 @@ def trf_polynomial(spark, sf_dir):
     return rounded(features.transform(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), {"polynomial_cols": ["p_size", "p_retailprice"]}), 4)
 
 
-@query()
+# With two columns the components have a closed form; the larger part of each loading is positive.
+@query("""WITH s AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, var_samp(p_size) AS a, var_samp(p_retailprice) AS d, covar_samp(p_size, p_retailprice) AS b FROM part),
+e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ^ 2 + b * b) AS l FROM s), v AS (SELECT mx, my, b / sqrt(b * b + (l - a) ^ 2) AS vx, (l - a) / sqrt(b * b + (l - a) ^ 2) AS vy FROM e),
+w AS (SELECT mx, my, vx, vy, CASE WHEN abs(vx) > abs(vy) THEN sign(vx) ELSE sign(vy) END AS s1, CASE WHEN abs(vy) > abs(vx) THEN -sign(vy) ELSE sign(vx) END AS s2 FROM v)
+SELECT p_partkey, round(s1 * ((p_size - mx) * vx + (p_retailprice - my) * vy), 4) AS pca_1, round(s2 * (-(p_size - mx) * vy + (p_retailprice - my) * vx), 4) AS pca_2 FROM part, w""")
 def trf_pca(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     return rounded(features.transform(p, {"pca": {"cols": ["p_size", "p_retailprice"], "n_components": 2}}), 4)
@@ -664,12 +669,11 @@ def dsh_summary(spark, sf_dir):
     return jobs.dashboard(o).select("jobs", "completed", "failed", "rows")
 
 
-@query("SELECT strftime(t, '%Y-%m-%d %H:%M') AS run_at FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-27 00:01', TIMESTAMP '2024-12-31', INTERVAL 1 MINUTE)) AS t) WHERE minute(t) IN (0, 30) AND hour(t) = 6 AND day(t) BETWEEN 1 AND 7 AND month(t) IN (3, 6) ORDER BY t LIMIT 5")
+@query("SELECT n_name AS pipeline_id, strftime(CASE WHEN n_nationkey + n_regionkey = 0 THEN TIMESTAMP '2024-02-28' ELSE TIMESTAMP '2024-02-27' + INTERVAL 1 HOUR * n_regionkey + INTERVAL 1 MINUTE * n_nationkey END, '%Y-%m-%d %H:%M') AS run_at FROM nation")
 def sch_next_runs(spark, sf_dir):
-    from datetime import datetime
-
-    runs = schedule.next_runs("*/30 6 1-7 3,6 *", datetime(2024, 2, 27))
-    return spark.createDataFrame([(r.strftime("%Y-%m-%d %H:%M"),) for r in runs], "run_at string")
+    """One schedule a nation: every day, at its region's hour and its own minute."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("pipeline_id"), F.format_string("%s %s * * *", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")).alias("cron"))
+    return schedule.upcoming(n, datetime(2024, 2, 27)).select("pipeline_id", F.date_format("run_at", "yyyy-MM-dd HH:mm").alias("run_at"))
 
 
 # --- written and read back: formats, services, streams ----------------------
@@ -727,12 +731,14 @@ def snk_convert(spark, sf_dir):
     return readers.read_source(spark, "json", {"file_path": f"{folder}/b", "format": "json", "schema": PRICED_SCHEMA})
 
 
-@query("SELECT 'a' AS event_type, 1 AS n UNION ALL SELECT 'b', 2")
+@query("SELECT event_type, CAST(event_id AS BIGINT) AS n FROM events")
 def snk_events(spark, sf_dir):
+    """Every row of ``events`` as an event of a log, and one more beside them."""
     path = _place(spark, "events")
-    for n, kind in ((1, "a"), (2, "b")):
-        sinks.append_event(spark, path, kind, {"n": n})
-    return spark.read.parquet(path).select("event_type", F.get_json_object("payload", "$.n").cast("int").alias("n"))
+    e = table(spark, sf_dir, "events")
+    sinks.append_events(e.select("event_type", F.to_json(F.struct(F.col("event_id").alias("n"))).alias("payload")), path)
+    sinks.append_event(spark, path, "log.written", {"n": -1})
+    return spark.read.parquet(path).filter("event_type <> 'log.written'").select("event_type", F.get_json_object("payload", "$.n").cast("bigint").alias("n"))
 
 
 @query("SELECT count(*) AS rows, 6 AS columns FROM orders")
@@ -770,12 +776,16 @@ def svc_orchestrate(spark, sf_dir):
     return spark.read.parquet(Services(spark, _place(spark, "root"), "t").orchestrate(config).output_uri)
 
 
-@query("SELECT count(*) AS row_count FROM customer")
+@query("SELECT count(*) AS row_count, true AS same_rows_same_name, true AS other_rows_other_name FROM customer")
 def ver_commit(spark, sf_dir):
-    root = _place(spark, "root")
-    uri = sinks.write_parquet(table(spark, sf_dir, "customer"), f"{root}/customer")
-    version = versions.commit_version(spark, root, uri, {"by": "query"}, "t")
-    return spark.createDataFrame([(versions.get_version(spark, root, version, "t")["row_count"],)], "row_count bigint")
+    """A version's name comes from its rows: the same in another order and layout, another after one value changes."""
+    root, customer = _place(spark, "root"), table(spark, sf_dir, "customer")
+    first = sinks.write_parquet(customer, f"{root}/customer")
+    again = sinks.write_parquet(customer.select(*reversed(customer.columns)).orderBy("c_acctbal").repartition(3), f"{root}/again")
+    other = sinks.write_parquet(customer.withColumn("c_acctbal", F.when(F.col("c_custkey") == 1, 0.125).otherwise(F.col("c_acctbal"))), f"{root}/other")
+    names = [versions.commit_version(spark, root, uri, {"by": "query"}, "t") for uri in (first, again, other)]
+    found = versions.get_version(spark, root, names[0], "t")
+    return spark.createDataFrame([(found["row_count"], names[0] == names[1], names[0] != names[2])], "row_count bigint, same_rows_same_name boolean, other_rows_other_name boolean")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderstatus AS status FROM orders WHERE o_custkey % 10 = 3 ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20")

@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .readers import ConfigError, read_path
 
@@ -81,6 +82,12 @@ def convert_format(spark: SparkSession, source: str, source_kind: str, target: s
 EVENTS = "event_id string, event_type string, payload string, at string"
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Rows ``event_type, payload`` (JSON text) as events, written by the tasks that have them."""
+    now = datetime.now(UTC).isoformat()
+    events.select(F.expr("replace(uuid(), '-', '')").alias("event_id"), "event_type", "payload", F.lit(now).alias("at")).write.mode("append").parquet(path)
+
+
 def append_event(spark: SparkSession, path: str, event_type: str, payload: dict) -> None:
     """One row of an event log."""
     row = (uuid.uuid4().hex, event_type, json.dumps(payload, sort_keys=True, default=str), datetime.now(UTC).isoformat())

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from sluiceway import queries
+from sluiceway import queries, table_queries  # noqa: F401
 
 from .conftest import DATA
 
