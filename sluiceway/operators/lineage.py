@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import settled
+from .reach import ReachIndex
 
 EDGES = "edge_id string, step_name string, input_uris array<string>, output_uri string, field_mappings map<string,array<string>>, metadata map<string,string>, job_id string, tenant_id string, recorded_at string"
 MAX_DEPTH = 10
@@ -63,6 +64,12 @@ def downstream(edges: DataFrame, uri: str, tenant_id: str | None = None, max_dep
     return _reach(edges.sparkSession.createDataFrame([(uri,)], "uri string"), p, ["uri"], max_depth)
 
 
+def reach_index(edges: DataFrame, tenant_id: str | None = None, upwards: bool = False) -> ReachIndex:
+    """An index of what each dataset leads to (or, ``upwards``, comes from), for chains of any length."""
+    p = pairs(edges, tenant_id)
+    return ReachIndex.build(p.select(F.col("target").alias("source"), F.col("source").alias("target")) if upwards else p.select("source", "target"))
+
+
 def trace_field(edges: DataFrame, uri: str, field: str, tenant_id: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``uri, field, depth`` of the fields that a field came from; every (dataset, field) is followed."""
     mine = edges if tenant_id is None else edges.filter(F.col("tenant_id") == tenant_id)

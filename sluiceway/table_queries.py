@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from .operators import clean, deidentify, gate, incremental, profile, sample, sketch_profile
+from .operators import clean, deidentify, gate, incremental, profile, reach, sample, sketch_profile
 from .plans import jobs, version_store
 from .plans.keyed_files import KeyedFiles
 from .plans.pipeline import Services
@@ -183,6 +183,34 @@ def lin_field_mappings(spark, sf_dir):
     return services.edges().select(F.explode("field_mappings").alias("field", "inputs")).select("field", F.explode("inputs").alias("input"))
 
 
+# A chain of all line items in order, with two steps aside and one back: as deep as the table is long.
+CHAIN = """SELECT 'l' || n AS source, 'l' || (n + 1) AS target FROM lines WHERE n + 1 < total UNION ALL SELECT 'l' || n, 'side' || n FROM lines WHERE n % 50 = 0
+UNION ALL SELECT 'l' || n, 'l' || (n - 20) FROM lines WHERE n % 97 = 0 AND n >= 20 UNION ALL SELECT 'side' || n, 'l' || (n // 2) FROM lines WHERE n % 150 = 0"""
+LINES = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS n, count(*) OVER () AS total FROM lineitem"
+
+
+def _chain(spark, sf_dir):
+    lines = sample.with_row_id(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], "n")
+    name = lambda prefix, n: F.concat(F.lit(prefix), n.cast("bigint").cast("string"))
+    n, total = F.col("n"), lines.count()
+    edge = lambda rows, a, b: rows.select(a.alias("source"), b.alias("target"))
+    ways = [edge(lines.filter(n + 1 < total), name("l", n), name("l", n + 1)), edge(lines.filter(n % 50 == 0), name("l", n), name("side", n)), edge(lines.filter((n % 97 == 0) & (n >= 20)), name("l", n), name("l", n - 20)), edge(lines.filter(n % 150 == 0), name("side", n), name("l", F.floor(n / 2)))]
+    return readers.union_chunks(ways), total
+
+
+@query(f"""WITH RECURSIVE lines AS ({LINES}), t AS (SELECT max(total) AS total FROM lines),
+-- All behind the earliest line that can be reached is reached; a step back or aside may lead to an earlier one.
+earliest AS (SELECT total // 2 AS x FROM t UNION
+  SELECT least(x, CASE WHEN b < total AND b >= 20 THEN b - 20 ELSE x END, CASE WHEN c < total THEN c // 2 ELSE x END) FROM (SELECT x, total, (x + 96) // 97 * 97 AS b, (x + 149) // 150 * 150 AS c FROM earliest, t)),
+low AS (SELECT min(x) AS x FROM earliest)
+SELECT count(*) - 1 + count(*) FILTER (n % 50 = 0) AS n, count(*) FILTER (n % 50 = 0) AS sides FROM lines, low WHERE n >= low.x""")
+def lin_deep_reach(spark, sf_dir):
+    """How much is reachable from the middle of the chain, over intervals instead of steps."""
+    edges, total = _chain(spark, sf_dir)
+    found = reach.ReachIndex.build(edges).reach(f"l{total // 2}")
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("uri").startswith("side")).alias("sides"))
+
+
 @query(f"WITH h AS ({HOLEY}) SELECT 'completeness_price' AS rule, round(count(price) / count(*), 6) AS metric, count(price) / count(*) >= 0.9 AS passed FROM h UNION ALL SELECT 'completeness_status', round(count(status) / count(*), 6), count(status) / count(*) >= 0.5 FROM h")
 def dsh_find_report(spark, sf_dir):
     uri = sinks.write_parquet(holey(spark, sf_dir), _place(spark, "holey"))
