@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import strings
 
-#: Characters around an access identifier that :func:`link` looks at unless told otherwise; queries look at whole scopes.
-REACH = 400
 #: In the order in which kinds stand where two spans begin together.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
 
@@ -61,8 +59,8 @@ def interval_join(lefts: list[tuple[int, int]], rights: list[tuple[int, int]]) -
         yield from ((i, j) for j in live if rights[j][0] < end)
 
 
-def link(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
-    """Weak parts that occur with their complements, in the whole scope where ``reach`` is None.
+def link(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
+    """Weak parts that occur with their complements in a scope, or within ``reach`` characters of an identifier in it.
 
     Spans are those of the whole text, whatever the reach: it cuts no span short.
     """
@@ -100,7 +98,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base kinds are ``assign``, ``access`` and ``hex``; linking adds
     ``linked_secret`` and ``linked_endpoint``, within whole scopes unless ``reach`` is given.  Null and empty texts have no
-    spans.  Whole texts are read.  Ids may be null or repeat.
+    spans.  Whole texts are read.  Ids may be null or repeat; other columns aren't
+    read; an empty table gives no rows.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

@@ -130,7 +130,7 @@ def test_base_spans_and_linking():
     assert near[linked[0][0] : linked[0][2]] == secret
     assert secrets.link(f"{secret} vault.example.com", secrets.base_spans(secret)) == []
     far = f"{key}" + " " * 900 + secret
-    assert secrets.link(far, secrets.base_spans(far)) == []
+    assert secrets.link(far, secrets.base_spans(far), 400) == [] and len(secrets.link(far, secrets.base_spans(far))) == 1
     assert [(k) for _, k, _ in secrets.base_spans("PassWord = 'abcdef' secret:token:abcdefgh")] == [0]
     assert secrets.base_spans("ſecret=abcdefgh " + "a" * 23) == []
 
