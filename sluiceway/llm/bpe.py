@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import batches, strings
 
 #: Pieces whose encodings a Python worker keeps; the cache is emptied when full.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 150_000
 #: Pairs of tokens whose compatibility it keeps.
-PAIRS = 1_000_000
+PAIRS = 300_000
 _BIG = 1 << 62
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -92,6 +93,15 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, width: i
             held, weight = [], 0
     if held:
         yield pack(held, schema)
+    del held
+    release()
+
+
+def release() -> None:
+    """Give memory that a task is done with back to the system: Python workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

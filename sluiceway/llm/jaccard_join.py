@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, shared_dir, shuffle_partitions, utf8
+from .common import LOWER, materialise, release, shared_dir, shuffle_partitions, utf8
 from .components import connected_components
 
 #: Cells of the counting sketch: its levels (one byte each) are all that is sent to the tasks.
@@ -123,6 +123,7 @@ def _sets(size: int):
                     ns.append(len(s))
                     toks.append(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(names, pa.int64()), pa.array(proofs, pa.int64()), pa.array(ns, pa.int64()), pa.array(toks, pa.binary())], schema=_SETS)
+        release()
 
     return work
 
@@ -472,6 +473,8 @@ def _join_tasks(threshold: int, rows: int = 20_000, width: int = 64 << 20):
                 count, weight = (0, 0) if cut else (count // 2, weight // 2)
         if held:
             yield emit(pa.Table.from_batches(held))
+        held.clear()
+        release()
 
     return work
 
