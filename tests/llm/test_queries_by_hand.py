@@ -12,6 +12,7 @@ import pytest
 
 from sluiceway.llm import gif, licenses, registry
 
+SECTIONS = {(label, section): text for label, section, text in licenses.TEMPLATES}
 TEXTS = [
     (0, "plain words only"),
     (1, None),
@@ -19,7 +20,7 @@ TEXTS = [
     (3, "token = abcdef123 and PASSWORD: 'hunter22' api_key=zz9 " + "deadbeef" * 4),
     (4, "AKIA" + "ABCDEFGHIJKLMNOP" + " " + "x" * 900 + " " + "k" * 40 + " https://example.com/path\n\nother " + "q" * 40),
     (5, "Under the MIT License. cc-by nc; Apache License, Version 2.0 and under the mit license"),
-    (6, licenses.TEMPLATES["bsd"] + " " + licenses.TEMPLATES["gpl"]),
+    (6, SECTIONS["bsd", "grant"] + " " + SECTIONS["gpl", "notice"]),
     (7, "é\t" * 30_000),
     (None, "token = abcdef123"),
     (3, "token = abcdef123"),

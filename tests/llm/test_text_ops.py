@@ -463,7 +463,8 @@ def test_query_against_duckdb(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got = registry.queries()[name](spark, str(DATA))
     names = sorted(got.columns)
     plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
