@@ -16,7 +16,9 @@ of the text, and so on: the pairs looked at stay near those that do link, not
 the square of a group.
 
 Lines of ``tau`` characters or fewer all link with each other; they are tied to one
-of them and their links counted.
+of them and their links counted.  Their links with lines of up to ``2 tau`` characters
+are many wherever such lines are, so these are counted by what both have in common,
+and never become rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ TAU = 2
 #: A key that more lines index is looked at on the next level: on the first, and on those whose pairs are sifted.
 HOT = 10
 DEEP = 512
+#: Places of a short line's pattern counts in the join that looks them up: a frequent one is dealt over them.
+DEALT = 16
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +262,7 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def edit_join(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``a, b``: keys of different lines of more than ``tau`` characters, or of one such and a shorter one, at most ``tau`` edits apart, once a pair."""
+    """``a, b``: keys of different lines of more than ``tau`` characters, at most ``tau`` edits apart, once a pair."""
     pairs = materialise(candidates(lines, tau), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_key")).distinct()
     texts = likely(lines, wanted).filter("hit").join(wanted, "line_key", "left_semi")
@@ -267,11 +271,90 @@ def edit_join(lines: DataFrame, tau: int = TAU) -> DataFrame:
     full = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.col("n_a") - F.col("n_b")) <= tau)
     shorter = F.col("n_a") <= F.col("n_b")
     ordered = full.select("a", "b", F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")).alias("shorter"), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")).alias("longer"))
-    links = ordered.filter(edits_within(tau)).select("a", "b")
-    # A line of tau characters or fewer shares a character with each longer one that it links with.
-    signs = lambda low, high, name: lines.filter(F.col("n_chars").between(low, high)).select(F.explode(F.array_distinct(F.split("line", ""))).alias("sign"), F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"))
-    tiny = signs(1, tau, "x").join(signs(tau + 1, 2 * tau, "y"), "sign").filter(F.levenshtein("line_x", "line_y") <= tau)
-    return links.unionByName(tiny.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return ordered.filter(edits_within(tau)).select("a", "b")
+
+
+def alignments(m: int, n: int, tau: int) -> dict[tuple[int, ...], list[tuple[int, ...]]]:
+    """What a line of ``m <= tau`` characters and one of ``n > tau`` must have in common to be ``tau`` edits apart or less.
+
+    By places of the first, the places of the second that may hold the same
+    characters; no pattern holds another.  Whatever stands between two places
+    takes as many edits as the longer of its sides.
+    """
+
+    def edits(mine: tuple[int, ...], other: tuple[int, ...]) -> int:
+        ends = [(-1, -1), *zip(mine, other, strict=True), (m, n)]
+        return sum(max(b[0] - a[0], b[1] - a[1]) - 1 for a, b in zip(ends, ends[1:], strict=False))
+
+    near = {(x, y) for k in range(1, m + 1) for x in combinations(range(m), k) for y in combinations(range(n), k) if edits(x, y) <= tau}
+    parts = lambda x, y: {(tuple(x[i] for i in some), tuple(y[i] for i in some)) for k in range(1, len(x)) for some in combinations(range(len(x)), k)}
+    found: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+    for x, y in sorted(near):
+        if not parts(x, y) & near:
+            found.setdefault(x, []).append(y)
+    return found
+
+
+def _sign(i: int) -> str:
+    return f"substring(line, {i + 1}, 1)"
+
+
+def patterns(tau: int) -> tuple[dict[int, list[tuple[int, str]]], dict[int, list[tuple[int, str]]]]:
+    """``weight, key`` expressions of short lines and of longer ones, by their number of characters.
+
+    Two lines link if any of their alignments holds.  Each set of alignments has
+    keys that two lines share where all of it holds, and odd sets count 1, even
+    ones -1: over all that two lines share, that is 1 if they link and 0 if not.
+    """
+    short: dict[int, list[tuple[int, str]]] = {}
+    longer: dict[int, list[tuple[int, str]]] = {}
+    for m, n in product(range(1, tau + 1), range(tau + 1, 2 * tau + 1)):
+        ways = alignments(m, n, tau) if n - m <= tau else {}
+        for number, chosen in enumerate(c for k in range(1, len(ways) + 1) for c in combinations(ways, k)):
+            weight, name = (-1) ** (len(chosen) + 1), f"'{m}.{n}.{number}.'"
+            places = sorted({i for x in chosen for i in x})
+            short.setdefault(m, []).append((weight, f"concat({name}, {', '.join(map(_sign, places))})"))
+            keys = set()
+            for others in product(*[ways[x] for x in chosen]):
+                held: dict[int, list[int]] = {i: [] for i in places}
+                for i, j in ((i, j) for x, y in zip(chosen, others, strict=True) for i, j in zip(x, y, strict=True)):
+                    held[i].append(j)
+                alike = sorted({f"{_sign(js[0])} = {_sign(j)}" for js in held.values() for j in js if j != js[0]})
+                keys.add(f"if({' and '.join(alike) or 'true'}, concat({name}, {', '.join(_sign(held[i][0]) for i in places)}), null)")
+            longer.setdefault(n, []).append((weight, f"array_distinct(array({', '.join(sorted(keys))}))"))
+    return short, longer
+
+
+def _keyed(lines: DataFrame, by_length: dict[int, list[tuple[int, str]]], several: bool) -> DataFrame:
+    """``line_key, key, weight`` of the lines whose length has patterns."""
+    own = lines.filter(F.col("n_chars").isin(list(by_length))).select("line_key", "line", "n_chars")
+    each = lambda w, key: f"transform({key if several else f'array({key})'}, k -> named_struct('key', k, 'weight', {w}L))"
+    whole = " ".join(f"when {n} then concat({', '.join(each(w, key) for w, key in keys)})" for n, keys in by_length.items())
+    return own.select("line_key", F.explode(F.expr(f"case n_chars {whole} end")).alias("p")).select("line_key", "p.key", "p.weight").filter("key is not null")
+
+
+def _weighed(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``line_key, links`` of the lines of ``rows``, over the lines that ``others`` has under the same keys."""
+    counts = others.groupBy(F.col("key").alias("shared")).agg(F.sum("weight").alias("links"))
+    dealt = counts.select("shared", "links", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"))
+    met = rows.join(dealt, (F.col("key") == F.col("shared")) & (F.pmod(F.xxhash64("line_key"), F.lit(DEALT)) == F.col("deal")))
+    return met.groupBy("line_key").agg(F.sum("links").alias("links")).filter("links > 0")
+
+
+def short_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``line_key, links``: how many lines of more than ``tau`` characters each shorter one links with, and the other way round.
+
+    With up to three edits lines are counted by :func:`patterns`, a few rows a line.
+    Beyond that patterns are too many, and lines that share a character are compared.
+    """
+    low, high = (F.col("n_chars") <= tau), F.col("n_chars").between(tau + 1, 2 * tau)
+    if tau <= 3:
+        short, longer = patterns(tau)
+        own, other = _keyed(lines.filter(low), short, False), _keyed(lines.filter(high), longer, True)
+        return _weighed(own, other).unionByName(_weighed(other, own))
+    signs = lambda some, name: lines.filter(some).select(F.explode(F.array_distinct(F.split("line", ""))).alias("sign"), F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"))
+    met = signs(low, "x").join(signs(high, "y"), "sign").filter(F.levenshtein("line_x", "line_y") <= tau).select("x", "y").distinct()
+    return met.select(F.explode(F.array("x", "y")).alias("line_key")).groupBy("line_key").agg(F.count("*").alias("links"))
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -286,10 +369,14 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     lines = materialise(distinct_lines(docs, id_col, text_col), "lines")
     links = materialise(edit_join(lines, tau), "line-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("line_key")).groupBy("line_key").agg(F.count("*").alias("links"))
+    short = materialise(short_links(lines, tau), "line-short-links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("line_key"), F.lit(1).cast("long").alias("links")).unionByName(short)
+    degree = degree.groupBy("line_key").agg(F.sum("links").alias("links"))
     tiny = lines.filter(F.col("n_chars") <= tau)
     first = tiny.agg(F.min("line_key").alias("b"), (F.count("*") - 1).alias("others"))
-    star = tiny.select(F.col("line_key").alias("a")).join(F.broadcast(first.select("b")), F.col("a") > F.col("b"))
+    # A line that links with a short one is in the component of all of them.
+    star = tiny.select(F.col("line_key").alias("a")).unionByName(short.select(F.col("line_key").alias("a"))).distinct()
+    star = star.join(F.broadcast(first.select("b")), F.col("a") != F.col("b"))
     named = materialise(connected_components(links.unionByName(star), local_edges=-1).withColumnRenamed("node", "line_key"), "line-components")
     plain = likely(lines.select("line_key", "line_id", "n_chars", "n_rows", "first_id"), named.select("line_key"))
     linked = plain.filter("hit").select("line_key", "line_id").join(named, "line_key")

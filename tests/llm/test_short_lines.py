@@ -56,6 +56,28 @@ def test_shared_keys_go_down_the_levels(spark, tmp_path, monkeypatch, hot):
     held_against_all_pairs(spark, tmp_path, lines - {""})
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3, 4])
+def test_links_of_short_lines_are_counted(spark, tau):
+    rng = random.Random(tau)
+    texts = sorted({"".join(rng.choice("abé😀") for _ in range(rng.randint(1, 2 * tau + 1))) for _ in range(150)})
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "line_key long, line string, n_chars long")
+    got = {r["line_key"]: r["links"] for r in line_dedup.short_links(lines, tau).collect()}
+    want = {i: sum((len(x) <= tau) != (len(y) <= tau) and levenshtein(x, y) <= tau for y in texts) for i, x in enumerate(texts)}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_short_lines_make_no_pairs(spark):
+    """Hundreds of short lines around one character, all linked: rows stay a few a line."""
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    texts = [f"e{x}" for x in signs] + [f"e{x}{y}" for x, y in zip(signs, reversed(signs), strict=True)]
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "line_key long, line string, n_chars long")
+    short, longer = line_dedup.patterns(2)
+    assert line_dedup._keyed(lines.filter("n_chars < 3"), short, False).count() <= 4 * 300
+    assert line_dedup._keyed(lines.filter("n_chars > 2"), longer, True).count() <= 11 * 300
+    got = {r["line_key"]: r["links"] for r in line_dedup.short_links(lines).collect()}
+    assert got == dict.fromkeys(range(600), 300)
+
+
 def test_every_alignment_has_a_cut():
     """Whatever two edits do to a text, some cut of it keeps equal pieces of both."""
     rng = random.Random(5)
