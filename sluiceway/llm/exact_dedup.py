@@ -9,11 +9,12 @@ Shape of the job
 1. *Combine*: each input partition folds its own repeats to one row per text
    (bounded buffer), so a text that makes up a third of the corpus enters the
    shuffle once per buffer, not once per row.
-2. *Range shuffle*: Spark samples the short key ``(first 32 bytes, digest)`` for
-   its splitters; full texts travel once and never reach the driver.  The digest
-   behind the prefix separates texts that share a boilerplate opening.
+2. *Range shuffle*: Spark samples the short key ``(first 32 bytes, digest, least id
+   of the buffer)`` for its splitters; full texts travel once and never reach the
+   driver.  The digest behind the prefix separates texts that share a boilerplate
+   opening, and the id cuts a text that many buffers held over several ranges.
 3. *Neighbour scan*: rows sorted by ``(prefix, digest, text)`` are compared in
-   full with their predecessor.
+   full with their predecessor; narrow runs of one digest come together.
 4. *Label*: the ``(digest -> kept id, size)`` table joins back to narrow
    ``(id, digest)`` rows; AQE may split a hot digest.
 """
@@ -99,6 +100,19 @@ def _runs(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), _RUNS)
 
 
+def sorted_texts(base: DataFrame, partitions: int) -> DataFrame:
+    """Texts of ``base(row_id, body)``, folded where they are read, in sorted ranges.
+
+    Splitters are sampled from a prefix, a digest and the least id that a buffer
+    held: what many buffers held is cut over several ranges.
+    """
+    return (
+        base.mapInArrow(_combine, "prefix binary, digest binary, body binary, row_id long, n long")
+        .repartitionByRange(partitions, "prefix", "digest", "row_id")
+        .sortWithinPartitions("prefix", "digest", "body", "row_id")
+    )
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per input row: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
@@ -110,12 +124,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body"))
     n = partitions or shuffle_partitions(docs.sparkSession)
-    runs = (
-        base.mapInArrow(_combine, "prefix binary, digest binary, body binary, row_id long, n long")
-        .repartitionByRange(n, "prefix", "digest")
-        .sortWithinPartitions("prefix", "digest", "body", "row_id")
-        .mapInArrow(_runs, "digest binary, keep_id long, group_size long")
-    )
+    runs = sorted_texts(base, n).mapInArrow(_runs, "digest binary, keep_id long, group_size long")
+    # A text that many buffers held may fill several ranges: their counts come together, not the texts.
+    runs = runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     keyed = base.mapInArrow(_keyed, "row_id long, digest binary")
     return keyed.join(runs, "digest").select(
         F.col("row_id").alias(id_col),

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sluiceway.llm import bpe, exact_dedup, gif, jaccard_join, language_id, licenses, line_dedup, mixture, registry, secrets, toxicity
 from sluiceway.llm.components import connected_components
@@ -473,3 +474,15 @@ def test_query_against_duckdb(spark, name):
     assert sorted(theirs) == names
     want = sorted(tuple(plain(r[theirs.index(c)]) for c in names) for r in result.fetchall())
     assert sorted(tuple(plain(r[c]) for c in names) for r in got.collect()) == want
+
+
+def test_a_hot_text_fills_several_ranges(spark):
+    """One text in a third of all rows, read by forty tasks: no range holds all its buffers, and its group stays whole."""
+    docs = spark.createDataFrame([(i, "the same\ttext" if i % 3 == 0 else "the same  text" if i == 1 else f"text {i % 50}") for i in range(900)], "doc_id long, text string").repartition(40)
+    ranges = exact_dedup.sorted_texts(docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("body")), 20).withColumn("range", F.spark_partition_id())
+    assert ranges.filter(F.col("body") == b"the same text").select("range").distinct().count() > 1
+    want = {}
+    for i, x in docs.collect():
+        want.setdefault(" ".join(x.split()), []).append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, partitions=20).collect()}
+    assert got == {i: (min(ids), len(ids)) for ids in want.values() for i in ids}
