@@ -23,6 +23,7 @@ and never become rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -91,17 +92,26 @@ def _piece(s: str, a: str, b: str) -> str:
 
 
 def first_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
-    """``key, id, cut`` of the first level, where one of ``tau + 1`` segments is kept; cut counts through ``_moves``."""
-    keys = []
-    for less, *holes in _moves(tau + 1, tau, probe):
-        n, at, shift, kept = f"(n_chars - {less})", 0, 0, []
+    """``key, id, cut`` of the first level, where one of ``tau + 1`` segments is kept; cut counts through ``_moves``.
+
+    Each difference in length is a projection of its own over ends worked out once:
+    with all keys in one, the code that Spark makes is too long to be compiled.
+    """
+    keys: dict[int, list[str]] = {}
+    for cut, (less, *holes) in enumerate(_moves(tau + 1, tau, probe)):
+        at, shift, kept = 0, 0, []
         for b, e, t in [*zip(*[iter(holes)] * 3, strict=True), (tau + 1, tau + 1, 0)]:
             if b > at:
-                kept.append((at, _piece("line", f"{at} * {n} div {tau + 1} + {shift}", f"{b} * {n} div {tau + 1} + {shift}")))
+                kept.append((at, f"substring(line, e{at} + {shift + 1}, e{b} - e{at})"))
             at, shift = e, t
         ((segment, text),) = kept
-        keys.append(f"if({n} > {tau}, xxhash64({n}, {segment}, {text}), null)")
-    return lines.select(F.col("line_key").alias("id"), F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("cut", "key")).filter("key is not null")
+        keys.setdefault(less, []).append(f"named_struct('cut', {cut}, 'key', xxhash64(n, {segment}, {text}))")
+    ends = [f"cast({i} * n div {tau + 1} as int) as e{i}" for i in range(tau + 2)]
+    found = []
+    for less, some in keys.items():
+        cut = lines.selectExpr("line_key as id", "line", f"n_chars - {less} as n").filter(F.col("n") > tau).selectExpr("id", "line", "n", *ends)
+        found.append(cut.select("id", F.expr(f"inline(array({', '.join(some)}))")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _holes(rows: DataFrame, tau: int, parts: range, probe: bool) -> DataFrame:
