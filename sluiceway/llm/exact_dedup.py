@@ -126,7 +126,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions or shuffle_partitions(docs.sparkSession)
     runs = sorted_texts(base, n).mapInArrow(_runs, "digest binary, keep_id long, group_size long")
     # A text that many buffers held may fill several ranges: their counts come together, not the texts.
-    runs = runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    # The hash beside the digest gives the join a shuffle of its own, which adaptive execution may split for a hot digest.
+    runs = runs.groupBy("digest", F.xxhash64("digest").alias("spot")).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("spot")
     keyed = base.mapInArrow(_keyed, "row_id long, digest binary")
     return keyed.join(runs, "digest").select(
         F.col("row_id").alias(id_col),
