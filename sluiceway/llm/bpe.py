@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, strings
 
-#: Pieces whose encodings a Python worker keeps; the cache is emptied when full.
+#: Pieces whose encodings a Python worker keeps: a fresh half, and the half before it, which is dropped when the fresh one is full.
 CACHE_PIECES = 150_000
 #: Pairs of tokens whose compatibility it keeps.
 PAIRS = 300_000
@@ -55,13 +55,23 @@ class BytePairTable:
                 if len(parts) == 2:
                     self.halves[rank] = (parts[0], parts[1])
                     self.joined[parts[0], parts[1]] = rank
-        #: Finds every token that ends at a byte, the longest first.
-        self.found = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.found.add_word(token.decode("latin-1"), (len(token), rank))
-        self.found.make_automaton()
+        self.sizes = {i: len(t) for i, t in self.bytes.items()}
+        self.single = {t.decode("latin-1"): i for t, i in ranks.items() if len(t) == 1}
+        self.longer = self._automaton(t for t in ranks if len(t) > 1)
         self._fits: dict[int, bool] = {}
 
+    def _automaton(self, tokens: Iterable[bytes]) -> ahocorasick.Automaton:
+        """Finds every one of ``tokens`` that ends at a byte, the longest first."""
+        found = ahocorasick.Automaton()
+        for token in tokens:
+            found.add_word(token.decode("latin-1"), (len(token), self.ids[token]))
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def found(self) -> ahocorasick.Automaton:
+        return self._automaton(self.ids)
+
     def _merge(self, piece: bytes, below: int) -> list[int]:
         """Plain merges of ranks under ``below``: only used to build the table."""
         parts = [self.ids[piece[i : i + 1]] for i in range(len(piece))]
@@ -103,6 +113,36 @@ class BytePairTable:
             else:
                 return True
 
+    def encode(self, data: str) -> list[int]:
+        """The encoding of a short byte string, given as Latin-1: the table of :class:`PrefixEncoder`, filled in one go.
+
+        Where no longer token fits, the prefix ends in the token of its last byte:
+        some token must, so that one needs no test.
+        """
+        fits, known = self.compatible, self._fits.get
+        try:
+            last = [self.single[byte] for byte in data]
+        except KeyError:
+            raise ValueError("a byte has no token") from None
+        done = -1
+        for at, (length, token) in self.longer.iter(data):
+            if at == done:
+                continue
+            if length <= at:
+                left = last[at - length]
+                if (fit := known(left << 32 | token)) is None:
+                    fit = fits(left, token)
+                if not fit:
+                    continue
+            last[at] = token
+            done = at
+        sizes, at, out = self.sizes, len(data), []
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= sizes[token]
+        return out[::-1]
+
 
 class PrefixEncoder:
     """The encoding of a growing or edited byte string, one last token per prefix."""
@@ -185,46 +225,31 @@ class PrefixEncoder:
 class TextEncoder:
     """Whole texts: split by a pattern, each match encoded apart from the others.
 
-    ``pattern`` must be one whose matches take a single space together with what
-    follows it and never run past it (as in the public byte-level vocabularies);
-    then ``" word"`` chunks can be encoded, and remembered, one by one.  Texts in
-    which a space stands before more white space or at the end are matched as a
-    whole.
+    A match is remembered by itself: a word has one encoding whatever stands beside it.
     """
 
     def __init__(self, table: BytePairTable, pattern: str):
         self.table = table
         self.pieces = regex.compile(pattern).findall
-        self.odd = regex.compile(r" (?:\s|\Z)").search
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _remember(self, chunk: str, ids: bytes) -> bytes:
-        if len(chunk) <= 64:
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a match that wasn't found among the fresh ones."""
+        # The fresh half may have been changed for another in the middle of a text.
+        if (packed := self.new.get(piece) or self.old.get(piece)) is None:
+            ids = self.table.encode(piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
             if len(self.new) >= CACHE_PIECES // 2:
                 self.old, self.new = self.new, {}
-            self.new[chunk] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.table.ids.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(self.table, data).tokens()
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if (ids := self.old.get(chunk)) is None:
-            ids = b"".join(map(self._piece, self.pieces(" " + chunk)))
-        return self._remember(chunk, ids)
+            self.new[piece] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.odd(text):
-            return b"".join(map(self._piece, self.pieces(text)))
-        first, *chunks = text.split(" ")
-        find, work = self.new.get, self._chunk
-        head = b"".join(map(self._piece, self.pieces(first)))
-        return head + b"".join([find(chunk) or work(chunk) for chunk in chunks])
+        find, work = self.new.get, self._piece
+        return b"".join([find(piece) or work(piece) for piece in self.pieces(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

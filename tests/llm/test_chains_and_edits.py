@@ -129,6 +129,35 @@ def test_edits_leave_the_rest(coder):
     assert grown.tokens() == bpe.PrefixEncoder(coder.table, b"again").tokens()
 
 
+def test_a_word_is_merged_once(coder, monkeypatch):
+    """Whatever stands beside it, and before white space as at the end."""
+    import public_tokenizers as p
+
+    packed = []
+
+    class Counted:
+        @staticmethod
+        def pack(form, *ids):
+            packed.append(ids)
+            return struct.pack(form, *ids)
+
+    monkeypatch.setattr(bpe, "struct", Counted)
+    fresh = bpe.TextEncoder(coder.table, p.PATTERN)
+    texts = [f"x {a} éblargtrench{b} éblargtrench" for a in ("", "(", "'") for b in (",", ".", "!?", "\n", ";", "  ", " ")]
+    found = [fresh.encode(t) for t in texts]
+    assert len(packed) == len({piece for t in texts for piece in fresh.pieces(t)})
+    assert [fresh.decode(ids).decode() for ids in found] == texts
+    plain = lambda piece: bpe.PrefixEncoder(coder.table, piece.encode()).tokens()
+    assert [list(struct.unpack(f"<{len(ids) // 4}I", ids)) for ids in found] == [[i for piece in fresh.pieces(t) for i in plain(piece)] for t in texts]
+
+
+def test_bytes_without_a_token_are_an_error():
+    table = bpe.BytePairTable({b"a": 0, b"b": 1, b"ab": 2})
+    assert table.encode("abab") == bpe.PrefixEncoder(table, b"abab").tokens() == [2, 2]
+    with pytest.raises(ValueError, match="no token"):
+        table.encode("abc")
+
+
 def test_digests_of_the_registered_query(spark):
     import public_tokenizers as p
     import tiktoken
