@@ -253,7 +253,8 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     hot = materialise(sought.join(many, "key", "left_semi").select("id", less.alias("less"), still.alias("own")).distinct(), "line-wanted")
     index, probe = _whole(longer, hot.filter("own").select("id", "less")), _whole(longer, hot.select("id", "less").distinct())
     while True:
-        own, sought = deeper_keys(index, tau, False), deeper_keys(probe, tau, True)
+        # Written, as a text's cuts are looked at up to three times: cutting is a fixed number of rows a text, once.
+        own, sought = materialise(deeper_keys(index, tau, False), "line-own"), materialise(deeper_keys(probe, tau, True), "line-sought")
         # Texts that are cut into single characters differ in those left out at most: that's a link, or nearly.
         many = own.filter("open").groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > DEEP).select("key")
         many = materialise(many, "line-hot-keys")

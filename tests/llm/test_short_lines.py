@@ -56,6 +56,40 @@ def test_shared_keys_go_down_the_levels(spark, tmp_path, monkeypatch, hot):
     held_against_all_pairs(spark, tmp_path, lines - {""})
 
 
+@pytest.mark.parametrize("deep", [8, 512])
+def test_every_cut_is_made_once(spark, monkeypatch, deep):
+    """A family's cuts are a fixed number of rows a text, whatever its size, and no job makes them again."""
+    made, asked, plain = spark.sparkContext.accumulator(0), [], line_dedup._cut
+
+    def counted(rows, tau, probe):
+        def work(part):
+            for batch in part:
+                made.add(batch.num_rows)
+                yield batch
+
+        out = plain(rows, tau, probe)
+        asked.append((probe, rows.count(), out.count()))
+        return out.mapInArrow(work, out.schema)
+
+    monkeypatch.setattr(line_dedup, "_cut", counted)
+    monkeypatch.setattr(line_dedup, "DEEP", deep)
+    rng = random.Random(7)
+    root = "The parcel of your order has left the depot and is on its way to you"
+    family = set()
+    while len(family) < 150:
+        copy = list(root)
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = rng.choice("abcdefgh")
+        family.add("".join(copy))
+    lines = line_dedup.materialise(line_dedup.distinct_lines(spark.createDataFrame(list(enumerate(sorted(family))), "doc_id long, text string")), "lines")
+    pairs = {(r["a"], r["b"]) for r in line_dedup.edit_join(lines).collect()}
+    text = {r["line_key"]: r["line"] for r in lines.collect()}
+    assert pairs == {(a, b) for a in text for b in text if a < b and levenshtein(text[a], text[b]) <= 2}
+    assert made.value == sum(n for *_, n in asked) and (len(asked) > 2) == (deep < 150)
+    most = {p: max(sum(1 for m in line_dedup._moves(k, 2, p) if m[0] == d) for k in (3, 4, 5) for d in (0, 1, 2)) for p in (False, True)}
+    assert all(n <= most[p] * rows for p, rows, n in asked)
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3, 4])
 def test_links_of_short_lines_are_counted(spark, tau):
     rng = random.Random(tau)
