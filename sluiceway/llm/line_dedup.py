@@ -10,10 +10,12 @@ edit distance decides.
 The first level cuts into ``tau + 1`` segments, of which one must be whole: few
 rows, and enough for most lines.  Keys that many lines index (a frequent opening, a
 family of variants) make no candidates there: their lines go on to a second level
-with ``2 tau + 1`` segments, of which all but ``tau`` must be whole.  Lines of a key that is
-still shared by many go on with only the part that the key leaves open, under half
-of the text, and so on: the pairs looked at stay near those that do link, not
-the square of a group.
+with ``2 tau + 1`` segments, of which all but ``tau`` must be whole, among them those that
+the shared key holds.  Lines of a key that is still shared by many go on with only the
+part that the key leaves open, under half of the text, and so on.  Lines that meet below
+the first level become a pair only where their characters and neighbouring characters,
+counted as odd or even, differ as little as ``tau`` edits allow: the pairs looked at
+stay near those that do link, not the square of a group.
 
 Lines of ``tau`` characters or fewer all link with each other; they are tied to one
 of them and their links counted.  Their links with lines of up to ``2 tau`` characters
@@ -87,6 +89,37 @@ def _moves(parts: int, tau: int, probe: bool) -> list[tuple[int, ...]]:
     return [(less, *c) for less in range(tau + 1) for c in cuts(parts, tau, less) if less or tau > 2 or c[2] >= 0]
 
 
+def _plain(move: tuple[int, ...]) -> bool:
+    """Whether a text is probed there by what it indexes: at no difference in length and no shift."""
+    less, *holes = move
+    return less == 0 and not any(holes[2::3])
+
+
+def _kept(parts: int, holes: tuple[int, ...]) -> dict[int, int]:
+    """The segments that a cut keeps, with their shifts."""
+    at, shift, kept = 0, 0, {}
+    for b, e, t in [*zip(*[iter(holes)] * 3, strict=True), (parts, parts, 0)]:
+        kept |= dict.fromkeys(range(at, b), shift)
+        at, shift = e, t
+    return kept
+
+
+def within(parts: int, tau: int, cut: tuple[int, ...]) -> list[int]:
+    """The cuts of the first level whose segment the cut (difference in length, then holes) into ``parts`` keeps too, at the same place.
+
+    Two texts that link, and share the first one's key, share one of these keys: with up
+    to two edits, those of an alignment that keeps a segment of the first level can all
+    be put into segments beside what lies inside it.  With more edits every cut stays.
+    """
+    kept, n, found = _kept(parts, cut[1:]), parts if parts <= 2 * tau else parts * (tau + 1), []
+    for number, (less, *holes) in enumerate(_moves(tau + 1, tau, True)):
+        ((i, shift),) = _kept(tau + 1, tuple(holes)).items()
+        inside = [j for j in range(parts) if i * n // (tau + 1) <= j * n // parts and (j + 1) * n // parts <= (i + 1) * n // (tau + 1)]
+        if less == cut[0] and (tau > 2 or all(kept.get(j) == shift for j in inside)):
+            found.append(number)
+    return found
+
+
 def _piece(s: str, a: str, b: str) -> str:
     return f"substring({s}, cast({a} as int) + 1, cast(({b}) - ({a}) as int))"
 
@@ -115,10 +148,11 @@ def first_keys(lines: DataFrame, tau: int, probe: bool) -> DataFrame:
 
 
 def _holes(rows: DataFrame, tau: int, parts: range, probe: bool) -> DataFrame:
-    """A fixed table of cuts: k, d (difference in length), cut, then b, e, t of each hole; k = 0 leaves all open."""
+    """A fixed table of cuts: k, d (difference in length), cut, then b, e, t of each hole, the first cuts that it is within, and whether it shifts nothing; k = 0 leaves all open."""
     names = [f"{x}{i}" for i in range(1, tau + 1) for x in "bet"]
-    table = [(k, less, cut, *holes) for k in parts for cut, (less, *holes) in enumerate(_moves(k, tau, probe))] + [(0, d, -1, *(0, 0, d) * tau) for d in range(tau + 1 if probe else 1)]
-    return F.broadcast(rows.sparkSession.createDataFrame(table, ", ".join(f"{c} int" for c in ("k", "d", "cut", *names))))
+    table = [(k, m[0], cut, *m[1:], within(k, tau, m), _plain(m)) for k in parts for cut, m in enumerate(_moves(k, tau, probe))]
+    table += [(0, d, -1, *(0, 0, d) * tau, [], d == 0) for d in range(tau + 1 if probe else 1)]
+    return F.broadcast(rows.sparkSession.createDataFrame(table, ", ".join(f"{c} int" for c in ("k", "d", "cut", *names)) + ", firsts array<int>, plain boolean"))
 
 
 def _edge(i: str) -> str:
@@ -126,13 +160,15 @@ def _edge(i: str) -> str:
 
 
 def _cut(rows: DataFrame, tau: int, probe: bool) -> DataFrame:
-    """Rows ``g, s, less, id, row, sign`` once for each of their cuts.
+    """Rows ``g, s, less, id, row, sign, ways, both`` once for each of their cuts: all, or those within one of ``ways``.
 
+    Of probes that are indexed as well (``both``), only the cuts that aren't made for the index.
     Texts of fewer than ``2 tau + 1`` characters are cut into single ones; of ``tau`` or fewer, all of one ``g`` meet.
     """
     n = F.length("s") - F.col("less")
     cut = rows.withColumn("n", n).withColumn("parts", F.when(n > tau, F.least(n, F.lit(2 * tau + 1))).otherwise(0))
-    return cut.join(_holes(rows, tau, range(tau + 1, 2 * tau + 2), probe), (F.col("parts") == F.col("k")) & (F.col("less") == F.col("d")))
+    wanted = (F.col("ways").isNull() | F.arrays_overlap("ways", "firsts")) & ~(F.col("both") & F.col("plain"))
+    return cut.join(_holes(rows, tau, range(tau + 1, 2 * tau + 2), probe), (F.col("parts") == F.col("k")) & (F.col("less") == F.col("d")) & wanted)
 
 
 def _open_pieces(tau: int) -> list[str]:
@@ -155,16 +191,28 @@ def deeper_keys(rows: DataFrame, tau: int, probe: bool) -> DataFrame:
 
 
 def left_open(keys: DataFrame, rows: DataFrame, tau: int, probe: bool) -> DataFrame:
-    """Rows of the next level for ``keys``: of each text what its cut doesn't keep."""
+    """Rows of the next level for ``keys``, without ``row``: of each text what its cut doesn't keep."""
     rows = likely(rows, keys.select("row").distinct(), "row").filter("hit").drop("hit")
     wanted = keys.select(F.col("key").alias("within"), F.col("row").alias("at"), F.col("cut").alias("way"))
     full = _cut(rows.join(wanted, F.col("at") == F.col("row")), tau, probe).filter("way = cut")
-    return full.select(F.col("within").alias("g"), F.concat(*[F.expr(x) for x in _open_pieces(tau)]).alias("s"), "less", "id", "sign", F.monotonically_increasing_id().alias("row"))
+    return full.select(F.col("within").alias("g"), F.concat(*[F.expr(x) for x in _open_pieces(tau)]).alias("s"), "less", "id", "sign", F.lit(None).cast("array<int>").alias("ways"), F.lit(False).alias("both"))
 
 
 def odd_characters(text: str) -> Column:
-    """A bit for each of 64 classes of characters: whether a text holds an odd number. An edit changes two bits at most."""
-    return F.expr(f"aggregate(split({text}, ''), 0L, (bits, c) -> bits ^ shiftleft(1L, ascii(c) % 64))")
+    """Whether a text holds an odd number of characters (``c``, 64 classes) and of neighbouring ones (``x`` and ``y``, 128 classes), bit by bit.
+
+    An edit changes two bits of the first at most, and four of the others: two neighbourhoods go and two come.
+    """
+    flipped = "'x', if(q.at < 64, o.x ^ shiftleft(1L, q.at), o.x), 'y', if(q.at < 64, o.y, o.y ^ shiftleft(1L, q.at - 64))"
+    step = _bound("'at', cast(pmod(xxhash64(o.last, c), 128) as int)", "q", f"named_struct('c', o.c ^ shiftleft(1L, ascii(c) % 64), {flipped}, 'last', c)")
+    start = "named_struct('c', 0L, 'x', 0L, 'y', 0L, 'last', '')"
+    return F.expr(f"aggregate(split({text}, ''), {start}, (o, c) -> {step}, o -> named_struct('c', o.c, 'x', o.x, 'y', o.y))")
+
+
+def alike(sign: str, mark: str, tau: int) -> Column:
+    """Whether two texts may be ``tau`` edits apart, by their :func:`odd_characters`."""
+    changed = lambda part: F.bit_count(F.col(f"{sign}.{part}").bitwiseXOR(F.col(f"{mark}.{part}")))
+    return (changed("c") <= 2 * tau) & (changed("x") + changed("y") <= 4 * tau)
 
 
 def likely(rows: DataFrame, wanted: DataFrame, key: str = "line_key") -> DataFrame:
@@ -230,10 +278,14 @@ def edits_within(tau: int, shorter: str = "shorter", longer: str = "longer") ->
 
 
 def _whole(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines of ``wanted(id, less)`` as rows of the second level."""
+    """The lines of ``wanted(id, less, ways, both)`` as rows of the second level."""
     texts = likely(lines, wanted.select(F.col("id").alias("line_key")).distinct()).filter("hit").select("line_key", "line", "n_chars")
-    rows = texts.join(wanted, F.col("line_key") == F.col("id")).select((F.col("n_chars") - F.col("less")).alias("g"), F.col("line").alias("s"), "less", "id", odd_characters("line").alias("sign"))
-    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows")
+    rows = texts.join(wanted, F.col("line_key") == F.col("id")).select((F.col("n_chars") - F.col("less")).alias("g"), F.col("line").alias("s"), "less", "id", odd_characters("line").alias("sign"), "ways", "both")
+    return _numbered(rows, "line-rows")
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
@@ -246,12 +298,14 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     met = both(few.join(sought.select("key", F.col("id").alias("b")), "key").filter("a <> b"))
     if many.isEmpty():
         return met.distinct()
-    # What a line indexes it also probes, at no difference in length and no shift.
     moves = _moves(tau + 1, tau, True)
     less = F.element_at(F.array(*[F.lit(m[0]) for m in moves]), F.col("cut") + 1)
-    still = F.col("cut").isin([i for i, (d, *holes) in enumerate(moves) if d == 0 and not any(holes[2::3])])
-    hot = materialise(sought.join(many, "key", "left_semi").select("id", less.alias("less"), still.alias("own")).distinct(), "line-wanted")
-    index, probe = _whole(longer, hot.filter("own").select("id", "less")), _whole(longer, hot.select("id", "less").distinct())
+    still = F.col("cut").isin([i for i, m in enumerate(moves) if _plain(m)])
+    hot = sought.join(many, "key", "left_semi").groupBy("id", less.alias("less"))
+    hot = materialise(hot.agg(F.collect_set("cut").alias("ways"), F.collect_set(F.when(still, F.col("cut"))).alias("own")), "line-wanted")
+    both_ways = F.size("own") > 0
+    index = _whole(longer, hot.filter(both_ways).select("id", "less", F.col("own").alias("ways"), F.lit(False).alias("both")))
+    probe = _whole(longer, hot.select("id", "less", "ways", both_ways.alias("both")))
     while True:
         # Written, as a text's cuts are looked at up to three times: cutting is a fixed number of rows a text, once.
         own, sought = materialise(deeper_keys(index, tau, False), "line-own"), materialise(deeper_keys(probe, tau, True), "line-sought")
@@ -260,22 +314,23 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
         many = materialise(many, "line-hot-keys")
         holes = [f"h{i}" for i in range(1, tau + 1)]
         few = own.join(many, "key", "left_anti").select("key", F.col("id").alias("a"), "sign", *holes)
-        other = sought.select("key", F.col("id").alias("b"), F.col("sign").alias("mark"), *[F.col(h).alias(f"o{h}") for h in holes])
+        other = own.unionByName(sought).select("key", F.col("id").alias("b"), F.col("sign").alias("mark"), *[F.col(h).alias(f"o{h}") for h in holes])
         # Where one of several holes holds the same in both, a cut with fewer holes has the pair too.
         differ = " and ".join(f"coalesce({h} <> o{h}, true)" for h in holes)
-        pairs = few.join(other, "key").filter("a <> b").filter(F.bit_count(F.col("sign").bitwiseXOR(F.col("mark"))) <= 2 * tau).filter(differ)
+        pairs = few.join(other, "key").filter("a <> b").filter(alike("sign", "mark", tau)).filter(differ)
         met = met.unionByName(both(pairs))
         if many.isEmpty():
             return met.distinct()
         on = lambda keys: materialise(keys.select("key", "row", "cut").join(many, "key", "left_semi"), "line-hot")
-        index = materialise(left_open(on(own), index, tau, False), "line-index")
-        probe = materialise(left_open(on(sought), probe, tau, True), "line-probes")
+        index = _numbered(left_open(on(own), index, tau, False), "line-index")
+        # What a text indexes it also probes, so those cuts are made once, for both.
+        probe = _numbered(left_open(on(sought), probe, tau, True).unionByName(index.drop("row", "both").withColumn("both", F.lit(True))), "line-probes")
 
 
 def edit_join(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """``a, b``: keys of different lines of more than ``tau`` characters, at most ``tau`` edits apart, once a pair."""
     pairs = materialise(candidates(lines, tau), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_key")).distinct()
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("line_key")).distinct(), "line-paired")
     texts = likely(lines, wanted).filter("hit").join(wanted, "line_key", "left_semi")
     texts = materialise(texts.select("line_key", "line", "n_chars"), "line-texts")
     side = lambda name: texts.select(F.col("line_key").alias(name), F.col("line").alias(f"line_{name}"), F.col("n_chars").alias(f"n_{name}"))

@@ -90,6 +90,52 @@ def test_every_cut_is_made_once(spark, monkeypatch, deep):
     assert all(n <= most[p] * rows for p, rows, n in asked)
 
 
+def test_a_common_opening_makes_few_rows(spark, monkeypatch):
+    """Lines of one opening that differ in the order of eight letters: hardly any pair, and only cuts that keep the opening, once for both sides."""
+    made, plain = [], line_dedup._cut
+
+    def counted(rows, tau, probe):
+        out = plain(rows, tau, probe)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_cut", counted)
+    rng = random.Random(11)
+    root = "The parcel of your order has left the depot and is on its way to you, and will be with you in two days"
+    family = set()
+    while len(family) < 150:
+        at = rng.randrange(60, 90)
+        family.add(root[:at] + "".join(rng.sample("bcfgjkqz", 8)) + root[at:])
+    near = {x[:at] + "x" + x[at + 1 :]: x for x, at in zip(sorted(family)[:40], rng.choices(range(60, 90), k=40), strict=True)}
+    family |= set(near)
+    lines = line_dedup.materialise(line_dedup.distinct_lines(spark.createDataFrame(list(enumerate(sorted(family))), "doc_id long, text string")), "lines")
+    text = {r["line_key"]: r["line"] for r in lines.collect()}
+    pairs = [{text[r["a"]], text[r["b"]]} for r in line_dedup.candidates(lines).collect()]
+    assert all({x, y} in pairs for x, y in near.items()) and len(pairs) <= 2 * len(family)
+    (indexed, index_cuts), (probed, probe_cuts) = made
+    assert indexed + probed > len(family) and index_cuts + probe_cuts <= 11 * (indexed + probed)
+
+
+@pytest.mark.parametrize("tau", [1, 3])
+def test_other_numbers_of_edits_go_down_the_levels(spark, monkeypatch, tau):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "DEEP", 6)
+    rng = random.Random(20 + tau)
+    family = {edited(rng, "Order 12 of today is on its way", "abé ") for _ in range(40)} | {edited(rng, "abé aé", "abé ") for _ in range(25)}
+    lines = line_dedup.materialise(line_dedup.distinct_lines(spark.createDataFrame(list(enumerate(sorted(family))), "doc_id long, text string")).filter(f"n_chars > {tau}"), "lines")
+    text = {r["line_key"]: r["line"] for r in lines.collect()}
+    pairs = {(r["a"], r["b"]) for r in line_dedup.edit_join(lines, tau).collect()}
+    assert pairs == {(a, b) for a in text for b in text if a < b and levenshtein(text[a], text[b]) <= tau}
+
+
+def test_an_edit_changes_few_signs(spark):
+    rng = random.Random(12)
+    roots = ["".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    pairs = spark.createDataFrame([(x, edited(rng, x, "abcdé😀 ")) for x in roots], "x string, y string")
+    signs = pairs.withColumns({f"{c}_sign": line_dedup.odd_characters(c) for c in "xy"}).filter("x <> '' and y <> ''")
+    assert signs.filter(~line_dedup.alike("x_sign", "y_sign", 3)).count() == 0
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3, 4])
 def test_links_of_short_lines_are_counted(spark, tau):
     rng = random.Random(tau)
