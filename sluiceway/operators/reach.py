@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import settled
@@ -103,25 +103,40 @@ class ReachIndex:
 
     def reach(self, node: str) -> DataFrame:
         """``uri``: all nodes that can be reached from ``node`` by one edge or more, itself left out."""
-        front = self.labels.filter(F.col("node") == node).select("low", "high")
-        seen = front
-        shelved = self.links.select(F.floor(F.col("at") / SHELF).alias("shelf"), "at", "low", "high")
+        seen = front = self.labels.filter(F.col("node") == node).select("low", "high")
+        places = self.links.select("at").distinct()
         while True:
-            spans = front.select(F.col("low").alias("a"), F.col("high").alias("b"), F.explode(F.sequence(F.floor(F.col("low") / SHELF), F.floor(F.col("high") / SHELF))).alias("shelf"))
-            hit = shelved.join(spans, "shelf").filter((F.col("at") >= F.col("a")) & (F.col("at") <= F.col("b"))).select("low", "high").distinct()
-            # Intervals are nested or apart: one is new if no interval seen holds it.
-            fresh = settled(_outside(hit, seen))
-            if fresh.isEmpty():
+            hit = self.links.join(_inside(places, "at", front), "at", "left_semi").select("low", "high")
+            # Only outermost intervals are kept: inside them nothing new can be found, and together they are no longer than the walk.
+            wider = settled(_outermost(seen.unionByName(hit)))
+            front = wider.join(seen, ["low", "high"], "left_anti")
+            if front.isEmpty():
                 break
-            seen, front = settled(seen.unionByName(fresh)), fresh
-        spans = seen.select("low", "high", F.explode(F.sequence(F.floor(F.col("low") / SHELF), F.floor(F.col("high") / SHELF))).alias("shelf"))
-        placed = self.labels.select("node", F.col("low").alias("at"), F.floor(F.col("low") / SHELF).alias("shelf"))
-        found = placed.join(spans, "shelf").filter((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).select(F.col("node").alias("uri")).distinct()
-        return found.filter(F.col("uri") != node)
-
-
-def _outside(spans: DataFrame, seen: DataFrame) -> DataFrame:
-    """Those of ``spans`` that lie in none of ``seen``."""
-    held = seen.select(F.col("low").alias("a"), F.col("high").alias("b"), F.explode(F.sequence(F.floor(F.col("low") / SHELF), F.floor(F.col("high") / SHELF))).alias("shelf"))
-    same = (F.floor(F.col("low") / SHELF) == F.col("shelf")) & (F.col("low") >= F.col("a")) & (F.col("high") <= F.col("b"))
-    return spans.join(held, same, "left_anti")
+            seen = wider
+        return _inside(self.labels, "low", seen).select(F.col("node").alias("uri")).filter(F.col("uri") != node)
+
+
+def _shelf(number: str) -> Column:
+    return F.floor(F.col(number) / SHELF)
+
+
+def _outermost(spans: DataFrame) -> DataFrame:
+    """Those of ``spans`` that lie in no other one, each once; they are nested or apart."""
+    rows = spans.select("low", "high").distinct().withColumn("shelf", _shelf("low"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # One that starts earlier and ends later holds it; what starts on earlier shelves comes from one row a shelf.
+    tops = rows.groupBy("shelf").agg(F.max("high").alias("top")).select("shelf", F.max("top").over(before.orderBy("shelf")).alias("earlier"))
+    beside = rows.withColumn("beside", F.max("high").over(before.partitionBy("shelf").orderBy("low")))
+    return beside.join(tops, "shelf").filter("coalesce(greatest(beside, earlier), -1) < high").select("low", "high")
+
+
+def _inside(points: DataFrame, at: str, spans: DataFrame) -> DataFrame:
+    """Those of ``points`` whose number ``at`` lies in one of ``spans``, which are apart.
+
+    Numbers and spans stand in order on each shelf, so a number looks at the last
+    span before it alone and nothing is paired.
+    """
+    pieces = spans.select(F.explode(F.sequence(_shelf("low"), _shelf("high"))).alias("shelf"), F.col("low").alias("place"), F.col("high").alias("end"))
+    both = points.select(_shelf(at).alias("shelf"), F.col(at).alias("place"), F.struct(*points.columns).alias("row")).unionByName(pieces, allowMissingColumns=True)
+    last = F.last("end", ignorenulls=True).over(Window.partitionBy("shelf").orderBy("place", F.col("row").isNotNull()))
+    return both.withColumn("end", last).filter("row IS NOT NULL AND end >= place").select("row.*")

@@ -68,3 +68,19 @@ def test_both_directions_and_stored_indexes(spark, tmp_path):
     assert reached(lineage.reach_index(table, "t", upwards=True), "c") == {"a", "b", "x"}
     assert reached(lineage.reach_index(table), "x") == {"b", "c", "z"}
     assert rows(lineage.reach_index(table.limit(0)).reach("a")) == []
+
+
+def test_what_rounds_look_into_is_no_longer_than_the_walk(spark, monkeypatch):
+    """Hundreds of links back, each to an interval that holds the next: only the outermost is looked into."""
+    monkeypatch.setattr(reach, "SHELF", 8)
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(600)]
+    found = index(spark, chain + [(f"n{i:04}", f"n{i - 297:04}") for i in range(303, 600, 3)])
+    kept, settled = [], reach.settled
+
+    def noted(df):
+        kept.append(settled(df))
+        return kept[-1]
+
+    monkeypatch.setattr(reach, "settled", noted)
+    assert reached(found, "n0303") == {f"n{i:04}" for i in range(6, 601)} - {"n0303"}
+    assert found.links.count() == 99 and max(sum(r["high"] - r["low"] + 1 for r in df.collect()) for df in kept) <= 2 * 601
