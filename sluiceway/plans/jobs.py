@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import unused
+from ..functions.columns import col, is_orderless, unused
 
 JOBS = "job_id string, tenant_id string, job_type string, status string, source_config string, destination_config string, row_count bigint, column_count bigint, quality_score decimal(5,4), data_version string, output_uri string, error_message string, created_at string, updated_at string"
 STATUSES = ("pending", "running", "completed", "failed", "cancelled")
@@ -57,9 +58,11 @@ class Records:
         return row.asDict() if row else None
 
 
-def current(table: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The newest row of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))
+def current(table: DataFrame, keys: list[str], at: str, ties: Sequence[Column] | None = None) -> DataFrame:
+    """The newest row of each key; ties go by ``ties``, or else by the other columns, so reruns agree."""
+    kinds = {f.name: f.dataType for f in table.schema}
+    rest = [col(c) for c in table.columns if c not in (*keys, at) and not is_orderless(kinds[c])] if ties is None else ties
+    place = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(col(at).desc(), *rest))
     n = unused(table, "place")
     return table.withColumn(n, place).filter(F.col(n) == 1).drop(n)
 
