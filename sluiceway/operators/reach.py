@@ -3,7 +3,8 @@
 Every node takes one of its edges as its tree edge, which makes a forest (rings are
 cut where their smallest node is).  Walking round each tree numbers the nodes so that
 all below a node have the numbers of one interval.  The walk is not walked: it is a
-list of arcs, each with the arc after it, and a list is ranked by doubling, in as
+list of arcs, each with the arc after it.  Tasks follow the arcs as far as they stay in
+one block of numbers, and what leads from block to block is ranked by doubling, in as
 many rounds as its length has binary digits.  What is reachable over tree edges is
 then a range of numbers, whatever the depth; the other edges lead from a number to an
 interval, and only as many rounds are needed as such edges must be taken one after
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,54 +25,76 @@ from .sample import with_row_id
 
 #: Numbers that share a join key where links are looked up in intervals.
 SHELF = 4_096
+#: Neighbouring numbers among which one task follows pointers; even, so that both arcs of a node are in one.
+BLOCK = 1 << 18
+
+
+def followed(pointers: DataFrame, fold: str) -> tuple[DataFrame, DataFrame]:
+    """``at, next, value`` of pointers followed inside their blocks, and of those where a block is entered, followed to the end.
+
+    Numbers have one pointer at most; one that leads below 0 or to a number without
+    a pointer ends there.  Values on the way are folded by ``sum`` or ``min``.  What
+    still leads somewhere among the second rows is on a ring or leads to one.
+    """
+    size, add, none = BLOCK, {"sum": np.add, "min": np.minimum}[fold], {"sum": 0, "min": (1 << 63) - 1}[fold]
+
+    def walk(block: pd.DataFrame) -> pd.DataFrame:
+        base = int(block["at"].iloc[0]) // size * size
+        own = block["at"].to_numpy() - base
+        following, value = np.full(size, -1, np.int64), np.full(size, none, np.int64)
+        following[own], value[own] = block["next"].to_numpy(), block["value"].to_numpy()
+        for _ in range(size.bit_length()):
+            inside = np.flatnonzero((following >= base) & (following < base + size))
+            if not len(inside):
+                break
+            to = following[inside] - base
+            value[inside], following[inside] = add(value[inside], value[to]), following[to]
+        return pd.DataFrame({"at": own + base, "next": following[own], "value": value[own]})
+
+    near = settled(pointers.groupBy(F.floor(F.col("at") / size)).applyInPandas(walk, "at bigint, next bigint, value bigint"))
+    entered = near.filter("next >= 0").select(F.col("next").alias("at")).distinct()
+    ways = settled(near.join(entered, "at", "left_semi"))
+    more = F.coalesce("more", F.lit(none))
+    folded = F.col("value") + more if fold == "sum" else F.least("value", more)
+    for _ in range(ways.count().bit_length()):
+        going = ways.filter("next >= 0")
+        if going.isEmpty():
+            break
+        over = ways.select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("value").alias("more"))
+        further = going.join(over, "next", "left").select("at", F.coalesce("beyond", F.lit(-1)).alias("next"), folded.alias("value"))
+        ways = settled(ways.filter("next < 0").unionByName(further))
+    return near, ways
 
 
 def tree_edges(edges: DataFrame) -> DataFrame:
     """``node, parent`` for each node with an edge into it, rings cut open: one edge ``parent -> node`` at most."""
     chosen = settled(edges.filter("source <> target").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent")))
-    # Jump upwards by doubling: after k rounds a node knows the smallest name among its 2^k next ancestors and itself.
-    far = chosen.select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("least"))
-    steps, count = 1, chosen.count()
-    while steps <= count:
-        over = far.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("more"))
-        far = settled(far.join(over, "at").select("node", F.col("next").alias("at"), F.least("least", "more").alias("least")))
-        if far.isEmpty():
-            break
-        steps *= 2
-    # Who still has somewhere to jump is on a ring or above it leads to one.
-    return chosen.join(far.filter("node = least").select("node"), "node", "left_anti")
+    near, ways = followed(chosen.select(F.col("node").alias("at"), F.col("parent").alias("next"), F.least("node", "parent").alias("value")), "min")
+    # A pointer is on a ring, or leads to one, if it still leads somewhere: inside its block, or after all rounds.
+    ring = near.filter((F.col("next") >= 0) & (F.floor(F.col("next") / BLOCK) == F.floor(F.col("at") / BLOCK))).unionByName(ways.filter("next >= 0"))
+    return chosen.join(ring.select(F.col("value").alias("node")).distinct(), "node", "left_anti")
 
 
 def numbered(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, low, high``: all nodes below a node, and itself, have ``low`` from its own up to its ``high``."""
-    above = nodes.join(tree, "node", "left").select("node", F.coalesce("parent", F.lit("")).alias("parent"), F.col("parent").isNull().alias("root"))
+    above = nodes.join(tree, "node", "left").select("node", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("parent").isNull().alias("root"))
     # Children of a node stand beside each other, and so do the roots, which nothing is above.
     placed = settled(with_row_id(above, ["root", "parent", "node"], "place"))
-    first = placed.groupBy("root", "parent").agg(F.min("place").alias("first"))
-    child = placed.select(F.col("place").alias("first"), F.col("node").alias("child"))
-    first = first.join(child, "first").filter("NOT root").select(F.col("parent").alias("node"), "child")
-    after = placed.select((F.col("place") - 1).alias("place"), F.col("node").alias("sibling"), F.col("parent").alias("its"), F.col("root").alias("is_root"))
-    row = placed.join(first, "node", "left").join(after, "place", "left")
-    sibling = F.when((F.col("its") == F.col("parent")) & (F.col("is_root") == F.col("root")), F.col("sibling"))
-    down, up = (lambda c: F.concat(F.lit("d"), c)), (lambda c: F.concat(F.lit("u"), c))
-    arcs = row.select(
-        F.explode(
-            F.array(
-                F.struct(down(F.col("node")).alias("arc"), F.coalesce(down(F.col("child")), up(F.col("node"))).alias("next")),
-                F.struct(up(F.col("node")).alias("arc"), F.coalesce(down(sibling), F.when(~F.col("root"), up(F.col("parent")))).alias("next")),
-            )
-        ).alias("a")
-    )
-    # How many arcs are still to come, counted over jumps that double.
-    ranked = settled(arcs.select("a.arc", "a.next", F.when(F.col("a.next").isNull(), 0).otherwise(1).cast("bigint").alias("left")))
-    whole = ranked.count()
-    for _ in range(whole.bit_length()):
-        over = ranked.select(F.col("arc").alias("next"), F.col("next").alias("beyond"), F.col("left").alias("more"))
-        going = ranked.filter("next IS NOT NULL").join(over, "next").select("arc", F.col("beyond").alias("next"), (F.col("left") + F.col("more")).alias("left"))
-        ranked = settled(ranked.filter("next IS NULL").unionByName(going))
-    position = F.lit(whole) - F.col("left")
-    kind, name = F.substring("arc", 1, 1), F.substring("arc", 2, 1_000_000)
-    return ranked.groupBy(name.alias("node")).agg(F.max(F.when(kind == "d", position)).alias("low"), F.max(F.when(kind == "u", position)).alias("high"))
+    children = placed.filter("NOT root").groupBy(F.col("parent").alias("node")).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    row, whole = placed.join(children, "node", "left"), 2 * placed.count()
+    over = row.select(F.col("node").alias("parent"), F.col("place").alias("above"), F.col("last").alias("end"))
+    # A node has the arc down to it, twice its place, and the one up from it after that.
+    down = 2 * F.col("place")
+    up, beside = down + 1, down + 2
+    after = F.when(F.col("root"), F.when(beside < whole, beside).otherwise(-1)).when(F.col("place") < F.col("end"), beside).otherwise(2 * F.col("above") + 1)
+    arcs = row.join(over, "parent", "left").select(F.explode(F.array(F.struct(down.alias("at"), F.coalesce(2 * F.col("first"), up).alias("next")), F.struct(up.alias("at"), after.alias("next")))).alias("a"))
+    # How many arcs are still to come.
+    near, ways = followed(arcs.select("a.at", "a.next", F.when(F.col("a.next") < 0, 0).otherwise(1).cast("bigint").alias("value")), "sum")
+    ranked = near.join(ways.select(F.col("at").alias("next"), F.col("value").alias("more")), "next", "left")
+    position = F.lit(whole) - F.col("value") - F.coalesce("more", F.lit(0))
+    is_up = F.col("at") % 2 == 1
+    ends = ranked.groupBy(F.floor(F.col("at") / 2).alias("place")).agg(F.max(F.when(~is_up, position)).alias("low"), F.max(F.when(is_up, position)).alias("high"))
+    return placed.select("place", "node").join(ends, "place").select("node", "low", "high")
 
 
 @dataclass
@@ -83,14 +108,17 @@ class ReachIndex:
     def build(cls, edges: DataFrame) -> ReachIndex:
         """Of ``source, target`` texts; null ends are no edges."""
         edges = settled(edges.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
-        nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+        names = settled(with_row_id(edges.select(F.col("source").alias("name")).union(edges.select("target")).distinct(), ["name"], "node"))
+        edges = edges.join(names.select(F.col("name").alias("source"), F.col("node").alias("a")), "source").join(names.select(F.col("name").alias("target"), F.col("node").alias("b")), "target")
+        edges = settled(edges.select(F.col("a").alias("source"), F.col("b").alias("target")))
         tree = settled(tree_edges(edges))
-        labels = settled(numbered(tree, nodes))
+        spans = settled(numbered(tree, names.select("node")))
+        labels = settled(names.join(spans, "node").select(F.col("name").alias("node"), "low", "high"))
         rest = edges.join(tree.select(F.col("parent").alias("source"), F.col("node").alias("target")), ["source", "target"], "left_anti")
-        at = labels.select(F.col("node").alias("source"), F.col("low").alias("at"))
-        links = rest.join(at, "source").join(labels.withColumnRenamed("node", "target"), "target").select("at", "low", "high")
+        at = spans.select(F.col("node").alias("source"), F.col("low").alias("at"))
+        links = rest.join(at, "source").join(spans.withColumnRenamed("node", "target"), "target").select("at", "low", "high")
         # A link to where the tree leads anyway says nothing new.
-        inside = links.join(labels.select(F.col("low").alias("at"), F.col("high").alias("end")), "at").filter("NOT (low >= at AND high <= end)")
+        inside = links.join(spans.select(F.col("low").alias("at"), F.col("high").alias("end")), "at").filter("NOT (low >= at AND high <= end)")
         return cls(labels, settled(inside.select("at", "low", "high")))
 
     def write(self, path: str) -> None:

@@ -84,3 +84,34 @@ def test_what_rounds_look_into_is_no_longer_than_the_walk(spark, monkeypatch):
     monkeypatch.setattr(reach, "settled", noted)
     assert reached(found, "n0303") == {f"n{i:04}" for i in range(6, 601)} - {"n0303"}
     assert found.links.count() == 99 and max(sum(r["high"] - r["low"] + 1 for r in df.collect()) for df in kept) <= 2 * 601
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rings_and_chains_over_many_blocks(spark, seed, monkeypatch):
+    monkeypatch.setattr(reach, "SHELF", 5)
+    monkeypatch.setattr(reach, "BLOCK", 4)
+    rng = random.Random(seed)
+    names = [f"y{i:02}" for i in range(40)]
+    ring, chain = rng.sample(names, 12), rng.sample(names, 25)
+    edges = [*zip(ring, ring[1:] + ring[:1]), *zip(chain, chain[1:]), *((rng.choice(names), rng.choice(names)) for _ in range(12)), ("z1", "z2"), ("z2", "z1"), ("z2", "z3")]  # noqa: B905, RUF005
+    found = index(spark, edges)
+    for node in [ring[0], ring[5], chain[0], chain[12], "z1", "z3"]:
+        assert reached(found, node) == plain(edges, node), node
+    spans = [(r["low"], r["high"]) for r in found.labels.collect()]
+    assert len({x for span in spans for x in span}) == 2 * len(spans)
+    assert all(b < c or d < a or a < c < d < b or c < a < b < d for a, b in spans for c, d in spans if a != c)
+
+
+def test_a_chain_is_written_a_few_times_whatever_its_length(spark, monkeypatch):
+    """Rows written while an index is built: not a round of all of them for each doubling."""
+    monkeypatch.setattr(reach, "BLOCK", 64, raising=False)
+    written, settled = [], reach.settled
+
+    def noted(df):
+        written.append(settled(df))
+        return written[-1]
+
+    monkeypatch.setattr(reach, "settled", noted)
+    found = index(spark, [(f"n{i:04}", f"n{i + 1:04}") for i in range(2000)])
+    assert reached(found, "n1995") == {f"n{i:04}" for i in range(1996, 2001)}
+    assert sum(df.count() for df in written) <= 14 * 2001
